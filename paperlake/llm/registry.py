@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op4_mixing
 from .ogg import op10_media
+from .secrets import op8_secrets
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -22,6 +24,8 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each numbered operator."""
     return {
+        "op4_mixing": _documents(op4_mixing),
+        "op8_secrets": _documents(op8_secrets),
         "op10_media": _documents(op10_media),
     }
 
