@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op9_jaccard
 from .mixing import op4_mixing
 from .ogg import op10_media
 from .secrets import op8_secrets
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mixing": _documents(op4_mixing),
         "op8_secrets": _documents(op8_secrets),
+        "op9_jaccard": _documents(op9_jaccard),
         "op10_media": _documents(op10_media),
     }
 
