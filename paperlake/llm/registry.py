@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .jaccard import op9_jaccard
 from .mixing import op4_mixing
 from .ogg import op10_media
+from .quality import op5_quality
 from .secrets import op8_secrets
+from .toxicity import op7_toxicity
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -22,10 +24,16 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
     return lambda spark, sf_dir: operator(_table(spark, sf_dir, "documents"))
 
 
+def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each numbered operator."""
     return {
         "op4_mixing": _documents(op4_mixing),
+        "op5_quality": _labelled(op5_quality),
+        "op7_toxicity": _labelled(op7_toxicity),
         "op8_secrets": _documents(op8_secrets),
         "op9_jaccard": _documents(op9_jaccard),
         "op10_media": _documents(op10_media),

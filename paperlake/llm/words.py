@@ -12,12 +12,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-__all__ = ["Words", "buffers", "mix", "slices", "words_of"]
+__all__ = ["Words", "buffers", "mix", "slices", "span_hashes", "words_of"]
 
 _RANDOM = np.random.default_rng(20240229)
 _VALUE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+_MARK = _SEPARATOR.copy()
+_MARK[:0x80] |= ~np.array([chr(i).isalnum() for i in range(0x80)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +79,8 @@ class Words:
     hash: np.ndarray
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans are not empty and their ends don't fall."""
     out = np.empty(len(start), dtype=np.uint64)
     i = 0
     while i < len(start):
@@ -100,12 +103,12 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of a batch of texts with a 64-bit hash each. ``lower`` folds A-Z alone."""
+def words_of(texts: pa.Array, lower: bool = False, bare: bool = False) -> Words:
+    """Words of a batch of texts with a 64-bit hash each. ``lower`` folds A-Z alone; ``bare`` parts words at ASCII signs too."""
     data, offsets = buffers(texts)
     if lower:
         data = _LOWER[data]
-    inside = ~_SEPARATOR[data]
+    inside = ~(_MARK if bare else _SEPARATOR)[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -116,4 +119,4 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     bounds = np.searchsorted(start, offsets)
     counts = np.diff(bounds)
     doc = np.repeat(np.arange(len(counts)), counts)
-    return Words(data, offsets, start, end, doc, counts, _hashes(data, start, end))
+    return Words(data, offsets, start, end, doc, counts, span_hashes(data, start, end))
