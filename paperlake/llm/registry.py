@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import ORACLE as _CHAT
+from .chat import op2_chat
 from .jaccard import op9_jaccard
 from .mixing import op4_mixing
 from .ogg import op10_media
@@ -31,6 +33,7 @@ def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each numbered operator."""
     return {
+        "op2_chat": lambda spark, sf_dir: op2_chat(_table(spark, sf_dir, "conversations")),
         "op4_mixing": _documents(op4_mixing),
         "op5_quality": _labelled(op5_quality),
         "op7_toxicity": _labelled(op7_toxicity),
@@ -42,4 +45,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins, where SQL can express the operator."""
-    return {}
+    return {"op2_chat": _CHAT}
