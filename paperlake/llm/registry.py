@@ -14,6 +14,7 @@ from .ogg import op10_media
 from .quality import op5_quality
 from .secrets import op8_secrets
 from .toxicity import op7_toxicity
+from .warc import op3_warc
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each numbered operator."""
     return {
         "op2_chat": lambda spark, sf_dir: op2_chat(_table(spark, sf_dir, "conversations")),
+        "op3_warc": lambda spark, sf_dir: op3_warc(_table(spark, sf_dir, "pages")),
         "op4_mixing": _documents(op4_mixing),
         "op5_quality": _labelled(op5_quality),
         "op7_toxicity": _labelled(op7_toxicity),
