@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import ORACLE as _CHAT
 from .chat import op2_chat
+from .html import op6_html
 from .jaccard import op9_jaccard
 from .mixing import op4_mixing
 from .ogg import op10_media
@@ -38,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": lambda spark, sf_dir: op3_warc(_table(spark, sf_dir, "pages")),
         "op4_mixing": _documents(op4_mixing),
         "op5_quality": _labelled(op5_quality),
+        "op6_html": lambda spark, sf_dir: op6_html(_table(spark, sf_dir, "pages")),
         "op7_toxicity": _labelled(op7_toxicity),
         "op8_secrets": _documents(op8_secrets),
         "op9_jaccard": _documents(op9_jaccard),
