@@ -14,6 +14,7 @@ from .mixing import op4_mixing
 from .ogg import op10_media
 from .quality import op5_quality
 from .secrets import op8_secrets
+from .sentencepiece import op1_sentencepiece
 from .toxicity import op7_toxicity
 from .warc import op3_warc
 
@@ -35,6 +36,7 @@ def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each numbered operator."""
     return {
+        "op1_sentencepiece": _documents(op1_sentencepiece),
         "op2_chat": lambda spark, sf_dir: op2_chat(_table(spark, sf_dir, "conversations")),
         "op3_warc": lambda spark, sf_dir: op3_warc(_table(spark, sf_dir, "pages")),
         "op4_mixing": _documents(op4_mixing),
