@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "acronym", "author_surname", "coerce_items", "coerce_names", "coerce_page", "coerce_year", "contains_fold", "cosine_similarity", "embedding_text", "estimate_tokens", "first_evidence_text", "join_evidence",
-    "keyword_score", "length_bound", "non_empty", "normalize_arxiv_id", "normalize_paper_ref", "normalize_text", "remote_pdf_ref", "safe_merge", "sequence_ratio", "split_citation_keys", "titles_compatible", "tokens_of", "truncate_evidence", "venue_of",
+    "keyword_score", "length_bound", "non_empty", "normalize_arxiv_id", "normalize_paper_ref", "normalize_text", "remote_pdf_ref", "safe_merge", "sequence_ratio", "split_citation_keys", "titles_compatible", "tokens_of", "truncate_evidence", "venue_of", "words_of",
 ]
 
 SPACES = r"(?U)\s+"
@@ -148,8 +148,8 @@ def keyword_score(query: Column, blob: Column) -> Column:
 
 def embedding_text(title: Column, tasks: Column, methods: Column, datasets: Column, contributions: Column, limitations: Column) -> Column:
     """Title, names and texts of a paper in one line."""
-    texts = lambda items: F.transform(F.coalesce(items, F.array().cast("array<struct<text:string>>")), lambda i: i["text"])
     plain = lambda xs: F.coalesce(xs, F.array().cast("array<string>"))
+    texts = lambda items: plain(F.transform(items, lambda i: i["text"]))
     parts = F.concat(F.array(F.coalesce(title, F.lit(""))), plain(tasks), plain(methods), plain(datasets), texts(contributions), texts(limitations))
     return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ")
 
