@@ -168,7 +168,7 @@ def resolve_identity(new: DataFrame, registry: DataFrame) -> DataFrame:
 
 def resolve_paper_ref(refs: DataFrame, registry: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """``refs`` (ref) with ``paper_id``: an alias, an id, or a file by full path, name or stem, without regard to case and kind of slash."""
-    plain = lambda x: F.lower(F.regexp_replace(x, r"\\\\", "/"))
+    plain = lambda x: F.lower(F.translate(x, "\\", "/"))
     key = plain(normalize_paper_ref(F.col("ref")))
     base = refs.select("ref")
     path = plain(F.col("source_path"))

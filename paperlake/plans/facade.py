@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, graph, linking, profiles, search, traverse
 from ..operators.resolve import resolve_entity_names
-from ..sources.records import entity_catalog
 
 __all__ = ["Library"]
 
@@ -54,7 +53,8 @@ class Library:
         asked = self._table("query", *queries)
         if not fuzzy:
             return profiles.find_papers_by_entity(self.nodes, self.edges, asked, edge)
-        names = resolve_entity_names(asked.select(F.lit(kind).alias("entity_type"), F.col("query").alias("name")), entity_catalog(self.profiles))
+        catalog = self.nodes.filter(F.lower("type") == kind).select(F.lit(kind).alias("entity_type"), "name").distinct()
+        names = resolve_entity_names(asked.select(F.lit(kind).alias("entity_type"), F.col("query").alias("name")), catalog)
         return profiles.resolved_papers_by_entity(self.nodes, self.edges, names.select(F.col("name").alias("query"), "canonical"), edge)
 
     def paper(self, *ids: str) -> DataFrame:

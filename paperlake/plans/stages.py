@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -10,8 +11,16 @@ __all__ = ["settle"]
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of the session; only where none is set, as in tests, a temporary one is."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """``df`` written as Parquet to the session's shared folder and read back.
+
+    The folder is that of ``spark.checkpoint.dir``; only where none is set, as in tests, a temporary one is.
+    A plain checkpoint would compute the rows twice and give the planner no sizes.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/paperlake-{uuid.uuid4().hex}/stage"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -116,7 +116,7 @@ def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
 
 
 _CREATORS = "array<struct<creatorType:string,firstName:string,lastName:string,name:string>>"
-_ITEM = f"key string, title string, itemType string, date string, DOI string, doi string, publicationTitle string, proceedingsTitle string, publisher string, url string, version bigint, creators {_CREATORS}"
+_ITEM = f"key string, title string, itemType string, date string, DOI string, publicationTitle string, proceedingsTitle string, publisher string, url string, version bigint, creators {_CREATORS}"
 
 
 def library_items(items: DataFrame) -> DataFrame:
@@ -131,18 +131,23 @@ def library_items(items: DataFrame) -> DataFrame:
         F.col("data.key").alias("bib_key"), F.coalesce(F.col("data.itemType"), F.lit("misc")).alias("entry_type"), F.trim(d("title")).alias("title"),
         F.when(F.substring(d("date"), 1, 4).rlike("^[0-9]{4}$"), F.substring(d("date"), 1, 4).cast("long")).alias("year"),
         F.filter(F.transform(people, name), lambda x: x != "").alias("authors"), venue_of(d("publicationTitle"), d("proceedingsTitle"), d("publisher")).alias("venue"),
-        F.coalesce(non_empty(d("DOI")), non_empty(d("doi")), F.lit("")).alias("doi"), F.lit("").alias("citations"), F.lit("").alias("source_file"), F.lit("").alias("source_stem"),
+        d("DOI").alias("doi"), F.lit("").alias("citations"), F.lit("").alias("source_file"), F.lit("").alias("source_stem"),
         F.col("data.key").alias("zotero_key"), F.col("data.version").alias("zotero_version"), d("url").alias("url"),
     )
 
 
 def read_library_export(spark: SparkSession, path: str) -> DataFrame:
     """A JSON export: a list of items, or an object with ``items``."""
-    raw = _texts(spark, path)
+    raw = _texts(spark, path).withColumn("text", _one_doi("text"))
     listed = F.coalesce(F.from_json(F.get_json_object("text", "$.items"), f"array<struct<{_ddl(_ITEM)}>>"), F.from_json("text", f"array<struct<{_ddl(_ITEM)}>>"))
     return library_items(raw.select(F.explode(listed).alias("data")))
 
 
+def _one_doi(column: str) -> Column:
+    """Both spellings of the field as one: names of columns don't tell them apart."""
+    return F.regexp_replace(column, r'"doi"\s*:', '"DOI":')
+
+
 def _ddl(fields: str) -> str:
     out, depth, part = [], 0, ""
     for c in fields + ",":
@@ -158,7 +163,7 @@ def _ddl(fields: str) -> str:
 
 def read_library_delta(feed: DataFrame) -> DataFrame:
     """Rows of a versioned feed (column ``value``: JSON with ``data``)."""
-    return library_items(feed.select(F.from_json("value", f"data struct<{_ddl(_ITEM)}>").alias("_v")).select("_v.data"))
+    return library_items(feed.select(F.from_json(_one_doi("value"), f"data struct<{_ddl(_ITEM)}>").alias("_v")).select("_v.data"))
 
 
 def valid_extractions(records: DataFrame) -> tuple[DataFrame, DataFrame]:
