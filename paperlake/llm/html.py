@@ -4,8 +4,8 @@ A page is cut into blocks at block-level tags. Blocks in menus, headers, footers
 adverts, forms, scripts, styles and comments, as elements, roles or class names tell, are boilerplate.
 The first pass labels the others by length, density of stop words and density of links; short blocks
 and those between the limits stay open. In the second pass an open block takes the label of its
-nearest decided neighbour. Inside an ``article`` or ``main`` element only neighbours there count, and
-what stays open is text; outside, a tie is boilerplate.
+nearest decided neighbour. Inside an ``article`` or ``main`` element only neighbours there count that aren't
+boilerplate by their markup, and what stays open is text; outside, a tie is boilerplate.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by
 one space in page order. Null and empty pages have an empty text. Markup that isn't closed ends where
@@ -205,7 +205,9 @@ def label_blocks(blocks: list[Block]) -> list[bool]:
             group = blocks[i].group
             near[side][i] = last.get(group) if group else outside
             if first[i] is not None:
-                last[group] = outside = i
+                outside = i
+                if not blocks[i].bad:
+                    last[group] = i
     for i, b in enumerate(blocks):
         if first[i] is not None:
             continue
