@@ -15,6 +15,7 @@ kept for reuse.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -26,8 +27,7 @@ State = tuple[int, int]
 #: weight of the best path for each (entry, exit); a missing pair has none
 Matrix = dict[State, dict[State, float]]
 START: State = (0, -1)
-_KEPT = 400_000  # entries of each cache, about 50 MB
-_FIELD = 1 << 22
+_KEPT, _PAIRS = 300_000, 1_000_000  # entries of a generation and of the pairs, about 70 MB each
 
 
 def product(a: Matrix, b: Matrix) -> Matrix:
@@ -59,9 +59,11 @@ class PieceModel:
     escape: bool
     longest: int = 0
     cuts: bool = True
-    _fits: dict[int, bool] = field(default_factory=dict)
-    _stretch: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    _heads: set[str] = field(default_factory=set)
+    _fits: dict[int, dict[int, bool]] = field(default_factory=dict)
+    _pairs: int = 0
+    _stretch: dict[str, bytes] = field(default_factory=dict)
+    _older: dict[str, bytes] = field(default_factory=dict)
+    _trie: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         back = {i: bytes((b,)) for b, i in self.byte.items()} | {self.unknown: " ⁇ ".encode()}
@@ -71,7 +73,11 @@ class PieceModel:
         for p, i in self.ids.items():
             if len(p) > 1:
                 self._shorter[i] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), self.lone(p[0]))
-        self._heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        for p, i in self.ids.items():
+            children = self._trie
+            for c in p[:-1]:
+                children = children.setdefault(c, [None, {}])[1]
+            children.setdefault(p[-1], [None, {}])[0] = i
         self.longest = max(map(len, self.ids), default=1)
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.lowest = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0
@@ -97,18 +103,17 @@ class PieceModel:
 
     def arcs(self, text: str, at: int) -> list[int]:
         """Pieces that begin at a character, shortest first; a character without a piece is an arc by itself."""
-        ids, out = self.ids, []
-        first = text[at]
-        i = ids.get(first)
-        out.append(self.lone(first) if i is None else i)
-        for end in range(at + 2, min(len(text), at + self.longest) + 1):
-            part = text[at:end]
-            i = ids.get(part)
+        children, out = self._trie, []
+        for c in text[at : at + self.longest]:
+            node = children.get(c)
+            if node is None:
+                break
+            i, children = node
             if i is not None:
                 out.append(i)
-            elif part not in self._heads:
-                break
-        return out
+            elif not out:
+                out.append(self.lone(c))
+        return out or [self.lone(text[at])]
 
     def weight(self, i: int) -> float:
         return 0.0 if self.bpe else self.score[i] if i >= 0 else self.lowest
@@ -131,12 +136,15 @@ class PieceModel:
         """May piece b follow piece a? In a BPE model, only if merging both alone gives them back."""
         if not self.bpe:
             return True
-        known = self._fits.get(a * _FIELD + b)
+        follows = self._fits.setdefault(a, {})
+        known = follows.get(b)
         if known is None:
-            if len(self._fits) > _KEPT:
+            self._pairs += 1
+            if self._pairs > _PAIRS:
                 self._fits.clear()
+                self._pairs, follows = 1, self._fits.setdefault(a, {})
             x, y = [self.piece(a)] if a != -1 else [], self.piece(b)
-            known = self._fits[a * _FIELD + b] = self.merged("".join(x) + y) == [*x, y]
+            known = follows[b] = self.merged("".join(x) + y) == [*x, y]
         return known
 
     # scan
@@ -229,15 +237,27 @@ class PieceModel:
         return first, next(k for k in range(end, first - 1, -1) if k == first or k < end and is_cut(k))
 
     def _weight(self, text: str) -> float:
-        return sum(self.weight(i) for i in self.encode_normal(text)) if text else 0.0
+        return sum(self.weight(i) for s in self.stretches(text) for i in self._trace(s, 0, len(s), START, None)) if text else 0.0
 
-    def trace(self, text: str, begin: int, end: int, entry: State, leave: State | None) -> list[int]:
-        """Pieces that begin in the chunk on the best path between two states; ``leave`` None is the end of the text."""
+    def trace(self, text: str, begin: int, end: int, entry: State, leave: State | None) -> bytes:
+        """Ids, four bytes each, of the pieces that begin in the chunk on the best path between two states; ``leave`` None is the end of the text."""
         first, last = self._bounds(text, begin, end)
+        pack = lambda pieces: array("i", self.final(pieces)).tobytes()
         if first is None or first == last:
-            return self._trace(text, begin, end, entry, leave)
-        head = self._trace(text[:first], begin, first, entry, None) if first > begin else []
-        return head + self.encode_normal(text[first:last]) + self._trace(text, last, end, START, leave)
+            return pack(self._trace(text, begin, end, entry, leave))
+        head = pack(self._trace(text[:first], begin, first, entry, None)) if first > begin else b""
+        return head + self.packed(text[first:last]) + pack(self._trace(text, last, end, START, leave))
+
+    def join(self, parts: list[bytes]) -> bytes:
+        """Ids of a text from those of its chunks; a run of unknown characters over a bound counts once."""
+        out: list[bytes] = []
+        unknown = array("i", [self.unknown]).tobytes()
+        for p in parts:
+            if not self.byte and out and out[-1][-4:] == unknown and p[:4] == unknown:
+                p = p[4:]
+            if p:
+                out.append(p)
+        return b"".join(out)
 
     def _trace(self, text: str, begin: int, end: int, entry: State, leave: State | None) -> list[int]:
         size = end - begin
@@ -259,49 +279,47 @@ class PieceModel:
             at, last = origin, before
         return out[::-1]
 
-    def _longest(self, text: str, at: int) -> int:
-        ids, heads = self.ids, self._heads
-        found = ids.get(text[at])
-        if found is None:
-            found = self.lone(text[at])
-        for end in range(at + 2, min(len(text), at + self.longest) + 1):
-            part = text[at:end]
-            i = ids.get(part)
-            if i is not None:
-                found = i
-            elif part not in heads:
-                break
-        return found
-
     def _walk(self, text: str) -> list[int]:
         """``_trace`` of a whole stretch of a BPE model, depth first.
 
         Weights are 0 or minus infinity and no position is reached by two last pieces, so the first path to
         the end is the best, and a position that leads nowhere is never tried again.
         """
-        fits, shorter, size, length = self._fits, self._shorter, len(text), self._length
+        fits, shorter, length, trie, longest, size = self._fits, self._shorter, self._length, self._trie, self.longest, len(text)
         out: list[int] = []
         dead: set[int] = set()
         at, a = 0, -1
-        i: int | None = self._longest(text, 0) if size else None
         while at < size:
+            children, i = trie, None
+            for c in text[at : at + longest]:
+                node = children.get(c)
+                if node is None:
+                    break
+                found, children = node
+                if found is not None:
+                    i = found
             if i is None:
-                dead.add(at)
-                i = out.pop()
-                at -= length[i] if i >= 0 else 1
-                a = out[-1] if out else -1
-                i = shorter[i] if i >= 0 else None
-                continue
-            end = at + (length[i] if i >= 0 else 1)
-            if end not in dead:
-                ok = fits.get(a * _FIELD + i)
-                if self.fits(a, i) if ok is None else ok:
-                    out.append(i)
-                    at, a = end, i
-                    if at < size:
-                        i = self._longest(text, at)
+                i = -2 - ord(text[at])
+            follows = fits.get(a)
+            if follows is None:
+                follows = fits[a] = {}
+            while True:
+                if i is None:
+                    dead.add(at)
+                    i = out.pop()
+                    at -= length[i] if i >= 0 else 1
+                    a = out[-1] if out else -1
+                    i = shorter[i] if i >= 0 else None
+                    follows = fits.setdefault(a, {})
                     continue
-            i = shorter[i] if i >= 0 else None
+                end = at + (length[i] if i >= 0 else 1)
+                if not dead or end not in dead:
+                    ok = follows.get(i)
+                    if self.fits(a, i) if ok is None else ok:
+                        break
+                i = shorter[i] if i >= 0 else None
+            out.append(i)
+            at, a = end, i
         return out
 
     # whole texts
@@ -312,20 +330,30 @@ class PieceModel:
             return [text]
         return _cutter().findall(text)
 
-    def encode_normal(self, text: str) -> list[int]:
-        """Lattice pieces of a normalised text."""
-        out: list[int] = []
-        kept = self._stretch
-        for s in self.stretches(text):
-            ids = kept.get(s)
-            if ids is None:
-                ids = tuple(self._walk(s) if self.bpe else self._trace(s, 0, len(s), START, None))
-                if len(s) <= 64:
-                    if len(kept) >= _KEPT:
-                        kept.clear()
-                    kept[s] = ids
-            out += ids
-        return out
+    def packed(self, text: str) -> bytes:
+        """Ids of a normalised text, four bytes each; stretches seen lately are looked up."""
+        found = self.stretches(text)
+        get = self._stretch.get
+        parts = [get(s) for s in found]
+        if None in parts:
+            parts = [self._pack(s) if p is None else p for s, p in zip(found, parts, strict=True)]
+        return b"".join(parts)
+
+    def _pack(self, stretch: str) -> bytes:
+        """Two generations of stretches are kept: what the older one holds is used again before it goes."""
+        known = self._stretch.get(stretch)
+        if known is not None:
+            return known
+        known = self._older.get(stretch)
+        if known is None:
+            ids = self._walk(stretch) if self.bpe else self._trace(stretch, 0, len(stretch), START, None)
+            known = array("i", self.final(ids)).tobytes()
+        if len(stretch) <= 64:
+            if len(self._stretch) >= _KEPT:
+                self._older = self._stretch
+                self._stretch = {}
+            self._stretch[stretch] = known
+        return known
 
     def final(self, pieces: list[int]) -> list[int]:
         """Ids of the model: characters without a piece become bytes, or the unknown id (once for a run of them)."""
@@ -345,7 +373,7 @@ class PieceModel:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return self.final(self.encode_normal(self.normalise(text)))
+        return array("i", self.packed(self.normalise(text))).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids. It is the text that was encoded, but for marks in it, which become spaces, and spaces that the model drops."""

@@ -18,6 +18,7 @@ import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,8 @@ __all__ = ["MODEL", "decode_ids", "encode_documents", "op1_sentencepiece", "read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, BLOCK = 1 << 15, 64
+#: Rows of an Arrow batch, so that texts, ids and decoded texts of a batch stay within some 30 MB.
+BATCH = 2_000
 
 
 def read_model(path: str) -> bytes:
@@ -45,6 +48,13 @@ def _loaded(data: bytes) -> PieceModel:
     return load_model(data)
 
 
+def _lists(packed: list[bytes]) -> pa.Array:
+    """Lists of 32-bit integers from their bytes, without a Python object for each."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed], dtype=np.int64))).astype(np.int32)
+    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
 def scan_states(matrices: list[Matrix], entry: State, leave: State | None) -> list[tuple[State, State]]:
     """(entry, exit) of each matrix on the best path from one state to another; ``leave`` None is the end of a text."""
     behind: list[dict[State, float]] = [{leave: 0.0} if leave is not None else {}]
@@ -132,12 +142,11 @@ def _encode_giants(giants: DataFrame, data: bytes, chunk: int) -> DataFrame:
                 for w, s, n, final, ends in zip(*(b.column(c).to_pylist() for c in ("window", "begin", "size", "final", "ends")), strict=True):
                     entry, leave = pickle.loads(ends)
                     out.append(model.trace(w[: s + n] if final else w, s, s + n, entry, leave))
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("part"), pa.array(out, pa.list_(pa.int32()))], names=["row", "doc_id", "part", "pieces"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("part"), pa.array(out, pa.binary())], names=["row", "doc_id", "part", "pieces"])
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("part").to_pylist(), table.column("pieces").to_pylist(), strict=True))
-        ids = _loaded(shared.value).final([i for _, p in rows for i in p])
-        return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "ids": pa.array([ids], pa.list_(pa.int32()))})
+        return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "ids": _lists([_loaded(shared.value).join([p for _, p in rows])])})
 
     made = materialise(chunks.mapInArrow(matrices, "row bigint, part int, matrix binary").withColumn("block", F.floor(F.col("part") / BLOCK).cast("int")), "matrices")
     blocks = made.groupBy("row", "block").applyInArrow(multiply, "row bigint, block int, matrix binary")
@@ -145,7 +154,7 @@ def _encode_giants(giants: DataFrame, data: bytes, chunk: int) -> DataFrame:
     states = made.join(bounds, ["row", "block"]).groupBy("row", "block").applyInArrow(over_chunks, "row bigint, part int, ends binary")
     traced = chunks.join(states, ["row", "part"]).select("row", "doc_id", "part", "begin", "size", "final", "window", "ends")
     kind = giants.schema["doc_id"].dataType.simpleString()
-    pieces = traced.mapInArrow(trace, f"row bigint, doc_id {kind}, part int, pieces array<int>")
+    pieces = traced.mapInArrow(trace, f"row bigint, doc_id {kind}, part int, pieces binary")
     return pieces.groupBy("row").applyInArrow(join, f"doc_id {kind}, ids array<int>")
 
 
@@ -155,7 +164,7 @@ def encode_documents(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataF
 
     def encode(texts: pa.Array) -> pa.Array:
         m = _loaded(shared.value)
-        return pa.array([m.encode(x.as_py()) if x.is_valid else [] for x in texts], pa.list_(pa.int32()))
+        return _lists([m.packed(m.normalise(x.as_py())) if x.is_valid else b"" for x in texts])
 
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
     near = docs.filter(~giant).select("doc_id", F.arrow_udf(encode, "array<int>")(F.col("text")).alias("ids"))
@@ -169,7 +178,8 @@ def decode_ids(ids: Column, model: bytes, spark: SparkSession) -> Column:
 
     def decode(values: pa.Array) -> pa.Array:
         m = _loaded(shared.value)
-        return pa.array([m.decode(x.as_py()) if x.is_valid else None for x in values], pa.string())
+        flat, at = values.values.to_numpy(), values.offsets.to_numpy()
+        return pa.array([m.decode(flat[s:e].tolist()) if ok else None for s, e, ok in zip(at[:-1], at[1:], values.is_valid().to_pylist(), strict=True)], pa.string())
 
     return F.arrow_udf(decode, "string")(ids)
 
@@ -177,6 +187,7 @@ def decode_ids(ids: Column, model: bytes, spark: SparkSession) -> Column:
 def op1_sentencepiece(documents: DataFrame, path: str = MODEL) -> DataFrame:
     """Ids of each whole text, how many there are, and the digest of the text decoded from them."""
     model = read_model(path)
+    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     encoded = encode_documents(documents, model)
     decoded = encoded.select("doc_id", "ids", decode_ids(F.col("ids"), model, documents.sparkSession).alias("text"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"), "ids")
