@@ -15,9 +15,10 @@ kept for reuse.
 
 from __future__ import annotations
 
+import re
+import string
 from array import array
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 __all__ = ["Matrix", "PieceModel", "State", "load_model", "product"]
 
@@ -80,6 +81,7 @@ class PieceModel:
             children.setdefault(p[-1], [None, {}])[0] = i
         self.longest = max(map(len, self.ids), default=1)
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self._cutter = _cutter(list(self.ids), bool(self.byte))
         self.lowest = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0
 
     # normal form
@@ -328,7 +330,7 @@ class PieceModel:
         """Text between cuts."""
         if not self.cuts:
             return [text]
-        return _cutter().findall(text)
+        return self._cutter.findall(text)
 
     def packed(self, text: str) -> bytes:
         """Ids of a normalised text, four bytes each; stretches seen lately are looked up."""
@@ -385,11 +387,18 @@ class PieceModel:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-@lru_cache(1)
-def _cutter():
-    import re
-
-    return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+def _cutter(pieces: list[str], fine: bool) -> re.Pattern[str]:
+    """Stretches of a text, cut where no piece can span: before marks behind other characters and, if ``fine``,
+    between a Latin letter and a sign that no piece has behind one, and around line ends that no longer piece holds."""
+    if not fine:
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    letter = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+    inside = {c for p in pieces if len(p) > 1 for c in p}
+    behind = {b for p in pieces for a, b in zip(p, p[1:]) if re.match(f"[{letter}]", a)}
+    lone = "".join(c for c in "\n\r\t" if c not in inside) or "\0"
+    sign = "".join(re.escape(c) for c in string.punctuation if c not in behind)
+    other = f"[^{letter}{SPACE}{lone}]"
+    return re.compile(rf"[{lone}]|(?s:(?=.)){SPACE}*{other}*(?:[{letter}]+(?:[^{letter}{SPACE}{lone}{sign}]{other}*)?)*")
 
 
 def _fields(data: bytes):
