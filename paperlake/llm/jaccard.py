@@ -41,6 +41,7 @@ __all__ = ["jaccard_components", "op9_jaccard", "shingles"]
 _COUNTERS, _SLICES = 1 << 22, 64
 _BITS = 36
 _FLUSH = 1 << 20
+_STRETCH = 512  # shingles hashed for all minima at once, so that the hashes stay in the cache
 _ALWAYS = 1_000_000  # ids that may be broadcast, 16 MB
 _BLOCK = 2_000_000  # elements of the sets of a block, 16 MB
 _FACTORS = mix(np.arange(1, 6, dtype=np.uint64)) | np.uint64(1)
@@ -66,22 +67,15 @@ def _class(s: np.ndarray) -> np.uint64:
 
 
 def _minima(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """128 bits, each the low bit of a minimum; large sets are split over the bits, small ones hashed anew for each."""
+    """128 bits, each a bit of the minimum of a hash of its own; sets of all sizes alike, so that any two compare."""
+    least = np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        if len(s) >= 1024:
-            m = mix(s)
-            lane = (m & np.uint64(127)).astype(np.int64)
-            order = np.lexsort((m, lane))
-            first = np.full(128, 0, dtype=np.uint64)
-            lane = lane[order]
-            head = np.flatnonzero(np.concatenate(([True], lane[1:] != lane[:-1])))
-            first[lane[head]] = m[order][head]
-            bit = (first >> np.uint64(11)) & np.uint64(1)
-        else:
-            m = s[None, :] * _LANES[:, None]
+        for at in range(0, len(s), _STRETCH):
+            m = s[None, at : at + _STRETCH] * _LANES[:, None]
             m ^= m >> np.uint64(32)
             m *= np.uint64(0xD6E8FEB86659FD93)
-            bit = (m.min(axis=1) >> np.uint64(17)) & np.uint64(1)
+            np.minimum(least, m.min(axis=1), out=least)
+        bit = (least >> np.uint64(17)) & np.uint64(1)
     return (bit[:64] * _WEIGHTS).sum(dtype=np.uint64), (bit[64:] * _WEIGHTS).sum(dtype=np.uint64)
 
 

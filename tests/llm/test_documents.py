@@ -118,6 +118,17 @@ def test_jaccard_blocks_lose_nothing(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in components_of(texts).items()}
 
 
+def test_jaccard_near_copies_of_all_lengths(spark):
+    texts = {}
+    for k, sizes in enumerate([(1000, 1050), (1019, 1020), (1023, 1024), (1023, 1200), (1024, 1050), (830, 1030), (1040, 1001)]):
+        for i, n in enumerate(sizes):
+            texts[10 * k + i] = " ".join(f"g{k}_{j}" for j in range(n + 4))
+    assert shingle_set(texts[20]) < shingle_set(texts[21]) and (len(shingle_set(texts[20])), len(shingle_set(texts[21]))) == (1023, 1024)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op9_jaccard(frame).collect()}
+    assert got == components_of(texts)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
