@@ -51,18 +51,19 @@ def _target_weight(name: str) -> int:
     return max((w for k, w in _SENSITIVE.items() if f"_{k}_" in parts or (w == 3 and parts.endswith(f"{k}_"))), default=0)
 
 
-def score_literal(name: str, literal: str) -> float:
+def score_literal(name: str, literal: str, counts: Counter | None = None) -> float:
     """0 to 1: how likely the literal, assigned to this name, is a secret.
 
     The weight of the name (0 to 3) counts for half; length from 8 characters, classes of characters
-    and entropy a character for the rest. A name without weight or a placeholder scores 0.
+    and entropy a character for the rest. A name without weight or a placeholder scores 0. ``counts`` has
+    the literal's characters, if they are counted already.
     """
     weight = _target_weight(name)
     if not weight or len(literal) < 8 or " " in literal.strip() or _PLACEHOLDER.match(literal):
         return 0.0
-    n = len(literal)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    n, counts = len(literal), Counter(literal) if counts is None else counts
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    classes = sum(bool(re.search(p, "".join(counts))) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return weight / 6 + min(n, 24) / 144 + min(classes, 3) / 18 + min(entropy, 4.0) / 24
 
 
@@ -75,22 +76,61 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """(name, literals that reach it) in order, each literal with where it is written."""
-    known: dict[str, list[tuple[str, int, int]]] = {}
+class _Reach:
+    """Distinct literals that reach a value, in order: ``parts``, joined and counted. One that goes on from the last is not walked again."""
+
+    def __init__(self) -> None:
+        self.value: list | None = None
+
+    def walk(self, value: list) -> None:
+        """Values are lists of literals and of the values they join; each is walked once, as all places differ."""
+        if self.value is not None and value[0] is self.value:
+            rest = iter(value[1:])
+        else:
+            self.parts: list[tuple[str, int, int]] = []
+            self.text, self.counts, self.seen, self.spanned = "", Counter(), set(), 0
+            rest = iter(value)
+        self.value = value
+        self.seen.add(id(value))
+        old, stack = len(self.parts), [rest]
+        while stack:
+            for item in stack[-1]:
+                if isinstance(item, tuple):
+                    self.parts.append(item)
+                elif id(item) not in self.seen:
+                    self.seen.add(id(item))
+                    stack.append(iter(item))
+                    break
+            else:
+                stack.pop()
+        new = "".join(x[0] for x in self.parts[old:])
+        self.text += new
+        self.counts.update(new)
+
+
+def _values(text: str) -> Iterator[tuple[str, list]]:
+    """(name, value) in order; a value has literals and, not copied, the values of the names it joins, so all take memory as the text."""
+    known: dict[str, list] = {}
     for m in _PAIR.finditer(text):
-        parts: list[tuple[str, int, int]] = []
+        value: list = []
         for p in _PART.finditer(text, m.start(2), m.end(2)):
             if p[1] is not None:
-                parts.append((p[1][1:-1], p.start() + 1, p.end() - 1))
+                value.append((p[1][1:-1], p.start() + 1, p.end() - 1))
             elif _IDENTIFIER.match(p[2]) and p[2] in known:
-                parts += known[p[2]]
+                value.append(known[p[2]])
             elif not _IDENTIFIER.match(p[2]) or any(c.isdigit() for c in p[2]):
-                parts.append((p[2], p.start(), p.end()))
-        if parts:
-            parts = list(dict.fromkeys(parts))[:64]
-            known[m[1]] = parts
-            yield m[1], parts
+                value.append((p[2], p.start(), p.end()))
+        if value:
+            known[m[1]] = value
+            yield m[1], value
+
+
+def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """(name, all distinct literals that reach it) in order, each literal with where it is written."""
+    reach = _Reach()
+    for name, value in _values(text):
+        reach.walk(value)
+        yield name, list(reach.parts)
 
 
 def secret_spans(text: str | None, threshold: float = 0.7) -> list[tuple[str, int, int]]:
@@ -100,10 +140,14 @@ def secret_spans(text: str | None, threshold: float = 0.7) -> list[tuple[str, in
     base = base_spans(text)
     if ":" not in text and "=" not in text:
         return base
-    added = set()
-    for name, parts in assignments(text):
-        if score_literal(name, "".join(x[0] for x in parts)) >= threshold:
-            added.update(("literal", a, b) for _, a, b in parts if b > a and not any(a < e and s < b for _, s, e in base))
+    added, reach = set(), _Reach()
+    for name, value in _values(text):
+        if threshold > 0 and not _target_weight(name):
+            continue
+        reach.walk(value)
+        if score_literal(name, reach.text, reach.counts) >= threshold:
+            added.update(("literal", a, b) for _, a, b in reach.parts[reach.spanned :] if b > a and not any(a < e and s < b for _, s, e in base))
+            reach.spanned = len(reach.parts)
     return sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0]), x[2])) if added else base
 
 

@@ -18,7 +18,7 @@ from paperlake.llm.mixing import mix_sources, op4_mixing, running_sum
 from paperlake.llm.ogg import demux, encode_payload, ogg_crc, op10_media, probe_payload
 from paperlake.llm.pieces import load_model
 from paperlake.llm.quality import base_counts, op5_quality
-from paperlake.llm.secrets import base_spans, op8_secrets, redact, secret_spans
+from paperlake.llm.secrets import assignments, base_spans, op8_secrets, redact, secret_spans
 from paperlake.llm.sentencepiece import MODEL, decode_ids, encode_documents, op1_sentencepiece, read_model
 from paperlake.llm.toxicity import op7_toxicity
 from paperlake.llm.words import words_of
@@ -193,6 +193,19 @@ def test_secrets_by_hand():
     assert secret_spans("the key: value of this is that") == [] and secret_spans("password = changeme") == [] and secret_spans(None) == []
 
 
+def test_secrets_of_long_chains():
+    rnd = random.Random(9)
+    pieces = ["".join(rnd.choice("abcXYZ789") for _ in range(5)) for _ in range(100)]
+    chain = "password = " + " + ".join(f'"{x}"' for x in pieces)
+    spans = secret_spans(chain)
+    assert [chain[a:b] for _, a, b in spans] == pieces and not any(x in redact(chain, spans) for x in pieces)
+    grown = f'key = "{pieces[0]}"\n' + "\n".join(f'key = key + "{x}"' for x in pieces[1:]) + "\nhalf = key\nkey = 'other' + half\napi_secret = key + half"
+    assert [x[0] for x in list(assignments(grown))[-1][1]] == ["other", *pieces]
+    assert [grown[a:b] for _, a, b in secret_spans(grown)] == [*pieces, "other"]
+    many = "\n".join(f'k{i}_pwd = k{i - 1}_pwd + "{x}"' for i, x in enumerate(pieces * 20, 1))
+    assert len([x for x in secret_spans(many) if x[0] == "literal"]) > 1_900
+
+
 def test_secrets_digest(spark, odd):
     rows = [(1, 'secret="abcdefghijkl" and token = abcdefabcdefabcdef'), (2, None), (3, "")]
     got = {r.doc_id: r for r in op8_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
