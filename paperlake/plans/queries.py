@@ -277,7 +277,7 @@ SELECT e.source, e.target, CASE WHEN e.source = e.target THEN 0 WHEN EXISTS (SEL
 def _(spark, sf):
     first = records(spark, sf).agg(F.min("paper_id").alias("target"))
     pairs = citations(spark, sf).select("source").distinct().crossJoin(F.broadcast(first))
-    return traverse.shortest_path(corpus_graph(spark, sf)[1].filter("type = 'CITES'"), pairs, 3).select("source", "target", "hops")
+    return traverse.shortest_path(corpus_graph(spark, sf)[1].filter("type = 'CITES'"), pairs).select("source", "target", "hops")
 
 
 # comparison

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import ids, text
 from paperlake.operators import compare, graph, infer, linking, profiles, resolve, search, traverse
+from paperlake.plans import queries as plans
 from paperlake.plans.facade import Library
 from paperlake.schemas import EXTRACTION
 
@@ -105,6 +106,17 @@ def test_hops_are_distances(spark):
     assert all(len(p) == h + 1 for h, p in paths.values() if h is not None) and paths["far"] == (None, None)
 
 
+def test_paths_have_no_limit(spark, monkeypatch):
+    chain = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(22)], "source string, target string")
+    far = traverse.shortest_path(chain, spark.createDataFrame([("n00", "n22")], "source string, target string")).first()
+    assert (far.hops, far.path) == (22, [f"n{i:02}" for i in range(23)])
+    monkeypatch.setattr(plans, "citations", lambda spark, data: chain)
+    monkeypatch.setattr(plans, "records", lambda spark, data: chain.selectExpr("source AS paper_id"))
+    monkeypatch.setattr(plans, "corpus_graph", lambda spark, data: (None, chain.selectExpr("'CITES' AS type", "*")))
+    got = {(r.source, r.target): r.hops for r in plans.queries()["t5_shortest_path"](spark, "").collect()}
+    assert got == {(f"n{i:02}", "n00"): i for i in range(22)}
+
+
 def test_comparison(library):
     diff = {r.paper_id: r.difference for r in library.compare("event_forecasting_2025", "gman_2020").collect()}
     assert diff["event_forecasting_2025"] == "methods: Transformer; datasets: event logs; metrics: F1"
