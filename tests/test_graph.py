@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,19 @@ def test_paths_have_no_limit(spark, monkeypatch):
     assert got == {(f"n{i:02}", "n00"): i for i in range(22)}
 
 
+def test_embeddings_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    unit = {r.vec_id: np.array(r.embedding, dtype=float) / np.linalg.norm(np.array(r.embedding, dtype=float)) for r in rows}
+    want = set()
+    for q in unit:
+        if q % 20 == 0:
+            scores = {str(k): round(float(unit[q] @ v), 9) for k, v in unit.items()}
+            want |= {(str(q), k, i) for i, k in enumerate(sorted((k for k in scores if scores[k] > 0), key=lambda k: (-scores[k], k)))}
+    assert len({q for q, _, _ in want}) == 25
+    got = [(r["query"], r.paper_id, r["rank"]) for r in plans.queries()["k3_embedding_channel"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_comparison(library):
     diff = {r.paper_id: r.difference for r in library.compare("event_forecasting_2025", "gman_2020").collect()}
     assert diff["event_forecasting_2025"] == "methods: Transformer; datasets: event logs; metrics: F1"
