@@ -6,21 +6,29 @@ first's shingles. Shingles fall into short and long inverted lists. As in Divide
 probed by binary search for the candidates that remain.
 
 1. ``shingle_rows``: one scan gives each text its number of shingles, a 64-bit class of its set (equal
-   sets are one class from here on), 128 one-bit minima, and a sketch of how many texts hold a shingle:
+   sets are one class from here on), a bitmap of parities, and a sketch of how many texts hold a shingle:
    a fixed number of counters, added up over all texts. Counters far above the mean mark long lists;
-   the marks are a bitmap of fixed size, the only thing that is broadcast.
+   the marks are a bitmap of fixed size, the only thing that is broadcast. They only order the work:
+   whatever they say, no pair is lost, and a list they miss is at most some thousands of sets longer
+   than the mean.
 2. ``postings``: each class is posted under its first ``n - ceil(t * n) + 1`` shingles, short lists
    first, which loses no pair. Postings travel as packed arrays by range of hashes, are merged in
-   order of the hash, and lists with one class drop out.
-3. ``candidate_edges``: in a list, classes are candidates whose sizes allow t and whose minima differ in
-   at most 36 of 128 bits (a pair at 0.8 exceeds that once in 10^9, as rare as a hash clash). A list gives
-   the edges of a spanning forest, so a group of copies costs its size, not its square.
+   order of the hash, and lists with one class drop out. The number of ranges follows the number of
+   shingles, so that a range stays small; a list longer than ``_LIST`` is cut into blocks, and all pairs
+   of its blocks become lists.
+3. ``candidate_edges``: in a list, classes are candidates whose sizes allow t and whose bitmaps do. A bit of
+   a bitmap is the parity of the shingles hashed to it, so two bitmaps differ in no more bits than the sets
+   differ in shingles: what is dropped can't reach t. A bitmap has one to two bits a shingle; of two of
+   different length the longer is folded, which keeps it a bitmap of parities. A list gives the edges of
+   a spanning forest, so a group of copies costs its size, not its square.
 4. ``verified_links``: the whole sets of each group of candidates that hang together are searched for
    links: a set is looked up in an index of the sets not reached yet, by merging their short lists and
-   probing their long ones. Groups too large for a task are cut into blocks, and all pairs of blocks
-   are searched, so no link that could join two components is left out.
+   probing their long ones. Large groups are searched within small blocks first, then between one set of
+   each linked part, then, if parts remain, between all pairs of blocks; no link that could join two
+   components is left out.
 
-Nothing per text is collected; lists, groups and components live in tables in the shared folder.
+All steps are exact but for clashes of 64-bit hashes, by which shingles and sets are compared. Nothing per
+text is collected; lists, groups and components live in tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -39,14 +47,13 @@ from .words import mix, slices, words_of
 __all__ = ["jaccard_components", "op9_jaccard", "shingles"]
 
 _COUNTERS, _SLICES = 1 << 22, 64
-_BITS = 36
 _FLUSH = 1 << 20
-_STRETCH = 512  # shingles hashed for all minima at once, so that the hashes stay in the cache
 _ALWAYS = 1_000_000  # ids that may be broadcast, 16 MB
-_BLOCK = 2_000_000  # elements of the sets of a block, 16 MB
+_RANGE = 1 << 22  # shingles posted in a range of hashes, 64 MB
+_LIST = 1 << 16  # classes of a list before it is cut
+_PAIRS = 1 << 16  # pairs of bitmaps compared at once
+_SMALL, _BLOCK = 1 << 16, 2_000_000  # elements of the sets of a block: 512 KB, 16 MB
 _FACTORS = mix(np.arange(1, 6, dtype=np.uint64)) | np.uint64(1)
-_LANES = mix(np.arange(101, 229, dtype=np.uint64)) | np.uint64(1)
-_WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -66,17 +73,10 @@ def _class(s: np.ndarray) -> np.uint64:
         return mix(np.array([mix(s + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]
 
 
-def _minima(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """128 bits, each a bit of the minimum of a hash of its own; sets of all sizes alike, so that any two compare."""
-    least = np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(s), _STRETCH):
-            m = s[None, at : at + _STRETCH] * _LANES[:, None]
-            m ^= m >> np.uint64(32)
-            m *= np.uint64(0xD6E8FEB86659FD93)
-            np.minimum(least, m.min(axis=1), out=least)
-        bit = (least >> np.uint64(17)) & np.uint64(1)
-    return (bit[:64] * _WEIGHTS).sum(dtype=np.uint64), (bit[64:] * _WEIGHTS).sum(dtype=np.uint64)
+def _parities(s: np.ndarray) -> bytes:
+    """A bit for each residue of the shingles, set if an odd number has it: 64 bits or the least power of two from n on."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -87,8 +87,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
             yield part, [shingles(w.hash[e - c : e], width) for e, c in zip(ends.tolist(), w.counts.tolist(), strict=True)]
 
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
-_ROWS_DDL = "doc_id bigint, n bigint, class bigint, b0 bigint, b1 bigint, slice int, counts binary"
+_ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("bits", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+_ROWS_DDL = "doc_id bigint, n bigint, class bigint, bits binary, slice int, counts binary"
 
 
 def shingle_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -101,11 +101,10 @@ def shingle_rows(docs: DataFrame, width: int) -> DataFrame:
         for part, sets in _sets(batches, width):
             n = np.array([len(s) for s in sets], dtype=np.int64)
             cls = np.array([_class(s) if len(s) else 0 for s in sets], dtype=np.uint64)
-            bits = np.array([_minima(s) if len(s) else (0, 0) for s in sets], dtype=np.uint64).reshape(-1, 2)
+            bits = [_parities(s) if len(s) else None for s in sets]
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(cls.view(np.int64)), pa.array(bits[:, 0].copy().view(np.int64)), pa.array(bits[:, 1].copy().view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())],
-                schema=_ROWS,
+                [part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(cls.view(np.int64)), pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_ROWS
             )
             held += sets
             size += int(n.sum())
@@ -116,8 +115,8 @@ def shingle_rows(docs: DataFrame, width: int) -> DataFrame:
             counters += np.bincount((np.concatenate(held) >> np.uint64(42)).astype(np.int64), minlength=_COUNTERS).astype(np.uint32)
         codec = pa.Codec("zstd", compression_level=1)
         packed = [codec.compress(x.tobytes(), asbytes=True) for x in np.split(counters, _SLICES)]
-        none = pa.nulls(_SLICES).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(_SLICES), pa.int32()), pa.array(packed, pa.binary())], schema=_ROWS)
+        none = pa.nulls(_SLICES, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array(packed, pa.binary())], schema=_ROWS)
 
     return docs.select("doc_id", "text").mapInArrow(run, _ROWS_DDL)
 
@@ -149,7 +148,10 @@ def _prefix(s: np.ndarray, marks: np.ndarray, percent: int) -> np.ndarray:
 
 
 def postings(docs: DataFrame, marks: bytes, width: int, percent: int, parts: int) -> DataFrame:
-    """(hash, class) of lists with at least two classes."""
+    """(bucket, blob, class): packed (hash, class) of the lists with at least two classes in a bucket, and a row for each of its classes.
+
+    Buckets from ``parts`` on hold two blocks of a list longer than ``_LIST``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,66 +191,142 @@ def postings(docs: DataFrame, marks: bytes, width: int, percent: int, parts: int
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
         token, cls = token[new], cls[new]
-        same = token[1:] == token[:-1]
-        keep = np.zeros(len(token), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(cls[keep].view(np.int64))], names=["token", "class"])
+        edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+        length = np.repeat(np.diff(edges), np.diff(edges))
+        near = (length > 1) & (length <= _LIST)
+        if near.any():
+            yield from rows(key[0].as_py(), token[near], cls[near])
+        for at in np.flatnonzero(np.diff(edges) > _LIST).tolist():
+            whole = cls[edges[at] : edges[at + 1]]
+            k = -(-len(whole) // _LIST)
+            block = (mix(whole) % np.uint64(k)).astype(np.int64)
+            for i in range(k):
+                for j in range(i + 1, k):
+                    two = whole[(block == i) | (block == j)]
+                    name = parts + int(mix(np.array([token[edges[at]] + np.uint64(i * k + j)]))[0] >> np.uint64(2))
+                    yield from rows(name, np.full(len(two), token[edges[at]]), two)
+
+    def rows(bucket: int, token: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "blob", "class"]
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([np.stack((token, cls), axis=1).tobytes()], pa.binary()), pa.nulls(1, pa.int64())], names=names)
+        own = np.unique(cls).view(np.int64)
+        for at in range(0, len(own), _LIST):
+            part = own[at : at + _LIST]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket)), pa.nulls(len(part), pa.binary()), pa.array(part)], names=names)
 
     packed = docs.select("doc_id", "text").mapInArrow(post, "bucket int, blob binary")
-    return packed.groupBy("bucket").applyInArrow(merge, "token bigint, class bigint")
-
-
-def _forest(n: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Edges (index, indices) that join, within one list sorted by size, all members that candidates connect."""
-    low = np.searchsorted(n * 100, n * percent, "left")  # sizes from t * n
-    high = np.searchsorted(n * percent, n * 100, "right")  # to n / t
+    return packed.groupBy("bucket").applyInArrow(merge, "bucket bigint, blob binary, class bigint")
+
+
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+class _Bitmaps:
+    """Sizes and bitmaps of the classes of a bucket, and the bound they put on similarities."""
+
+    def __init__(self, n: np.ndarray, bits: list[pa.Buffer], percent: int) -> None:
+        self.n, self.percent = n, percent
+        self.width = np.array([len(x) // 8 for x in bits], dtype=np.int64)
+        self.row = np.zeros(len(n), dtype=np.int64)
+        self.levels = {}
+        for width in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == width)
+            self.row[at] = np.arange(len(at))
+            self.levels[width] = np.frombuffer(b"".join(bits[i] for i in at.tolist()), dtype=np.uint64).reshape(len(at), width)
+
+    def allow(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """May the pairs reach the similarity? False only where they can't."""
+        out = np.zeros(len(i), dtype=bool)
+        for at in range(0, len(i), _PAIRS):
+            a, b = i[at : at + _PAIRS], j[at : at + _PAIRS]
+            total = self.n[a] + self.n[b]
+            least = np.minimum(self.n[a], self.n[b])
+            fits = 100 * least >= self.percent * (total - least)
+            apart = np.zeros(len(a), dtype=np.int64)
+            key = self.width[a] << 32 | self.width[b]
+            for k in np.unique(key[fits]).tolist():
+                some = np.flatnonzero(fits & (key == k))
+                wide, other = k >> 32, k & 0xFFFFFFFF
+                width = min(wide, other)
+                step = max(1, (1 << 22) // max(wide, other))
+                for s in range(0, len(some), step):
+                    few = some[s : s + step]
+                    x = _fold(self.levels[wide][self.row[a[few]]], width) ^ _fold(self.levels[other][self.row[b[few]]], width)
+                    apart[few] = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+            out[at : at + _PAIRS] = fits & (apart * (100 + self.percent) <= total * (100 - self.percent))
+        return out
+
+
+def _forest(slots: np.ndarray, known: _Bitmaps) -> Iterator[tuple[int, np.ndarray]]:
+    """Edges (slot, slots) that join, within one list sorted by size, all members that candidates connect."""
+    n = known.n[slots]
+    low = np.searchsorted(n * 100, n * known.percent, "left")  # sizes from t * n
+    high = np.searchsorted(n * known.percent, n * 100, "right")  # to n / t
     free = np.ones(len(n), dtype=bool)
+    left = len(n)
     for seed in range(len(n)):
         if not free[seed]:
             continue
         free[seed] = False
+        left -= 1
         queue = [seed]
-        while queue:
+        while queue and left:
             i = queue.pop()
             at = np.flatnonzero(free[low[i] : high[i]]) + low[i]
-            if not len(at):
-                continue
-            far = np.bitwise_count(bits[at, 0] ^ bits[i, 0]) + np.bitwise_count(bits[at, 1] ^ bits[i, 1])
-            at = at[far <= _BITS]
+            at = at[known.allow(np.full(len(at), slots[i]), slots[at])] if len(at) else at
             if len(at):
                 free[at] = False
+                left -= len(at)
                 queue += at.tolist()
-                yield i, at
+                yield int(slots[i]), slots[at]
 
 
-def candidate_edges(lists: DataFrame, percent: int, parts: int) -> DataFrame:
+def candidate_edges(lists: DataFrame, classes: DataFrame, percent: int, parts: int) -> DataFrame:
     """Distinct edges (a, b), a < b, that connect all classes between which a list leaves a chain of candidates.
 
     They are fewer than the members of the list, however many pairs it holds.
     """
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        columns = {k: table.column(k).to_numpy() for k in ("token", "class", "n", "b0", "b1")}
-        order = np.lexsort((columns["class"], columns["n"], columns["token"]))
-        token, cls, n, b0, b1 = (columns[k][order] for k in columns)
-        bits = np.stack((b0, b1), axis=1).view(np.uint64)
-        edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-        met, done = [np.zeros((0, 2), dtype=np.int64)], set()
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if (members := cls[s:e].tobytes()) in done:
-                continue
-            done.add(members)
-            for i, at in _forest(n[s:e], bits[s:e], percent):
-                x, y = np.full(len(at), cls[s + i]), cls[s:e][at]
-                met.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
-            if len(met) > 4096:
-                met = [np.unique(np.concatenate(met), axis=0)]
-        out = np.unique(np.concatenate(met), axis=0)
+        table = table.combine_chunks()
+        own = table.filter(table.column("class").is_valid()).combine_chunks()
+        cls = own.column("class").to_numpy()
+        order = np.argsort(cls)
+        cls = cls[order]
+        met = [np.zeros((0, 2), dtype=np.int64)]
+        if len(cls):
+            bits = own.column("bits").chunk(0)
+            known = _Bitmaps(own.column("n").to_numpy()[order], [bits[i].as_buffer() for i in order.tolist()], percent)
+            both = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64).reshape(-1, 2) for x in table.column("blob") if x.is_valid])
+            slot = np.searchsorted(cls, both[:, 1].view(np.int64))
+            order = np.lexsort((slot, known.n[slot], both[:, 0]))
+            token, slot = both[order, 0], slot[order]
+            edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+            start, length = edges[:-1], np.diff(edges)
+            two = np.unique(np.stack((slot[start[length == 2]], slot[start[length == 2] + 1]), axis=1), axis=0)
+            met.append(two[known.allow(two[:, 0], two[:, 1])])
+            done: set[bytes] = set()
+            for s, k in zip(start[length > 2].tolist(), length[length > 2].tolist(), strict=True):
+                members = slot[s : s + k]
+                if (name := members.tobytes()) in done:
+                    continue
+                done.add(name)
+                for i, at in _forest(members, known):
+                    met.append(np.stack((np.full(len(at), i), at), axis=1))
+                if len(met) > 4096:
+                    met = [np.unique(np.concatenate(met), axis=0)]
+        out = np.concatenate(met)
+        out = np.unique(np.sort(cls[out] if len(out) else out, axis=1), axis=0)
         return pa.table({"a": out[:, 0].copy(), "b": out[:, 1].copy()})
 
-    dealt = lists.withColumn("_bucket", F.pmod("token", F.lit(parts)))
-    return dealt.groupBy("_bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+    blobs = lists.filter("blob is not null").select("bucket", "blob", F.lit(None).cast("bigint").alias("class"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("bits"))
+    members = lists.filter("blob is null").select("bucket", "class").join(classes.select("class", "n", "bits"), "class")
+    whole = blobs.unionByName(members.select("bucket", F.lit(None).cast("binary").alias("blob"), "class", "n", "bits"))
+    return whole.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -311,57 +389,97 @@ class _Index:
         return np.bincount(self.doc[where], minlength=len(self.members))
 
 
-def _links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Links (index, indices) that connect what all links of a block connect: each set is searched among those not reached yet."""
+def _links(sets: list[np.ndarray], label: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Links (index, indices) that connect what all links of a block connect: each set is searched among those not reached yet.
+
+    Sets with one label are connected already.
+    """
     size = np.array([len(s) for s in sets])
     free = np.ones(len(sets), dtype=bool)
+    order = np.argsort(label, kind="stable")
+    first, last = np.searchsorted(label[order], label, "left"), np.searchsorted(label[order], label, "right")
     index = _Index(sets, np.arange(len(sets)))
+    left = len(sets)
     for seed in range(len(sets)):
         if not free[seed]:
             continue
-        free[seed] = False
-        queue = [seed]
-        while queue and free.any():
+        queue = order[first[seed] : last[seed]].tolist()
+        free[queue] = False
+        left -= len(queue)
+        while queue and left:
             i = queue.pop()
-            if 2 * free.sum() < len(index.members):
+            if 2 * left < len(index.members):
                 index = _Index(sets, np.flatnonzero(free))
             both = index.overlaps(sets[i], sets, -(-percent * len(sets[i]) // 100))
             m = index.members
             at = m[(100 * both >= percent * (size[i] + size[m] - both)) & free[m] & (both > 0)]
             if len(at):
-                free[at] = False
-                queue += at.tolist()
+                reached = np.concatenate([order[first[x] : last[x]] for x in at[np.unique(first[at], return_index=True)[1]].tolist()])
+                free[reached] = False
+                left -= len(reached)
+                queue += reached.tolist()
                 yield i, at
 
 
-def verified_links(groups: DataFrame, sets: DataFrame, percent: int, parts: int, block: int = _BLOCK) -> DataFrame:
-    """Links (a, b) within groups (node, component) of candidates, enough of them to connect what all links connect.
-
-    Groups with more than ``block`` elements in their sets are cut into blocks by a hash, and all pairs of
-    blocks are searched; so each task holds two blocks at most, or one set.
-    """
-    sized = groups.join(sets, groups["node"] == sets["class"]).select("component", "class", "set", (F.octet_length("set") / 8).alias("_n"))
-    total = groups.join(sets.select("class", (F.octet_length("set") / 8).alias("_n")), groups["node"] == F.col("class")).groupBy("component").agg(F.ceil(F.sum("_n") / block).cast("int").alias("_k"))
-    total = materialise(total.filter("_k > 1"), "large")
-    mine = F.pmod(F.xxhash64("class"), F.col("_k")).cast("int")
-    other = F.explode(F.when(F.col("_k").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda x: x != mine)))
-    dealt = sized.join(total, "component", "left").withColumn("_mine", F.coalesce(mine, F.lit(0))).select("component", "class", "set", "_mine", other.alias("_other"))
-    dealt = dealt.select("class", "set", F.xxhash64("component", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("_group"))
+def _search(dealt: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links (a, b) within each ``_group`` of (class, set, label); groups share a task as buckets have it."""
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("_group", "ascending"), ("class", "ascending")]).combine_chunks()
-        group, cls = table.column("_group").to_numpy(), table.column("class").to_numpy()
+        group, cls, label = (table.column(c).to_numpy() for c in ("_group", "class", "label"))
         packed = table.column("set").chunk(0) if table.num_rows else pa.array([], pa.binary())
         edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if len(group) else np.zeros(1, int)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             sets = [np.frombuffer(packed[i].as_buffer(), dtype=np.uint64) for i in range(s, e)]
-            for i, at in _links(sets, percent) if e - s > 1 else ():
+            for i, at in _links(sets, label[s:e], percent) if e - s > 1 else ():
                 a.append(np.full(len(at), cls[s + i]))
                 b.append(cls[s:e][at])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return dealt.groupBy(F.pmod("_group", F.lit(4 * parts)).alias("_bucket")).applyInArrow(search, "a bigint, b bigint")
+    columns = dealt.select("class", "label", "set", "_group", F.pmod("_group", F.lit(4 * parts)).alias("_bucket"))
+    return columns.groupBy("_bucket").applyInArrow(search, "a bigint, b bigint")
+
+
+def verified_links(groups: DataFrame, sets: DataFrame, percent: int, parts: int, small: int = _SMALL, block: int = _BLOCK) -> DataFrame:
+    """Links (a, b) within groups (node, component) of candidates, enough of them to connect what all links connect.
+
+    Groups with more than ``small`` elements in their sets are dealt to blocks of about that size and
+    searched there; then one set of each part that is linked so far, again in blocks; then, for the groups
+    that are still in parts, all pairs of blocks. There are eight of these blocks at most until one would
+    exceed ``block`` elements; so each task holds two such blocks at most, or one set.
+    """
+    sized = sets.withColumn("_n", F.octet_length("set") / 8)
+    own = groups.select(F.col("node").alias("class"), "component")
+    blocks = own.join(sized.select("class", "_n"), "class").groupBy("component").agg(F.sum("_n").alias("_n"))
+    large = materialise(blocks.filter(F.col("_n") > small).select("component", F.ceil(F.col("_n") / small).cast("int").alias("_k")), "large")
+    place = lambda salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col("_k")).cast("int")
+    dealt = own.join(large, "component", "left").join(sets, "class")
+    first = _search(dealt.select("class", F.col("class").alias("label"), "set", F.xxhash64("component", F.coalesce(place(0), F.lit(0))).alias("_group")), percent, parts)
+    if large.isEmpty():
+        return first
+    first = materialise(first, "links")
+    own = own.join(large, "component")
+
+    def parted(links: DataFrame) -> DataFrame:
+        found = connected_components(links).withColumnRenamed("node", "class")
+        return materialise(own.join(found.withColumnRenamed("component", "_label"), "class", "left").select("class", "component", F.coalesce("_label", "class").alias("label")), "parts")
+
+    now = parted(first.join(own.select(F.col("class").alias("a")), "a", "left_semi"))
+    heads = now.filter("class = label").join(sized, "class")
+    count = heads.groupBy("component").agg(F.ceil(F.sum("_n") / small).cast("int").alias("_k"))
+    second = _search(heads.drop("_n").join(count, "component").select("class", "label", "set", F.xxhash64("component", place(1)).alias("_group")), percent, parts)
+    second = materialise(second, "links")
+    now = parted(first.join(own.select(F.col("class").alias("a")), "a", "left_semi").union(second))
+    open_ = now.groupBy("component").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("component")
+    rest = materialise(now.join(open_, "component", "left_semi").join(sized, "class"), "rest")
+    count = rest.groupBy("component").agg(F.sum("_n").alias("_n"))
+    count = count.select("component", F.greatest(F.least(F.lit(8), F.ceil(F.col("_n") / small)), F.ceil(F.col("_n") / block)).cast("int").alias("_k"))
+    mine = place(2)
+    others = F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda x: (x != mine) | (F.col("_k") == 1))
+    pairs = rest.drop("_n").join(count, "component").select("class", "label", "set", "component", mine.alias("_mine"), F.explode(others).alias("_other"))
+    third = _search(pairs.select("class", "label", "set", F.xxhash64("component", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("_group")), percent, parts)
+    return first.union(second).union(third)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -371,15 +489,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     Texts without words, null ones too, have no shingles and are their own component. Repeated rows
     have equal sets, so they are one class. Other columns of ``docs`` are not read.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = materialise(shingle_rows(docs, width), "shingles")
-    texts = rows.filter("slice is null").select("doc_id", "n", "class", "b0", "b1")
+    texts = rows.filter("slice is null").select("doc_id", "n", "class", "bits")
     marks = _long_lists(rows.filter("slice is not null").select("slice", "counts"))
-    classes = materialise(
-        texts.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("b0").alias("b0"), F.max("b1").alias("b1")), "classes"
-    )
-    lists = postings(docs, marks, width, percent, parts).join(classes.select("class", "n", "b0", "b1"), "class")
-    groups = materialise(connected_components(candidate_edges(lists, percent, parts)), "groups")
+    classes = materialise(texts.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
+    posted = (classes.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-posted // _RANGE))
+    lists = materialise(postings(docs, marks, width, percent, parts), "lists")
+    groups = materialise(connected_components(candidate_edges(lists, classes, percent, parts)), "groups")
     wanted = groups.select(F.col("node").alias("class")).join(classes.select("class", "doc_id"), "class")
     sets = materialise(_fetch(docs, materialise(wanted, "wanted"), width).dropDuplicates(["class"]), "sets")
     linked = connected_components(verified_links(groups, sets, percent, parts)).withColumnRenamed("node", "class")

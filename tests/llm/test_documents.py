@@ -109,13 +109,66 @@ def test_jaccard_blocks_lose_nothing(spark, monkeypatch):
     texts = {}
     for i in range(60):
         copy = list(base)
-        for k in rnd.sample(range(80), 3):
-            copy[k] = f"c{i}_{k}"
+        for k in rnd.sample(range(80), rnd.randint(0, 3)):
+            copy[k] = f"c{i % 9}_{k}"
         texts[i] = " ".join(copy)
     frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    monkeypatch.setattr(j.verified_links, "__defaults__", (400,))
-    got = {r.doc_id: r.component_id for r in op9_jaccard(frame).collect()}
-    assert got == {i: c for i, (_, c) in components_of(texts).items()}
+    wanted = {i: c for i, (_, c) in components_of(texts).items()}
+    assert 2 < len(set(wanted.values())) < 40
+    for small, block, hot in ((400, 400, 1 << 16), (100, 4_000, 7), (2_000, 700, 20)):
+        monkeypatch.setattr(j.verified_links, "__defaults__", (small, block))
+        monkeypatch.setattr(j, "_LIST", hot)
+        monkeypatch.setattr(j, "_RANGE", 1 << 8)
+        assert {r.doc_id: r.component_id for r in op9_jaccard(frame).collect()} == wanted
+
+
+def test_bitmaps_bound_the_similarity():
+    import paperlake.llm.jaccard as j
+
+    rnd = np.random.default_rng(5)
+    sets = []
+    for n in (1, 5, 7, 60, 64, 65, 120, 129, 500, 513, 1000, 1030, 1279, 2100):
+        base = j.mix(rnd.integers(0, 1 << 62, n, dtype=np.uint64))
+        for share in (0, 0.03, 0.1, 0.2, 0.5):
+            fresh = j.mix(rnd.integers(0, 1 << 62, n, dtype=np.uint64))
+            sets.append(np.unique(np.concatenate((base[int(n * share) :], fresh[: int(n * share)]))))
+            sets.append(np.unique(base[: max(1, int(n * (1 - share)))]))
+    bits = [pa.py_buffer(j._parities(s)) for s in sets]
+    known = j._Bitmaps(np.array([len(s) for s in sets]), bits, 80)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    both = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(a, b)])
+    linked = 100 * both >= 80 * (known.n[a] + known.n[b] - both)
+    allowed = known.allow(a, b)
+    assert allowed[linked].all() and (allowed & ~linked).sum() < 0.3 * linked.sum()
+
+
+def test_jaccard_of_random_near_copies(spark):
+    """Several hundred words, similarities about the limit, sizes about powers of two, and a passage that all texts hold."""
+    rnd = random.Random(11)
+    common = " ".join(f"q{i}" for i in range(30))
+    texts = {}
+    for g in range(30):
+        n = rnd.choice([5, 6, 9, 12, 60, 130, 260, 520, 1028, 1300])
+        base = [f"g{g}x{rnd.randrange(10**6)}" for _ in range(n)]
+        for c in range(6):
+            copy = list(base)
+            for _ in range(rnd.randint(0, max(1, n // 40))):
+                copy[rnd.randrange(len(copy))] = f"new{rnd.randrange(10**9)}"
+            copy = copy[: len(copy) - rnd.randint(0, n // 6)]
+            texts[10 * g + c] = " ".join(copy) + " " + common
+    wanted = components_of(texts)
+    assert 60 < len({c for _, c in wanted.values()}) < 170
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op9_jaccard(frame).collect()} == wanted
+
+
+def test_jaccard_of_stop_texts(spark):
+    """All texts are made of a few frequent shingles, so all their lists are long."""
+    rnd = random.Random(12)
+    passages = [" ".join(f"p{i}_{k}" for k in range(12)) for i in range(9)]
+    texts = {i: " ".join(rnd.sample(passages, rnd.randint(1, 9))) for i in range(400)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op9_jaccard(frame).collect()} == components_of(texts)
 
 
 def test_jaccard_near_copies_of_all_lengths(spark):
