@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and literals that source or configuration text assigns to sensitive names.
 
 The lexer reads assignments of the forms ``name = value``, ``name: value``, ``"name": value``,
-``name => value`` and ``export NAME=value`` into (name, literal) pairs. A value is a quoted string, a
-``+`` chain of quoted strings and names, a bare name, or, in configuration lines, a bare word. Names
-assigned before stand for their literals (constant propagation), so ``K = "..."; password = K`` finds
-the literal where it is written. A literal counts by the target's name, its length, its variety of
-characters and its entropy; see ``score_literal``.
+``name: type = value``, ``name => value``, ``name += value`` and ``export NAME=value`` into (name, literal)
+pairs. A value is a quoted string, a ``+`` chain of quoted strings and names, a bare name, or, in
+configuration lines, a bare word. Names assigned before stand for their literals (constant propagation), so
+``K = "..."; password = K`` finds the literal where it is written; an assignment of anything else, a call
+for one, makes a name unknown again. A literal counts by the target's name, its length, its variety of
+characters and its entropy; see ``score_literal``. Literals that lie within a base span aren't told twice;
+those that reach beyond one are spans of their own, and ``redact`` masks overlapping spans together.
 
 Nulls and empty texts have no spans. Offsets are in code points, end exclusive.
 """
@@ -14,8 +16,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,7 +36,8 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _QUOTED = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*"
 _TERM = rf"(?:{_QUOTED}|{_NAME}|[A-Za-z0-9/_.~-][A-Za-z0-9+/_.=~-]*)"
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])["']?({_NAME})["']?[ \t]*(?::=|=>|=|:)[ \t]*({_TERM}(?:[ \t]*\+[ \t]*{_TERM})*)""")
+_TYPE = rf":[ \t]*{_NAME}(?:\[[^\[\]\n]*\])?[ \t]*=(?![=>])"
+_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])["']?({_NAME})["']?[ \t]*({_TYPE}|:=|=>|\+=|=(?!=)|:)[ \t]*({_TERM}(?:[ \t]*\+[ \t]*{_TERM})*)?""")
 _PART = re.compile(rf"({_QUOTED})|({_TERM})")
 _IDENTIFIER = re.compile(rf"{_NAME}\Z")
 #: Parts of a target name that make its literal sensitive, with their weight.
@@ -77,45 +81,56 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class _Reach:
-    """Distinct literals that reach a value, in order: ``parts``, joined and counted. One that goes on from the last is not walked again."""
+    """Distinct literals that reach a value, in order: ``parts``, joined and counted. One that grows the last at either end is not walked again."""
 
     def __init__(self) -> None:
         self.value: list | None = None
+        self.fresh: list[tuple[str, int, int]] = []
 
-    def walk(self, value: list) -> None:
+    def _expand(self, items: Iterable) -> list[tuple[str, int, int]]:
         """Values are lists of literals and of the values they join; each is walked once, as all places differ."""
-        if self.value is not None and value[0] is self.value:
-            rest = iter(value[1:])
-        else:
-            self.parts: list[tuple[str, int, int]] = []
-            self.text, self.counts, self.seen, self.spanned = "", Counter(), set(), 0
-            rest = iter(value)
-        self.value = value
-        self.seen.add(id(value))
-        old, stack = len(self.parts), [rest]
+        found, stack = [], [iter(items)]
         while stack:
             for item in stack[-1]:
                 if isinstance(item, tuple):
-                    self.parts.append(item)
+                    found.append(item)
                 elif id(item) not in self.seen:
                     self.seen.add(id(item))
                     stack.append(iter(item))
                     break
             else:
                 stack.pop()
-        new = "".join(x[0] for x in self.parts[old:])
-        self.text += new
-        self.counts.update(new)
+        return found
+
+    def walk(self, value: list) -> None:
+        at = next((k for k, x in enumerate(value) if x is self.value), None) if self.value is not None else None
+        if at is None:
+            self.parts: list[tuple[str, int, int]] = []
+            self.text, self.counts, self.seen, self.fresh = "", Counter(), set(), []
+            at = 0
+        self.value = value
+        self.seen.add(id(value))
+        before = self._expand(value[:at])
+        after = self._expand(value[at:])
+        self.parts = [*before, *self.parts, *after] if before else self.parts + after
+        self.fresh += before + after
+        head, tail = "".join(x[0] for x in before), "".join(x[0] for x in after)
+        self.text = head + self.text + tail
+        self.counts.update(head)
+        self.counts.update(tail)
 
 
 def _values(text: str) -> Iterator[tuple[str, list]]:
     """(name, value) in order; a value has literals and, not copied, the values of the names it joins, so all take memory as the text."""
     known: dict[str, list] = {}
     for m in _PAIR.finditer(text):
-        value: list = []
-        for p in _PART.finditer(text, m.start(2), m.end(2)):
+        value: list = [known[m[1]]] if m[2] == "+=" and m[1] in known else []
+        called = text.startswith("(", m.end())
+        for p in _PART.finditer(text, m.start(3), m.end(3)) if m[3] else ():
             if p[1] is not None:
                 value.append((p[1][1:-1], p.start() + 1, p.end() - 1))
+            elif called and p.end() == m.end():
+                continue
             elif _IDENTIFIER.match(p[2]) and p[2] in known:
                 value.append(known[p[2]])
             elif not _IDENTIFIER.match(p[2]) or any(c.isdigit() for c in p[2]):
@@ -123,6 +138,8 @@ def _values(text: str) -> Iterator[tuple[str, list]]:
         if value:
             known[m[1]] = value
             yield m[1], value
+        else:
+            known.pop(m[1], None)
 
 
 def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
@@ -133,21 +150,39 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
         yield name, list(reach.parts)
 
 
+def _union(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans, sorted by start, cover together."""
+    starts, ends = [], []
+    for _, a, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def secret_spans(text: str | None, threshold: float = 0.7) -> list[tuple[str, int, int]]:
-    """Base spans and literals with a score of ``threshold`` or more that no base span covers in part."""
+    """Base spans and, with a score of ``threshold`` or more, literals that base spans don't cover whole."""
     if not text:
         return []
     base = base_spans(text)
     if ":" not in text and "=" not in text:
         return base
+    starts, ends = _union(base)
+
+    def covered(a: int, b: int) -> bool:
+        k = bisect_right(starts, a) - 1
+        return k >= 0 and b <= ends[k]
+
     added, reach = set(), _Reach()
     for name, value in _values(text):
         if threshold > 0 and not _target_weight(name):
             continue
         reach.walk(value)
         if score_literal(name, reach.text, reach.counts) >= threshold:
-            added.update(("literal", a, b) for _, a, b in reach.parts[reach.spanned :] if b > a and not any(a < e and s < b for _, s, e in base))
-            reach.spanned = len(reach.parts)
+            added.update(("literal", a, b) for _, a, b in reach.fresh if b > a and not covered(a, b))
+            reach.fresh = []
     return sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0]), x[2])) if added else base
 
 

@@ -259,6 +259,23 @@ def test_secrets_of_long_chains():
     assert len([x for x in secret_spans(many) if x[0] == "literal"]) > 1_900
 
 
+def test_secrets_beyond_base_spans_and_after_new_values():
+    text = 'x = 1\npassword = "abcDEF123456!@#xyzTAIL99"\nend'
+    assert secret_spans(text) == [("assign", 6, 30), ("literal", 18, 42)]
+    assert redact(text, secret_spans(text)) == 'x = 1\n[SECRET]"\nend'
+    assert secret_spans('password = "Abcdefgh1234"') == [("assign", 0, 24)]  # the base span has all of it
+    assert secret_spans('K = "h7Tr9qLmZx2"\nK = load()\npassword = K') == []
+    assert secret_spans('K = "h7Tr9qLmZx2"\nK = [1]\nif K == 3: pass\npassword = K') == []
+    assert secret_spans('K = "h7Tr9qLmZx2"\nif K == other: pass\npassword = K') == [("literal", 5, 16)]
+    assert secret_spans('const password: string = "h7 Tr9q"\nDB_PASSWORD: str = "h7!Tr9qLmZx2"') == [("literal", 55, 67)]
+    assert secret_spans('client_secret = "a!"\nclient_secret += "b8Fk2LmQ9z"') == [("literal", 17, 19), ("literal", 39, 49)]
+    assert secret_spans('load = "h7Tr9qLmZx2"\npassword = load()') == []
+    grown = 'k = "x"\n' + "\n".join(f'k = "z{i}" + k' for i in range(3_000)) + "\nsecret_key = k"
+    assert len(secret_spans(grown)) == 3_001
+    many = "\n".join(f"token_{i} = '{i:07d}!Qz{i:05d}'" for i in range(4_000))
+    assert len(secret_spans(many)) == 4_000
+
+
 def test_secrets_digest(spark, odd):
     rows = [(1, 'secret="abcdefghijkl" and token = abcdefabcdefabcdef'), (2, None), (3, "")]
     got = {r.doc_id: r for r in op8_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
