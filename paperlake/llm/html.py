@@ -2,8 +2,11 @@
 
 A page is cut into blocks at block-level tags. Blocks in menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments, as elements, roles or class names tell, are boilerplate.
-The first pass labels the others by length, density of stop words and density of links; short blocks
-and those between the limits stay open. In the second pass an open block takes the label of its
+A class name tells it as a whole or as a compound of known words (``site-footer``, ``nav-wrapper``), not by
+a word in it (``social-science``, ``article-header``); some names are weak, and a long block with few links
+outvotes them. The first pass labels the others by length, density of stop words and density of links; short
+blocks and those between the limits stay open. On a page in a language without stop words here, as its whole
+text tells, length and links alone decide. In the second pass an open block takes the label of its
 nearest decided neighbour. Inside an ``article`` or ``main`` element only neighbours there count that aren't
 boilerplate by their markup, and what stays open is text; outside, a tie is boilerplate.
 
@@ -36,26 +39,36 @@ _VOID = frozenset("hr br img input meta link area base col embed source track wb
 _RAW = frozenset("script style textarea noscript template iframe noframes xmp svg math object video audio canvas".split())
 _BAD = frozenset("nav aside footer form menu head title button select dialog fieldset search".split())
 _ROLES = frozenset("navigation banner complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
-_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar comment comments respond reply replies disqus share sharing social related recommended recommendations widget toolbar".split()
+#: Words of class names and ids that make boilerplate, and weak ones, which a long block of prose outvotes.
+_STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored banner cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar comment comments respond replies disqus".split()
 )
-_IN_MAIN = _WORDS - {"header", "banner", "notice", "alert"}
+_WEAK = frozenset("promo promotion rail header overlay subscription reply share sharing social related recommended recommendations widget widgets toolbar".split())
+#: Words that may stand beside those in a compound name.
+_BESIDE = frozenset(
+    "area aside bar block body bottom box button buttons center col column container content desktop fixed form global group holder icons inner item items label left link links list main message mobile module outer page panel "
+    "popular post posts articles stories primary right row secondary section site slot space sticky text thread title top unit web wrap wrapper wide".split()
+)
+#: What these words head belongs to the article.
+_OWN = frozenset("article chapter entry page post section story content main".split())
+_IN_MAIN = frozenset({"header"})
 _COMMENT = frozenset("comment comments respond reply replies disqus".split())
 _CLOSES_P = _BLOCK - {"body", "html", "head", "option", "optgroup", "button", "select", "label"}
 _TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s<>/]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>|(/?)([a-zA-Z][^\s<>/]*)([^<>]*)>|[!?][^<>]*>)""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-_TOKEN = re.compile(r"[a-z]+")
+_TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _WORD = re.compile(r"\w+")
 
 
 @dataclass
 class Block:
-    """Text of a block and what the rules ask of it. ``group`` numbers the article or main element around it, 0 for none."""
+    """Text of a block and what the rules ask of it. ``weak`` marks a boilerplate name that prose outvotes; ``group`` numbers the article or main element around it, 0 for none."""
 
     parts: list[str] = field(default_factory=list)
     bad: bool = False
+    weak: bool = False
     group: int = 0
     heading: bool = False
     linked: int = 0
@@ -66,31 +79,56 @@ class Block:
     def density(self) -> float:
         return self.linked / max(1, len(self.text))
 
-    def stop_density(self) -> float:
+    def stop_words(self) -> tuple[int, int]:
+        """Number of stop words and of words."""
         words = _WORD.findall(self.text.lower())
-        return sum(w in STOP for w in words) / len(words) if words else 0.0
+        return sum(w in STOP for w in words), len(words)
 
-
-def _attributes(name: str, raw: str, group: int) -> bool:
-    """Do the attributes make the element boilerplate?"""
-    words: set[str] = set()
+    def stop_density(self) -> float:
+        stop, words = self.stop_words()
+        return stop / max(1, words)
+
+
+def _named(name: str, group: int) -> int:
+    """2 if a class name or id is one of boilerplate, 1 if weakly so, else 0.
+
+    A compound counts if all its words are known, one at least as boilerplate; or, strongly, if its last word
+    is one, whatever comes before. ``article-header`` and its like are the article's own.
+    """
+    words = [w.lower() for w in _TOKEN.findall(name)]
+    if not words or words[-1] in _WEAK and words[0] in _OWN and len(words) > 1:
+        return 0
+    strong, weak = (any(w in k and not (group and w in _IN_MAIN) for w in words) for k in (_STRONG, _WEAK))
+    if not strong and not weak:
+        return 0
+    if words[-1] in _STRONG:
+        return 2
+    known = all(w in _STRONG or w in _WEAK or w in _BESIDE or w in _OWN for w in words)
+    return (2 if strong else 1) if known and not words[0] == "has" else 0
+
+
+def _attributes(name: str, raw: str, group: int) -> int:
+    """Do the attributes make the element boilerplate? 2 strongly, 1 weakly, 0 not."""
+    told = 0
     for m in _ATTRIBUTE.finditer(raw):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return True
+            return 2
         if key == "role" and value.lower() in _ROLES:
-            return True
-        if key in ("class", "id"):
-            words.update(_TOKEN.findall(value.lower()))
-    if name in ("html", "body", "main"):
-        return False
-    return bool(words & (_COMMENT if name == "article" else _IN_MAIN if group else _WORDS))
+            return 2
+        if key in ("class", "id") and name not in ("html", "body", "main"):
+            for x in value.split():
+                if name != "article":
+                    told = max(told, _named(x, group))
+                elif _COMMENT.intersection(w.lower() for w in _TOKEN.findall(x)):
+                    told = 2
+    return told
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, bool, bool, int]] = []
     open_names: dict[str, int] = {}
     now = Block()
     anchor, groups, at, size = 0, 0, 0, len(page)
@@ -100,8 +138,8 @@ def blocks_of(page: str) -> list[Block]:
         now.text = " ".join("".join(now.parts).split())
         if now.text:
             found.append(now)
-        _, bad, group = stack[-1] if stack else ("", False, 0)
-        now = Block(bad=bad, group=group, heading=bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6"))
+        _, bad, weak, group = stack[-1] if stack else ("", False, False, 0)
+        now = Block(bad=bad, weak=weak, group=group, heading=bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6"))
 
     def say(text: str) -> None:
         if text:
@@ -157,44 +195,55 @@ def blocks_of(page: str) -> list[Block]:
                 close("p")
             if name in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
                 close(name)
-            _, bad, group = stack[-1] if stack else ("", False, 0)
+            _, bad, weak, group = stack[-1] if stack else ("", False, False, 0)
             if name == "body" and open_names.get("head"):
                 close("head")
-                bad = False
+                bad = weak = False
             if name in ("article", "main") and not group and not bad:
                 groups += 1
                 group = groups
-            bad = bad or name in _BAD or name == "header" and not group or bool(raw) and _attributes(name, raw, group)
+            told = _attributes(name, raw, group) if raw else 0
+            bad = bad or name in _BAD or name == "header" and not group or told == 2
+            weak = weak or told == 1
             if name not in _VOID and not raw.endswith("/"):
-                stack.append((name, bad, group))
+                stack.append((name, bad, weak, group))
                 open_names[name] = open_names.get(name, 0) + 1
             cut()
     cut()
     return found
 
 
-def _decided(b: Block) -> bool | None:
-    """First pass: text, boilerplate, or open."""
+def _decided(b: Block, listed: bool) -> bool | None:
+    """First pass: text, boilerplate, or open. ``listed``: the page is in a language with stop words here."""
     if b.bad:
         return False
     n, links = len(b.text), b.density
+    if b.weak:
+        return n >= 200 and links <= 0.1 and (not listed or b.stop_density() >= 0.15)
     if b.group:
         if links > 0.66 and b.links > 1:
             return False
-        return True if n >= 60 and b.stop_density() >= 0.1 else None
+        return True if n >= 60 and links <= 0.5 else None
     if links > 0.5 or links > 0.33 and n < 200 or b.text.startswith("©"):
         return False
     if n < 70 or b.heading:
         return None
+    if not listed:
+        return True if n >= 100 and links <= 0.2 else None
     stop = b.stop_density()
-    if stop >= 0.25 or n >= 200 and stop >= 0.15:
-        return True
-    return False if n >= 140 and stop < 0.05 else None
+    return True if stop >= 0.25 or n >= 200 and stop >= 0.15 else None
+
+
+def _listed(blocks: list[Block]) -> bool:
+    """Has the prose of the page stop words, so that blocks without them are suspect?"""
+    counts = [b.stop_words() for b in blocks if not b.bad and len(b.text) >= 70 and b.density <= 0.33]
+    return sum(s for s, _ in counts) >= 0.05 * sum(w for _, w in counts)
 
 
 def label_blocks(blocks: list[Block]) -> list[bool]:
     """Is each block main text? Both passes."""
-    first = [_decided(b) for b in blocks]
+    listed = _listed(blocks)
+    first = [_decided(b, listed) for b in blocks]
     out = [bool(x) for x in first]
     count = len(blocks)
     near: list[list[int | None]] = [[None] * count, [None] * count]
@@ -206,7 +255,7 @@ def label_blocks(blocks: list[Block]) -> list[bool]:
             near[side][i] = last.get(group) if group else outside
             if first[i] is not None:
                 outside = i
-                if not blocks[i].bad:
+                if not blocks[i].bad and not (blocks[i].weak and not first[i]):
                     last[group] = i
     for i, b in enumerate(blocks):
         if first[i] is not None:

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import html
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -118,6 +120,9 @@ def test_warc_splits_filters_and_damage(spark, tmp_path):
 ARTICLE = "<p>It was the best of times, it was the worst of times, and it was the age of all of us in the town.</p>"
 
 
+JAPANESE = "昔々ある所に大きな町があり、人々は毎日市場に出かけて魚や野菜を買い、夜になると川のほとりで歌を歌って過ごしていた。" * 2
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
@@ -128,6 +133,12 @@ ARTICLE = "<p>It was the best of times, it was the worst of times, and it was th
         (f"<body class='has-sidebar'><div id=sidebar>{ARTICLE}</div><div class=content><h2>Head</h2>{ARTICLE}<p>Short.</p>{ARTICLE}</div><div class=cookie-notice>{ARTICLE}</div>", "Head " + " ".join([ARTICLE[3:-4], "Short.", ARTICLE[3:-4]])),
         ("<article><p>a<p>b<li>c</article><p>out of it</p>", "a b c"),
         ("<article>1 < 2 and x&#233;&nbsp;y &am</article>", "1 < 2 and xé y &am"),
+        (f"<article><h1>T</h1><div class='social-science'>{ARTICLE}</div><div class='social'><a href=x>Share</a> this</div><div class=post-comments>{ARTICLE}</div></article>", "T " + ARTICLE[3:-4]),
+        (f"<article><div class='article-header'><h1>Head</h1></div>{ARTICLE}<div class='share-buttons'>tell all</div></article>", "Head " + ARTICLE[3:-4]),
+        (f"<div class=story><div class=article-header><h1>Head</h1></div>{ARTICLE}<div class=related-articles><p>More of it</p></div><div class='site-footer'>{ARTICLE}</div></div>", "Head " + ARTICLE[3:-4]),
+        (f"<div class=siteFooter>{ARTICLE}</div><div class=widget>{ARTICLE * 3}</div><div class=col><p>{ARTICLE[3:-4] * 3}</p></div>", ARTICLE[3:-4] * 3),
+        (f"<div class=nav><a href=x>家</a></div><div class=text><h1>題</h1><p>{JAPANESE}</p><p>短い文。</p><p>{JAPANESE}</p></div><div class=footer>会社概要</div>", f"題 {JAPANESE} 短い文。 {JAPANESE}"),
+        (f"<article><p>{JAPANESE}</p><ul><li><a href=a>一</a> <a href=b>二</a></li></ul></article>", JAPANESE),
     ],
 )
 def test_main_text(page, text):
@@ -139,6 +150,27 @@ def test_main_text_is_linear_and_total():
         assert isinstance(main_text(page), str)
 
 
+def test_pages_give_their_articles(spark):
+    """On the driver's pages the text is what stands between the tags of the article, read here by plain replacement."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in op6_html(rows).collect()}
+    equal = 0
+    for r in rows.collect():
+        inner = re.search(r"(?s)<article>(.*)</article>", r.html or "")
+        parts = re.split(r"</?(?:p|h1|br)>", inner[1]) if inner else []
+        text = [" ".join(html.unescape(re.sub(r"</?b>", "", x)).split()) for x in parts]
+        equal += " ".join(x for x in text if x) == got[r.page_id]
+    assert equal >= 0.99 * len(got)
+
+
+def test_html_empty_table_and_other_columns(spark):
+    rows = spark.createDataFrame([(1, None, None, "t"), (2, "u", ARTICLE, None), (2, "u", ARTICLE, None), (None, "", "<article>a\tb</article>", "x")], "page_id bigint, url string, html string, text string")
+    assert sorted(map(str, op6_html(rows).select("page_id", "text", "n_chars").collect())) == sorted(
+        ["Row(page_id=1, text='', n_chars=0)", *[f"Row(page_id=2, text='{ARTICLE[3:-4]}', n_chars={len(ARTICLE) - 7})"] * 2, "Row(page_id=None, text='a b', n_chars=3)"]
+    )
+    assert op6_html(rows.limit(0)).count() == 0
+
+
 def test_html_rows(pages):
     got = op6_html(pages).collect()
     assert len(got) == 65 and all(r.n_chars == len(r.text) for r in got)
