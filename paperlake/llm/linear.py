@@ -9,6 +9,7 @@ shard. The model that is broadcast has at most ``2 ** bits`` weights.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -73,25 +74,38 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
 
+    def calibrate(self, probability: np.ndarray, y: np.ndarray, odds: float) -> None:
+        """Fit slope and offset to labels of rows that weren't trained on, by the probabilities that the bare weights give them.
+
+        Without rows of both labels the model's own margin stands. ``odds`` is the offset of the sample's odds.
+        """
+        p = np.clip(probability, 1e-9, 1 - 1e-9)
+        self.slope, self.offset = platt(np.log(p / (1 - p)) + self.bias, y)
+        self.offset -= odds
+
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * (margin + self.bias) + self.offset)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, where=None) -> DataFrame:
-    """(doc_id, text, y, key) of about ``max_rows`` labelled documents at most, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, where=None, least: int = 1_000) -> tuple[DataFrame, float]:
+    """(doc_id, text, y, key) of about ``max_rows`` labelled documents at most, chosen by a hash of the id, and the offset of their odds.
 
-    ``max_rows`` bounds what is trained on, and so what is broadcast to find these rows: 16 bytes each.
-    Rows with a null id or label are left out; an id labelled more than once counts with its largest label.
+    ``max_rows`` bounds what is trained on, and so what is broadcast to find these rows: 16 bytes each. A label
+    with few rows keeps ``least`` of them if it has so many; the odds of label 1 are then e to the offset times
+    those among all labelled rows, which ``Model.calibrate`` takes back. Rows with a null id or label are left
+    out; an id labelled more than once counts with its largest label.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if where is not None:
         known = known.filter(where)
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    total = known.count()
+    known = known.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    share = {y: min(1.0, max(max_rows / total, least / n)) for y, n in counts.items()}
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(7))
-    share = min(1.0, max_rows / max(1, total))
-    chosen = known.withColumn("key", key).filter(F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    part = F.pmod("key", F.lit(1 << 53)) / float(1 << 53)
+    chosen = known.withColumn("key", key).filter(part < F.when(F.col("y") == 1, F.lit(share.get(1, 1.0))).otherwise(F.lit(share.get(0, 1.0))))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), math.log(share.get(1, 1.0) / share.get(0, 1.0))
 
 
 def train(sample: DataFrame, features: Callable[[pa.RecordBatch], list[Example]], settings: dict, epochs: int, shard_rows: int, rows: int) -> Model:

@@ -1,8 +1,8 @@
 """Quality rules: counts with fixed limits, and logistic regression on hashed word and character n-grams.
 
 Words are runs of characters other than white space in ASCII's sense, lines are parted by ``\\n``. The
-counts of a text are exact but for clashes of 64-bit hashes. The model's features are the shares of byte
-trigrams and of words and word pairs in a text; so its margin is a mean of weights over positions, found
+counts of a text are exact but for clashes of 64-bit hashes. The model's features are the shares of trigrams
+of code points and of words and word pairs in a text; so its margin is a mean of weights over positions, found
 for a whole Arrow batch at once. It is trained on labelled rows by FTRL-proximal and calibrated on rows
 kept from training; a text is kept if it passes the base rules and its probability reaches a threshold.
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import Example, Model, labelled_sample, platt, train
+from .linear import Example, Model, labelled_sample, train
 from .words import Words, mix, slices, span_hashes, words_of
 
 __all__ = ["THRESHOLD", "base_counts", "fit_quality", "op5_quality", "score_quality"]
@@ -78,14 +78,29 @@ def base_counts(w: Words) -> dict[str, np.ndarray]:
     return out
 
 
+def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and where each starts."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at].astype(np.uint32)
+    more = (lead >= 0xC0).astype(np.int8) + (lead >= 0xE0) + (lead >= 0xF0)
+    point = np.where(more == 0, lead, lead & (np.uint32(0x3F) >> more.astype(np.uint32)))
+    for k in range(1, 4):
+        some = np.flatnonzero(more >= k)
+        if len(some):
+            point[some] = (point[some] << np.uint32(6)) | (data[at[some] + k] & np.uint32(0x3F))
+    return point, at
+
+
 def _indices(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, index) of each position: byte trigrams, then words and word pairs."""
-    data = w.data.astype(np.uint32)
-    row = np.repeat(np.arange(len(w.counts)), np.diff(w.offsets))
-    if len(data) > 2:
+    """(row, index) of each position: trigrams of code points, then words and word pairs."""
+    point, at = _code_points(w.data)
+    row = np.repeat(np.arange(len(w.counts), dtype=np.int32), np.diff(np.searchsorted(at, w.offsets)))
+    if len(point) > 2:
         same = row[:-2] == row[2:]
-        gram = (data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:])[same]
-        yield row[:-2][same], ((gram * np.uint32(2654435761)) >> np.uint32(32 - CHAR_BITS)).astype(np.int64)
+        with np.errstate(over="ignore"):
+            gram = ((point[:-2] * np.uint32(0x9E3779B1) + point[1:-1]) * np.uint32(0x85EBCA77) + point[2:])[same]
+            gram = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        yield row[:-2][same], (gram >> np.uint32(32 - CHAR_BITS)).astype(np.int64)
     else:
         yield np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
@@ -143,7 +158,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, ep
 
     With a single class or no rows, the probability is about the share of that class.
     """
-    sample = labelled_sample(docs, labels, "quality", max_rows).select("doc_id", "text", "y", "key").cache()
+    sample, odds = labelled_sample(docs, labels, "quality", max_rows)
+    sample = sample.select("doc_id", "text", "y", "key").cache()
     held = F.pmod(F.shiftright("key", 40), F.lit(5)) == 0
     rows, up = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < up < rows:
@@ -152,8 +168,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, ep
     model = train(sample.filter(~held), _examples, _SETTINGS, epochs, 4_000, int(rows * 0.8))
     scored = score_quality(sample.filter(held), Model(model.weights), ("doc_id", "y")).select("y", "probability").collect()
     sample.unpersist()
-    p = np.clip(np.array([r["probability"] for r in scored], dtype=float), 1e-9, 1 - 1e-9)
-    model.slope, model.offset = platt(np.log(p / (1 - p)) + model.bias, np.array([r["y"] for r in scored], dtype=float))
+    model.calibrate(np.array([r["probability"] for r in scored], dtype=float), np.array([r["y"] for r in scored], dtype=float), odds)
     return model
 
 

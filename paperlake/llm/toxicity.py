@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import Example, Model, labelled_sample, platt, train
+from .linear import Example, Model, labelled_sample, train
 from .words import Words, mix, slices, span_hashes, words_of
 
 __all__ = ["BITS", "THRESHOLD", "fit_toxicity", "op7_toxicity", "score_toxicity"]
@@ -80,21 +80,21 @@ def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
 def fit_toxicity(docs: DataFrame, labels: DataFrame, where=None, max_rows: int = MAX_ROWS, epochs: int = 4) -> Model:
     """A model of ``labels.toxic`` from about ``max_rows`` labelled rows at most.
 
-    A fifth of them, by a hash of the id, is kept from training and calibrates the margin. With a single
-    class or no rows, the score is about the share of that class.
+    A fifth of them, by a hash of the id, is kept from training and calibrates the margin; if it hasn't
+    both labels, the margin stands as it is. With a single class or no rows, the score is about the share of
+    that class.
     """
-    sample = labelled_sample(docs, labels, "toxic", max_rows, where).select("doc_id", "text", "y", "key").cache()
+    sample, odds = labelled_sample(docs, labels, "toxic", max_rows, where)
+    sample = sample.select("doc_id", "text", "y", "key").cache()
     held = F.pmod(F.shiftright("key", 40), F.lit(5)) == 0
     rows, up = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < up < rows:
+        sample.unpersist()
+        return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log((up + 0.5) / (rows - up + 0.5))))
     model = train(sample.filter(~held), _examples, _SETTINGS, epochs, 16_000, int(rows * 0.8))
-    margins = score_toxicity(sample.filter(held), Model(model.weights), ("doc_id", "y")).select("y", "score").collect()
+    scored = score_toxicity(sample.filter(held), Model(model.weights), ("doc_id", "y")).select("y", "score").collect()
     sample.unpersist()
-    p = np.clip(np.array([r["score"] for r in margins], dtype=float), 1e-9, 1 - 1e-9)
-    y = np.array([r["y"] for r in margins], dtype=float)
-    if len(y) >= 20 and 0 < y.sum() < len(y):
-        model.slope, model.offset = platt(np.log(p / (1 - p)) + model.bias, y)
-    elif not 0 < up < rows:
-        model = Model(np.zeros_like(model.weights), float(np.log((up + 0.5) / (rows - up + 0.5))))
+    model.calibrate(np.array([r["score"] for r in scored], dtype=float), np.array([r["y"] for r in scored], dtype=float), odds)
     return model
 
 
