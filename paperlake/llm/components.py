@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import Rounds
 
 __all__ = ["connected_components"]
 
@@ -33,10 +33,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops, repeated and reversed edges do no harm. Without edges there are no rows.
     """
-    now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    rounds = Rounds(edges.sparkSession, "edges")
+    now = rounds.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     mark = None
     while True:
-        now = materialise(_star(_star(now, True), False), "edges")
+        now = rounds.keep(_star(_star(now, True), False))
         count, low, high = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40)), F.sum(F.xxhash64("b", "a") % F.lit(1 << 40))).first()
         if not count or mark == (count, low, high):
             break

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import Rounds, materialise
 
 __all__ = ["mix_sources", "op4_mixing", "rounded_copies", "running_sum", "source_targets", "tilts", "word_count"]
 
@@ -78,7 +78,7 @@ def source_targets(sources: DataFrame, share: float, cap: float, weights: Sequen
     return ranked.select("source", "source_size", "_max", target.alias("target"))
 
 
-def tilts(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
+def tilts(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-9, rounds: int = 200) -> DataFrame:
     """``targets`` with ``tilt``, the dual variable of each source; null where the cap holds for all its documents.
 
     ``sizes`` is a histogram (source, size, n). Each round joins it with the tilts and sums the words
@@ -88,6 +88,7 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1
         "source", "source_size", "_max", "target", F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("_low"), F.lit(None).cast("double").alias("_high"),
         (F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)).alias("_full"), F.lit(1.0).alias("_off"),
     )
+    kept = Rounds(sizes.sparkSession, "tilts")
     edge = F.log(F.lit(float(cap)))
     x = F.col("size") / F.col("_max")
     for _ in range(rounds):
@@ -112,16 +113,18 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1
             .select("d.source", "source_size", "_max", "target", "tilt", low.alias("_low"), high.alias("_high"), "_full", (F.abs(gap) / F.col("target")).alias("_off"), (F.col("tilt") - gap / F.col("_slope")).alias("_newton"), "_slope")
         )
         near = F.col("_off") <= tolerance
-        dual = materialise(
+        dual = kept.keep(
             stepped.select(
                 "source", "source_size", "_max", "target",
                 F.when(F.col("_off").isNull() | near, F.col("tilt")).when(inside, newton).otherwise(middle).alias("tilt"),
                 "_low", "_high", "_full", F.col("_off"),
-            ), "tilts",
+            )
         )
         worst = dual.agg(F.max("_off")).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise ArithmeticError(f"no tilt within {tolerance} of its target after {rounds} rounds; off by {worst}")
     return dual.select("source", "source_size", "_max", "target", F.when(~F.col("_full"), F.round("tilt", 9)).alias("tilt"))
 
 

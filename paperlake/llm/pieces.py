@@ -28,7 +28,7 @@ State = tuple[int, int]
 #: weight of the best path for each (entry, exit); a missing pair has none
 Matrix = dict[State, dict[State, float]]
 START: State = (0, -1)
-_KEPT, _PAIRS = 300_000, 1_000_000  # entries of a generation and of the pairs, about 70 MB each
+_KEPT, _PAIRS = 200_000, 700_000  # entries of a generation and of the pairs, about 50 MB each
 
 
 def product(a: Matrix, b: Matrix) -> Matrix:

@@ -7,17 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["materialise", "scratch_path"]
+__all__ = ["Rounds", "materialise", "scratch_path"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``.
 
-    Only where the session has no such setting (tests, a laptop) is a temporary folder
-    set, once per session.
+    Only a local session without that setting (tests, a laptop) gets a temporary folder, once; on a cluster
+    it is an error, as executors don't see each other's folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/paperlake-{uuid.uuid4().hex}/{name}"
@@ -33,3 +35,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """State of an iteration: each round is written like ``materialise`` does, over the round before the last."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.path, self.count = scratch_path(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.path}/{self.count % 2}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)

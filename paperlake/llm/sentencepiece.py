@@ -26,13 +26,12 @@ from pyspark.sql import functions as F
 
 from .pieces import SPACE, START, Matrix, PieceModel, State, load_model, product
 from .scratch import materialise
+from .words import slices
 
 __all__ = ["MODEL", "decode_ids", "encode_documents", "op1_sentencepiece", "read_model", "scan_states"]
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, BLOCK = 1 << 15, 64
-#: Rows of an Arrow batch, so that texts, ids and decoded texts of a batch stay within some 30 MB.
-BATCH = 2_000
 
 
 def read_model(path: str) -> bytes:
@@ -162,12 +161,16 @@ def encode_documents(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataF
     """(doc_id, ids) of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _loaded(shared.value)
-        return _lists([m.packed(m.normalise(x.as_py())) if x.is_valid else b"" for x in texts])
+        for batch in batches:
+            for part in slices(batch):
+                ids = _lists([m.packed(m.normalise(x.as_py())) if x.is_valid else b"" for x in part.column("text")])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
 
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
-    near = docs.filter(~giant).select("doc_id", F.arrow_udf(encode, "array<int>")(F.col("text")).alias("ids"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    near = docs.filter(~giant).select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids array<int>")
     giants = docs.filter(giant).select("doc_id", "text")
     return near.union(_encode_giants(giants, model, chunk))
 
@@ -187,7 +190,6 @@ def decode_ids(ids: Column, model: bytes, spark: SparkSession) -> Column:
 def op1_sentencepiece(documents: DataFrame, path: str = MODEL) -> DataFrame:
     """Ids of each whole text, how many there are, and the digest of the text decoded from them."""
     model = read_model(path)
-    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     encoded = encode_documents(documents, model)
     decoded = encoded.select("doc_id", "ids", decode_ids(F.col("ids"), model, documents.sparkSession).alias("text"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"), "ids")
