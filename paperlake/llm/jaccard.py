@@ -225,6 +225,19 @@ def _fold(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
+def _roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that edges (a, b) connect with each of ``size`` indices."""
+    root = np.arange(size)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
 class _Bitmaps:
     """Sizes and bitmaps of the classes of a bucket, and the bound they put on similarities."""
 
@@ -288,7 +301,7 @@ def _forest(slots: np.ndarray, known: _Bitmaps) -> Iterator[tuple[int, np.ndarra
 def candidate_edges(lists: DataFrame, classes: DataFrame, percent: int, parts: int) -> DataFrame:
     """Distinct edges (a, b), a < b, that connect all classes between which a list leaves a chain of candidates.
 
-    They are fewer than the members of the list, however many pairs it holds.
+    A bucket gives fewer than it has classes, however many pairs its lists hold.
     """
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
@@ -317,11 +330,10 @@ def candidate_edges(lists: DataFrame, classes: DataFrame, percent: int, parts: i
                 done.add(name)
                 for i, at in _forest(members, known):
                     met.append(np.stack((np.full(len(at), i), at), axis=1))
-                if len(met) > 4096:
-                    met = [np.unique(np.concatenate(met), axis=0)]
-        out = np.concatenate(met)
-        out = np.unique(np.sort(cls[out] if len(out) else out, axis=1), axis=0)
-        return pa.table({"a": out[:, 0].copy(), "b": out[:, 1].copy()})
+        pairs = np.concatenate(met)
+        root = _roots(len(cls), pairs[:, 0], pairs[:, 1])
+        hung = np.flatnonzero(root != np.arange(len(cls)))
+        return pa.table({"a": cls[root[hung]], "b": cls[hung]})
 
     blobs = lists.filter("blob is not null").select("bucket", "blob", F.lit(None).cast("bigint").alias("class"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("bits"))
     members = lists.filter("blob is null").select("bucket", "class").join(classes.select("class", "n", "bits"), "class")
@@ -390,9 +402,9 @@ class _Index:
 
 
 def _links(sets: list[np.ndarray], label: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Links (index, indices) that connect what all links of a block connect: each set is searched among those not reached yet.
+    """(index, indices) of each set that begins a component of a block and those that links connect with it.
 
-    Sets with one label are connected already.
+    A set is searched among those not reached yet. Sets with one label are connected already.
     """
     size = np.array([len(s) for s in sets])
     free = np.ones(len(sets), dtype=bool)
@@ -406,6 +418,7 @@ def _links(sets: list[np.ndarray], label: np.ndarray, percent: int) -> Iterator[
         queue = order[first[seed] : last[seed]].tolist()
         free[queue] = False
         left -= len(queue)
+        component = [np.array(queue)]
         while queue and left:
             i = queue.pop()
             if 2 * left < len(index.members):
@@ -418,11 +431,16 @@ def _links(sets: list[np.ndarray], label: np.ndarray, percent: int) -> Iterator[
                 free[reached] = False
                 left -= len(reached)
                 queue += reached.tolist()
-                yield i, at
+                component.append(reached)
+        if len(component) > 1 or len(component[0]) > 1:
+            yield seed, np.concatenate(component)
 
 
 def _search(dealt: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links (a, b) within each ``_group`` of (class, set, label); groups share a task as buckets have it."""
+    """(a, b) for each set b of (class, set, label, _group) that links or labels within its group connect with others; a is one of them, itself for one.
+
+    Groups share a task as buckets have it.
+    """
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("_group", "ascending"), ("class", "ascending")]).combine_chunks()
@@ -442,42 +460,42 @@ def _search(dealt: DataFrame, percent: int, parts: int) -> DataFrame:
 
 
 def verified_links(groups: DataFrame, sets: DataFrame, percent: int, parts: int, small: int = _SMALL, block: int = _BLOCK) -> DataFrame:
-    """Links (a, b) within groups (node, component) of candidates, enough of them to connect what all links connect.
+    """Edges (a, b) within groups (node, component) of candidates that connect what all links connect, and nothing else.
 
     Groups with more than ``small`` elements in their sets are dealt to blocks of about that size and
     searched there; then one set of each part that is linked so far, again in blocks; then, for the groups
     that are still in parts, all pairs of blocks. There are eight of these blocks at most until one would
     exceed ``block`` elements; so each task holds two such blocks at most, or one set.
     """
-    sized = sets.withColumn("_n", F.octet_length("set") / 8)
-    own = groups.select(F.col("node").alias("class"), "component")
-    blocks = own.join(sized.select("class", "_n"), "class").groupBy("component").agg(F.sum("_n").alias("_n"))
-    large = materialise(blocks.filter(F.col("_n") > small).select("component", F.ceil(F.col("_n") / small).cast("int").alias("_k")), "large")
-    place = lambda salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col("_k")).cast("int")
-    dealt = own.join(large, "component", "left").join(sets, "class")
-    first = _search(dealt.select("class", F.col("class").alias("label"), "set", F.xxhash64("component", F.coalesce(place(0), F.lit(0))).alias("_group")), percent, parts)
-    if large.isEmpty():
+    sized = sets.select("class", (F.octet_length("set") / 8).alias("_n"))
+    own = groups.select(F.col("node").alias("class"), "component").join(sized, "class")
+    count = lambda df: df.groupBy("component").agg(F.sum("_n").alias("_all"))
+    blocks = lambda size: F.ceil(F.col("_all") / size).cast("int")
+    place = lambda salt, k: F.pmod(F.xxhash64("class", F.lit(salt)), k).cast("int")
+    own = materialise(own.join(count(own).filter(F.col("_all") > small), "component", "left"), "members")
+    dealt = own.join(sets, "class").select("class", F.col("class").alias("label"), "set", F.xxhash64("component", F.coalesce(place(0, blocks(small)), F.lit(0))).alias("_group"))
+    first = _search(dealt, percent, parts)
+    own = own.filter("_all is not null")
+    if own.isEmpty():
         return first
     first = materialise(first, "links")
-    own = own.join(large, "component")
-
-    def parted(links: DataFrame) -> DataFrame:
-        found = connected_components(links).withColumnRenamed("node", "class")
-        return materialise(own.join(found.withColumnRenamed("component", "_label"), "class", "left").select("class", "component", F.coalesce("_label", "class").alias("label")), "parts")
-
-    now = parted(first.join(own.select(F.col("class").alias("a")), "a", "left_semi"))
-    heads = now.filter("class = label").join(sized, "class")
-    count = heads.groupBy("component").agg(F.ceil(F.sum("_n") / small).cast("int").alias("_k"))
-    second = _search(heads.drop("_n").join(count, "component").select("class", "label", "set", F.xxhash64("component", place(1)).alias("_group")), percent, parts)
-    second = materialise(second, "links")
-    now = parted(first.join(own.select(F.col("class").alias("a")), "a", "left_semi").union(second))
-    open_ = now.groupBy("component").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("component")
-    rest = materialise(now.join(open_, "component", "left_semi").join(sized, "class"), "rest")
-    count = rest.groupBy("component").agg(F.sum("_n").alias("_n"))
-    count = count.select("component", F.greatest(F.least(F.lit(8), F.ceil(F.col("_n") / small)), F.ceil(F.col("_n") / block)).cast("int").alias("_k"))
-    mine = place(2)
+
+    def labelled(members: DataFrame, column: str, links: DataFrame, name: str) -> DataFrame:
+        """``members`` with the label that the links give their ``column``, which else stays."""
+        at = links.select(F.col("b").alias("_b"), F.col("a").alias("_a"))
+        found = members.join(at, members[column] == F.col("_b"), "left")
+        return materialise(found.select("class", "component", "_n", F.coalesce("_a", column).alias("label")), name)
+
+    now = labelled(own, "class", first, "parts")
+    heads = now.filter("class = label").drop("label")
+    heads = heads.join(count(heads), "component").join(sets, "class")
+    second = materialise(_search(heads.select("class", F.col("class").alias("label"), "set", F.xxhash64("component", place(1, blocks(small))).alias("_group")), percent, parts), "links")
+    now = labelled(now, "label", second, "parts")
+    open_ = now.groupBy("component").agg(F.sum("_n").alias("_all"), F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("component", "_all")
+    rest = now.join(open_, "component").withColumn("_k", F.greatest(F.least(F.lit(8), blocks(small)), blocks(block)))
+    mine = place(2, F.col("_k"))
     others = F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda x: (x != mine) | (F.col("_k") == 1))
-    pairs = rest.drop("_n").join(count, "component").select("class", "label", "set", "component", mine.alias("_mine"), F.explode(others).alias("_other"))
+    pairs = rest.join(sets, "class").select("class", "label", "set", "component", mine.alias("_mine"), F.explode(others).alias("_other"))
     third = _search(pairs.select("class", "label", "set", F.xxhash64("component", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("_group")), percent, parts)
     return first.union(second).union(third)
 
