@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "acronym", "author_surname", "coerce_items", "coerce_names", "coerce_page", "coerce_year", "contains_fold", "cosine_similarity", "embedding_text", "estimate_tokens", "first_evidence_text", "join_evidence",
-    "keyword_score", "length_bound", "non_empty", "normalize_arxiv_id", "normalize_paper_ref", "normalize_text", "remote_pdf_ref", "safe_merge", "sequence_ratio", "split_citation_keys", "titles_compatible", "tokens_of", "truncate_evidence", "venue_of", "words_of",
+    "acronym", "author_surname", "character_bag", "coerce_items", "coerce_names", "coerce_page", "coerce_year", "contains_fold", "cosine_similarity", "embedding_text", "estimate_tokens", "first_evidence_text", "join_evidence",
+    "keyword_score", "length_bound", "non_empty", "normalize_arxiv_id", "normalize_paper_ref", "normalize_text", "ratio_bound", "remote_pdf_ref", "safe_merge", "sequence_ratio", "split_citation_keys", "titles_compatible", "tokens_of", "truncate_evidence", "venue_of", "words_of",
 ]
 
 SPACES = r"(?U)\s+"
@@ -53,6 +53,24 @@ def length_bound(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def character_bag(key: Column) -> Column:
+    """How often each common character occurs, and all others together."""
+    counts = [F.length(key) - F.length(F.replace(key, F.lit(x), F.lit(""))) for x in _LETTERS]
+    total = counts[0]
+    for c in counts[1:]:
+        total = total + c
+    return F.array(*counts, F.length(key) - total)
+
+
+def ratio_bound(a: Column, b: Column, bag_a: Column, bag_b: Column, least: float) -> Column:
+    """False only where the ratio can't reach ``least``: characters in common bound the matches."""
+    shared = F.aggregate(F.zip_with(bag_a, bag_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
+    return length_bound(a, b, least) & (2 * shared >= least * (F.length(a) + F.length(b)))
+
+
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     matcher = SequenceMatcher(None)
     out = []

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_evidence_text
 from .profiles import limitation_topic_match, topic_match
 from .resolve import leader_clusters
 
-__all__ = ["cluster_limitations", "comparison_markdown", "comparison_rows", "gap_support", "literature_matrix", "related_work_outline", "research_gaps"]
+__all__ = ["cluster_limitations", "comparison_markdown", "comparison_rows", "gap_support", "literature_matrix", "outline_methods", "related_work_outline", "research_gaps"]
 
 SIMILAR = "Similar profile to other papers in this set"
 
@@ -48,22 +48,24 @@ def comparison_markdown(rows: DataFrame, *group: str) -> DataFrame:
 
 
 def related_work_outline(profiles: DataFrame, topic: str) -> DataFrame:
-    """Sections (section, title, n_papers, papers, methods): one a task, then limitations, then positioning.
+    """Rows (kind, title, paper_id, methods) of an outline, to be read by kind, then title without regard to case.
 
-    Papers without a task are under ``General``, without a method under ``unspecified method``; tasks are ordered without regard to case.
+    Kind 0 has a section a task, kind 1 the papers with limitations, kind 2 the positioning against all papers. Papers
+    without a task are under ``General``, without a method under ``unspecified method``. A section of all papers is
+    a row a paper, so it is no group of its own.
     """
     p = topic_match(profiles, topic)
     or_one = lambda c, v: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit(v)))
-    t = p.select("paper_id", F.explode(or_one("tasks", "General")).alias("title"), or_one("methods", "unspecified method").alias("methods"))
-    pairs = t.select("paper_id", "title", F.explode("methods").alias("method")).groupBy("title", "method").agg(F.array_join(F.array_sort(F.collect_set("paper_id")), ",").alias("ids"))
-    methods = pairs.groupBy("title").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "ids")))).alias("methods"))
-    tasks = t.groupBy("title").agg(F.count_distinct("paper_id").alias("n_papers"), F.array_sort(F.collect_set("paper_id")).alias("papers")).join(methods, "title")
-    none = F.lit(None).cast("map<string,string>")
-    limits = p.filter(F.size("limitations") > 0).agg(F.count("*").alias("n_papers"), F.array_sort(F.collect_set("paper_id")).alias("papers")).filter("n_papers > 0")
-    tail = limits.select(F.lit(1).alias("_k"), F.lit("Limitations of existing studies").alias("title"), "n_papers", "papers", none.alias("methods"))
-    last = p.agg(F.count("*").alias("n_papers"), F.array_sort(F.collect_set("paper_id")).alias("papers")).select(F.lit(2).alias("_k"), F.lit("Positioning of the present study").alias("title"), "n_papers", "papers", none.alias("methods"))
-    rows = tasks.select(F.lit(0).alias("_k"), "title", "n_papers", "papers", "methods").union(tail).union(last)
-    return rows.withColumn("section", F.row_number().over(Window.orderBy("_k", F.lower("title"), "title"))).drop("_k")
+    tasks = p.select(F.lit(0).alias("kind"), F.explode(F.array_distinct(or_one("tasks", "General"))).alias("title"), "paper_id", or_one("methods", "unspecified method").alias("methods"))
+    none = F.lit(None).cast("array<string>")
+    limits = p.filter(F.size("limitations") > 0).select(F.lit(1), F.lit("Limitations of existing studies"), "paper_id", none)
+    return tasks.union(limits).union(p.select(F.lit(2), F.lit("Positioning of the present study"), "paper_id", none))
+
+
+def outline_methods(outline: DataFrame) -> DataFrame:
+    """(title, method, n_papers, papers) of the task sections of an outline: the papers of each method."""
+    rows = outline.filter("kind = 0").select("title", "paper_id", F.explode("methods").alias("method"))
+    return rows.groupBy("title", "method").agg(F.count_distinct("paper_id").alias("n_papers"), F.array_join(F.array_sort(F.collect_set("paper_id")), ",").alias("papers"))
 
 
 def cluster_limitations(items: DataFrame, threshold: float = 0.55) -> DataFrame:

@@ -23,10 +23,16 @@ SECTIONS = {
     "Discussion": r"(?:\d+\.?\s*)?discussion",
     "Conclusion": r"(?:\d+\.?\s*)?(?:conclusion|conclusions)",
     "References": r"(?:\d+\.?\s*)?(?:references|bibliography)",
-    "Acknowledgments": r"(?:\d+\.?\s*)?acknowledge?ments?",
+    "Acknowledgments": r"(?:\d+\.?\s*)?acknowledgments?",
 }
 LIMIT = 20_000
+#: Lines that are no title, marks of references, and their parts (fixed values).
 _TITLE_SKIP = r"(?i)^(abstract|introduction|\d+\.|arxiv|doi|http|www\.|@|university|proceedings|journal|vol\.|pp\.)"
+_MARK = r"^\[?\d+\]?\.?\s+"
+_DOI = r"(?i)\b(10\.\d{4,}/[^\s\]}>,;]+)"
+_ARXIV = r"(?i)\barxiv[:\s]*(\d{4}\.\d{4,5})\b"
+_YEAR = r"\b((?:19|20)\d{2})\b"
+_AUTHORS = r"^([A-Z][A-Za-z\-']+(?:\s+[A-Z]\.)?(?:\s*,\s*[A-Z][A-Za-z\-']+(?:\s+[A-Z]\.)?)*)\s*[,.]"
 
 
 def pages_to_documents(pages: DataFrame) -> DataFrame:
@@ -131,9 +137,6 @@ def section_text(sections: DataFrame, *names: str) -> DataFrame:
     return wanted.groupBy("doc").agg(F.min_by("text", "pos").alias("text"))
 
 
-_MARK = r"^\[?\d+\]?\.?\s+"
-
-
 def split_references(sections: DataFrame) -> DataFrame:
     """(doc, ref_no, raw) of reference sections (doc, text): an entry begins at ``[n]`` or ``n.``, a heading line is dropped.
 
@@ -143,14 +146,15 @@ def split_references(sections: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), strip), lambda x: x != "")
     head = F.coalesce(F.get(lines, F.lit(0)).rlike(r"(?i)^(?:references|bibliography)\s*$"), F.lit(False))
     body = F.when(head, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
-    rows = sections.select("doc", "text", F.posexplode(body).alias("n", "line"))
-    w = Window.partitionBy("doc").orderBy("n")
-    begins = (F.col("line").rlike(_MARK) & (F.col("n") > 0)).cast("int")
-    marked = rows.withColumn("e", F.sum(begins).over(w)).withColumn("first", F.col("line").rlike(_MARK) | (F.col("n") == 0))
-    piece = F.when(F.col("first"), strip(F.regexp_replace("line", _MARK, ""))).otherwise(F.col("line"))
-    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", piece.alias("p")))), lambda s: s["p"]), " ")
-    entries = marked.groupBy("doc", "e").agg(raw.alias("raw"))
-    many = entries.groupBy("doc").agg(F.count("*").alias("_n"))
+    rows = sections.select("doc", "text", body.alias("_b"))
+    # places where an entry begins, and the next one's, all within the row
+    places = F.filter(F.transform("_b", lambda line, i: F.when(line.rlike(_MARK) | (i == 0), i)), lambda i: i.isNotNull())
+    rows = rows.filter(F.size("_b") > 0).withColumn("_at", places)
+    piece = lambda line, i: F.when(line.rlike(_MARK) | (i == 0), strip(F.regexp_replace(line, _MARK, ""))).otherwise(line)
+    cut = lambda at, k: F.slice(F.transform("_b", piece), at + 1, F.coalesce(F.get("_at", k + 1), F.size("_b")) - at)
+    rows = rows.withColumn("_e", F.transform("_at", lambda at, k: F.array_join(cut(at, k), " ")))
+    entries = rows.select("doc", F.posexplode("_e").alias("e", "raw"))
+    many = rows.select("doc", F.size("_e").alias("_n"))
     parts = F.filter(F.transform(F.split("text", r"\n\s*(?=\[\d+\])"), strip), lambda x: x != "")
     retry = sections.join(many, "doc").filter((F.col("_n") <= 1) & (F.length("text") > 80) & (F.size(F.split("text", r"\n\s*(?=\[\d+\])")) > 1)).select("doc", F.posexplode(parts).alias("e", "raw"))
     empty = sections.filter((strip(F.col("text")) != "") & (F.size(body) == 0)).select("doc", F.lit(0).alias("e"), strip(F.col("text")).alias("raw"))
@@ -161,12 +165,12 @@ def split_references(sections: DataFrame) -> DataFrame:
 def parse_references(entries: DataFrame) -> DataFrame:
     """``entries`` with doi, arxiv_id, year (the last), leading authors, and what is left as title."""
     raw = F.col("raw")
-    found = F.regexp_extract(raw, r"(?i)\b(10\.\d{4,}/[^\s\]}>,;]+)", 1)
+    found = F.regexp_extract(raw, _DOI, 1)
     doi = F.regexp_replace(found, "[.,;]+$", "")
-    lead = F.regexp_extract(raw, r"^([A-Z][A-Za-z\-']+(?:\s+[A-Z]\.)?(?:\s*,\s*[A-Z][A-Za-z\-']+(?:\s+[A-Z]\.)?)*)\s*[,.]", 1)
+    lead = F.regexp_extract(raw, _AUTHORS, 1)
     authors = F.filter(F.transform(F.split(lead, r",\s*"), lambda a: F.trim(a)), lambda a: a != "")
-    years = F.regexp_extract_all(raw, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
-    rows = entries.select("*", doi.alias("doi"), F.regexp_extract(raw, r"(?i)\barxiv[:\s]*(\d{4}\.\d{4,5})\b", 1).alias("arxiv_id"), F.get(F.reverse(years), F.lit(0)).cast("long").alias("year"), authors.alias("authors"))
+    years = F.regexp_extract_all(raw, F.lit(_YEAR), F.lit(1))
+    rows = entries.select("*", doi.alias("doi"), F.regexp_extract(raw, _ARXIV, 1).alias("arxiv_id"), F.get(F.reverse(years), F.lit(0)).cast("long").alias("year"), authors.alias("authors"))
     bare = F.when(F.col("doi") != "", F.replace(raw, F.col("doi"), F.lit(" "))).otherwise(raw)
     bare = F.aggregate("authors", bare, lambda s, a: F.replace(s, a, F.lit(" ")))
     bare = F.when(F.col("year").isNotNull(), F.regexp_replace(bare, F.concat(F.lit(r"\b"), F.col("year").cast("string"), F.lit(r"\b")), F.lit(" "))).otherwise(bare)

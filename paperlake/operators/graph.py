@@ -157,11 +157,35 @@ def paper_detail_groups(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("paper_id").isNotNull()).groupBy("paper_id", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def build_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: papers, papers with metadata alone, nodes, edges, and edges of the inferred types."""
+def build_stats(
+    nodes: DataFrame, edges: DataFrame, resolved: DataFrame | None = None, linked: DataFrame | None = None, from_bib: DataFrame | None = None, from_references: DataFrame | None = None,
+    vectors: DataFrame | None = None, decisions: DataFrame | None = None,
+) -> DataFrame:
+    """One row: papers, papers with metadata alone, nodes, edges, edges of the inferred types, and what the steps of a build did.
+
+    ``resolved`` (entity_type, name, canonical) counts occurrences under another name, those that ``decisions``
+    settled, and new ones; ``linked`` papers with an entry; the citations are counted by source; a missing table counts 0.
+    """
     n = nodes.agg(F.count_if(F.col("type") == "Paper").alias("papers"), F.count_if(F.coalesce("metadata_only", F.lit(False))).alias("bib_only"), F.count("*").alias("nodes"))
     kinds = [F.count_if(F.col("type") == k).alias(k.lower()) for k in ("CITES", "CONTRASTS_WITH", "EXTENDS")]
-    return n.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges"), *kinds)))
+    parts = [edges.agg(F.count("*").alias("edges"), *kinds)]
+    zero = F.lit(0).cast("long")
+    if resolved is not None:
+        told = resolved.withColumn("_d", F.lit(False))
+        if decisions is not None:
+            told = resolved.join(decisions.select("entity_type", "name", "canonical", F.lit(True).alias("_d")).distinct(), ["entity_type", "name", "canonical"], "left")
+        other, settled = F.col("name") != F.col("canonical"), F.coalesce("_d", F.lit(False))
+        parts.append(told.agg(F.count_if(other & ~settled).alias("entities_resolved"), F.count_if(other & settled).alias("entities_disambiguated"), F.count_if(~other).alias("entities_new")))
+    else:
+        n = n.withColumns({c: zero for c in ("entities_resolved", "entities_disambiguated", "entities_new")})
+    for name, table in (("bib_linked", linked), ("cites_from_bib", from_bib), ("cites_from_references", from_references), ("embeddings", vectors)):
+        if table is None:
+            n = n.withColumn(name, zero)
+        else:
+            parts.append(table.agg(F.count("*").alias(name)))
+    for p in parts:  # one row each
+        n = n.crossJoin(F.broadcast(p))
+    return n
 
 
 def build_graph(records: DataFrame, citations: DataFrame, bib_only: DataFrame | None = None, metadata: DataFrame | None = None, workspace: str = "default") -> tuple[DataFrame, DataFrame]:

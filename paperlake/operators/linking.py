@@ -6,11 +6,11 @@ left row is kept. Rules that compare texts meet only rows that share a blocking
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import path_stem
-from ..functions.text import author_surname, length_bound, non_empty, normalize_paper_ref, normalize_text, sequence_ratio, split_citation_keys, titles_compatible, words_of
+from ..functions.text import author_surname, character_bag, non_empty, normalize_paper_ref, normalize_text, ratio_bound, sequence_ratio, split_citation_keys, titles_compatible, words_of
 from .profiles import first_by
 
 __all__ = [
@@ -128,7 +128,9 @@ def match_references(references: DataFrame, papers: DataFrame) -> DataFrame:
     met = _contained(left.filter("rt <> ''"), p.filter("pt <> ''"), "rt", "pt", ["ref_id", "ry"], ["paper_id", "py"])
     title = met.filter((F.contains("pt", "rt") | F.contains("rt", "pt")) & (c("ry").isNull() | unknown | (c("ry") == c("py")))).select("ref_id", "paper_id", F.lit(2).alias("rule"))
     left = left.join(title.select("ref_id"), "ref_id", "left_anti")
-    close = left.filter("rt <> '' and ry is not null and ry <> 0").join(p.filter("pt <> ''"), c("ry") == c("py")).filter(length_bound(c("rt"), c("pt"), 0.72))
+    # one year, lengths and characters that allow the ratio: all that an exact filter can tell of it
+    bagged = left.filter("rt <> '' and ry is not null and ry <> 0").withColumn("rb", character_bag(c("rt")))
+    close = bagged.join(p.filter("pt <> ''").withColumn("pb", character_bag(c("pt"))), c("ry") == c("py")).filter(ratio_bound(c("rt"), c("pt"), c("rb"), c("pb"), 0.72))
     fuzzy = close.filter(sequence_ratio(c("rt"), c("pt")) >= 0.72).select("ref_id", "paper_id", F.lit(3).alias("rule"))
     left = left.join(fuzzy.select("ref_id"), "ref_id", "left_anti")
     names = lambda a: F.array_distinct(F.filter(F.transform(a, author_surname), lambda s: s != ""))
@@ -191,10 +193,9 @@ def did_you_mean(queries: DataFrame, papers: DataFrame, least: float = 0.6, top:
     low, high = least / (2 - least), (2 - least) / least
     q = queries.select("query", F.lower("query").alias("q")).distinct().withColumn("_n", F.length("q"))
     q = q.select("query", "q", F.explode(F.sequence(F.ceil(F.col("_n") * low - 1e-9).cast("int"), F.floor(F.col("_n") * high + 1e-9).cast("int"))).alias("_l"))
-    met = q.join(n, "_l").withColumn("ratio", sequence_ratio(F.col("name"), F.col("q"))).filter(F.col("ratio") >= least)
+    near = q.withColumn("qb", character_bag(F.col("q"))).join(n.withColumn("nb", character_bag(F.col("name"))), "_l").filter(ratio_bound(F.col("name"), F.col("q"), F.col("nb"), F.col("qb"), least))
+    met = near.withColumn("ratio", sequence_ratio(F.col("name"), F.col("q"))).filter(F.col("ratio") >= least)
     best = met.groupBy("query", "paper_id").agg(F.max("ratio").alias("ratio"))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("ratio"), "paper_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= top)
 

@@ -95,8 +95,7 @@ class Library:
 
     def search(self, query: str, top_k: int = 10, center: str | None = None, vector: list[float] | None = None) -> DataFrame:
         asked = self._table("query", query.strip())
-        entity = lambda edge: search.entity_channel(profiles.find_papers_by_entity(self.nodes, self.edges, asked, edge))
-        channels = [entity("USES"), entity("TARGETS"), search.matrix_channel(self.profiles, asked), search.keyword_channel(self.profiles, asked)]
+        channels = [search.entity_channel(self.papers_by_method(query.strip())), search.entity_channel(self.papers_by_task(query.strip())), search.matrix_channel(self.profiles, asked), search.keyword_channel(self.profiles, asked)]
         if vector is not None and self.vectors is not None:
             channels.append(search.embedding_channel(self.vectors, asked.withColumn("vector", F.array(*map(F.lit, vector)))))
         boosts = None

@@ -1,4 +1,4 @@
-"""From a folder of papers to a graph."""
+"""From a folder of papers to a graph, and changes of the folder after that."""
 
 from __future__ import annotations
 
@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import path_stem
-from ..operators import graph, linking
+from ..operators import graph, linking, resolve
 from ..sources import files, records
 from ..streaming import incremental
 from .stages import settle
 
-__all__ = ["Indexed", "index_pipeline"]
+__all__ = ["Indexed", "canonical_graph", "index_pipeline", "remove_paths"]
 
 _EMPTY = "workspace_id string, source_path string, paper_id string, content_hash string, source_ref string, zotero_key string, doi string, assigned_at timestamp, updated_at timestamp"
 
@@ -28,6 +28,59 @@ class Indexed:
     entries: DataFrame
     nodes: DataFrame
     edges: DataFrame
+    stats: DataFrame | None = None
+
+
+def canonical_graph(
+    records: DataFrame, papers: DataFrame, entries: DataFrame, registry: DataFrame | None = None, references: DataFrame | None = None, enrichment: DataFrame | None = None,
+    catalog: DataFrame | None = None, decisions: DataFrame | None = None, workspace: str = "default",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and statistics of extraction ``records`` and bibliography ``entries``.
+
+    Names become canonical in the order of paper ids; ``papers`` (paper_id, path, title, zotero_key, doi), under the
+    registry's values, are linked to entries; a linked paper takes the entry's metadata, under that of
+    ``enrichment`` (paper_id, title, year, authors, venue, doi); the other entries become papers of their own;
+    citations come from entries and from ``references`` (ref_id, paper_id, doi, title, year, authors).
+    """
+    full, found = resolve.canonical_records(records, catalog, decisions)
+    full = settle(full)
+    known = settle(papers if registry is None else linking.registry_attributes(papers, registry))
+    links = settle(linking.link_bib(known, entries))
+    only = settle(linking.bib_only_papers(entries, known, links))
+    stand = known.select("paper_id").union(only.select("paper_id"))
+    at = links.select("paper_id", "bib_ord").union(only.select("paper_id", "bib_ord"))
+    from_bib = settle(linking.citations_from_bib(entries, stand, at))
+    # the entry of each paper, as text columns
+    meta = entries.join(at, "bib_ord").select("paper_id", "title", F.coalesce("year", F.lit(-1)).alias("year"), F.array_join(F.coalesce("authors", F.array().cast("array<string>")), "; ").alias("authors"), "venue", "doi")
+    bare = full.select("paper_id", "title", F.coalesce("year", F.lit(-1)).alias("year"), *[F.lit("").alias(c) for c in ("authors", "venue", "doi")])
+    shown = settle(linking.overlay_metadata(bare.unionByName(only.select("paper_id", "title", "year", *[F.lit("").alias(c) for c in ("authors", "venue", "doi")])), meta, enrichment))
+    own = shown.join(only.select("paper_id"), "paper_id", "left_anti")
+    people = lambda df: df.select("paper_id", F.filter(F.split("authors", r"\s*;\s*"), lambda a: a != "").alias("authors"), "venue")
+    cites, from_references = from_bib, None
+    if references is not None:
+        from_references = settle(linking.citations_from_references(references, shown))
+        cites = linking.merge_citations(from_bib, from_references)
+    records_ = full.drop("title", "year").join(own.select("paper_id", "title", "year"), "paper_id")
+    extra = people(shown).join(shown.select("paper_id", "title", "year", "doi"), "paper_id").join(only.select("paper_id"), "paper_id", "left_semi")
+    nodes, edges = graph.build_graph(records_, settle(cites), extra, people(shown), workspace)
+    nodes = nodes.join(shown.select(F.col("paper_id").alias("id"), F.col("authors").alias("_a"), F.col("venue").alias("_v"), F.col("doi").alias("_d")), "id", "left")
+    paper = F.col("type") == "Paper"
+    nodes = nodes.withColumns({c: F.when(paper, F.coalesce(F.col(x), F.col(c))).otherwise(F.col(c)) for c, x in (("authors", "_a"), ("venue", "_v"), ("doi", "_d"))}).select(*nodes.columns[:-3])
+    nodes, edges = settle(nodes), settle(edges)
+    return nodes, edges, graph.build_stats(nodes, edges, found, links, from_bib, from_references, None, decisions)
+
+
+def remove_paths(done: Indexed, gone: DataFrame, workspace: str = "default") -> Indexed:
+    """What an index run left, without the files ``gone`` (path): their snapshot and registry rows, sections, entries, and papers with all that hangs on them.
+
+    Papers that entries of a removed bibliography stood for stay until the graph is built again.
+    """
+    lost = done.registry.join(gone.select(F.col("path").alias("source_path")), "source_path", "left_semi").select("paper_id", "workspace_id")
+    nodes, edges = graph.delete_papers(done.nodes, done.edges, lost)
+    return Indexed(
+        done.snapshot.join(gone.select("path"), "path", "left_anti"), done.registry.join(gone.select(F.col("path").alias("source_path")), "source_path", "left_anti"), done.sections.join(gone.select("path"), "path", "left_anti"),
+        done.entries.join(gone.select(F.col("path").alias("source_file")), "source_file", "left_anti"), nodes, edges,
+    )
 
 
 def index_pipeline(spark: SparkSession, root: str, extracted: DataFrame | None = None, registry: DataFrame | None = None, references: DataFrame | None = None, workspace: str = "default", ignore: tuple[str, ...] = ()) -> Indexed:
@@ -36,8 +89,8 @@ def index_pipeline(spark: SparkSession, root: str, extracted: DataFrame | None =
     ``extracted`` has extraction records by paper_id; papers without one become papers with empty lists.
     ``references`` (ref_id, paper_id, doi, title, year, authors) are those of parsed papers, if any.
     """
-    found = settle(files.filter_ignored(files.scan_corpus(spark, root), root, ignore))
-    snapshot = files.fingerprint_files(found)
+    found = files.filter_ignored(files.scan_corpus(spark, root), root, ignore)
+    snapshot = settle(files.fingerprint_files(found))
     registry = spark.createDataFrame([], _EMPTY) if registry is None else registry
     papers = snapshot.filter(~F.lower("path").endswith(".bib")).select(F.lit(workspace).alias("workspace_id"), F.col("path").alias("source_path"), F.col("sha256").alias("content_hash"), F.col("path").alias("source_ref"))
     given = settle(incremental.assign_paper_ids(papers, registry))
@@ -58,15 +111,6 @@ def index_pipeline(spark: SparkSession, root: str, extracted: DataFrame | None =
         value = F.col(name) if name in full.columns else F.lit(None).cast(kind)
         full = full.withColumn(name, F.coalesce(value, empty) if kind == "array<string>" else value)
     full = settle(full)
-    links = settle(linking.link_bib(known.withColumns({"zotero_key": F.lit(""), "doi": F.lit("")}), entries))
-    only = settle(linking.bib_only_papers(entries, known, links))
-    stand = known.select("paper_id").union(only.select("paper_id"))
-    at = links.select("paper_id", "bib_ord").union(only.select("paper_id", "bib_ord"))
-    cites = linking.citations_from_bib(entries, stand, at)
-    metadata = entries.join(at, "bib_ord").select("paper_id", "authors", "venue")
-    if references is not None:
-        shown = metadata.groupBy("paper_id").agg(F.array_join(F.first("authors"), ";").alias("authors"))
-        cited = full.join(shown, "paper_id", "left").select("paper_id", F.lit("").alias("doi"), "title", "year", F.coalesce("authors", F.lit("")).alias("authors"))
-        cites = linking.merge_citations(cites, linking.citations_from_references(references, cited))
-    nodes, edges = graph.build_graph(full, settle(cites), only, metadata, workspace)
-    return Indexed(snapshot, registry, sections, entries, settle(nodes), settle(edges))
+    papers_ = known.select("paper_id", "path", "title", F.lit("").alias("zotero_key"), F.lit("").alias("doi"))
+    nodes, edges, stats = canonical_graph(full, papers_, entries, registry, references, workspace=workspace)
+    return Indexed(snapshot, registry, sections, entries, nodes, edges, stats)

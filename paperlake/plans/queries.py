@@ -2,54 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import compare, documents, graph, infer, linking, profiles, resolve, search, traverse
 from ..sources import files, records as sources
 from ..streaming import incremental
+from .catalog import add as _add
+from .catalog import line as _line
+from .catalog import oracle_sql, queries
+from .catalog import paper_profiles as _profiles
+from .catalog import values as _values
 from .surrogate import CTE, citations, corpus_graph, records, table
 
 __all__ = ["oracle_sql", "queries"]
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-JOINED = "; "
-
-
-def _add(name: str, sql: str | None = None, cte: bool = True):
-    def keep(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = (CTE if cte else "") + sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _line(c: str | Column) -> Column:
-    return F.array_join(F.array_sort(c), JOINED)
-
-
-def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.paper_profiles(*corpus_graph(spark, sf_dir))
-
-
-def _values(spark: SparkSession, name: str, *values: str) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{name} string")
-
 
 # lookups
 
@@ -76,9 +44,9 @@ def _(spark, sf):
     return graph.paper_summaries(*corpus_graph(spark, sf))
 
 
-@_add("p3_list_papers", "SELECT paper_id, title, CAST(year AS BIGINT) AS year, 'default' AS workspace_id FROM paper")
+@_add("p3_list_papers", "SELECT paper_id, title, CAST(year AS BIGINT) AS year, '' AS authors, '' AS venue, '' AS doi, 'default' AS workspace_id FROM paper")
 def _(spark, sf):
-    return profiles.list_papers(corpus_graph(spark, sf)[0]).select("paper_id", "title", "year", "workspace_id")
+    return profiles.list_papers(corpus_graph(spark, sf)[0])
 
 
 @_add("p4_papers_by_method", "SELECT q AS query, p.paper_id, title, CAST(year AS BIGINT) AS year, name AS entity FROM uses JOIN paper p USING (paper_id), (VALUES ('brand#1'), ('#2')) v(q) WHERE contains(lower(name), q)")
@@ -86,16 +54,17 @@ def _(spark, sf):
     return profiles.find_papers_by_entity(*corpus_graph(spark, sf), _values(spark, "query", "brand#1", "#2"))
 
 
-@_add("p4_papers_by_task", "SELECT q AS query, p.paper_id, title, CAST(year AS BIGINT) AS year, name AS entity FROM task JOIN paper p USING (paper_id), (VALUES ('a'), ('nation')) v(q) WHERE contains(lower(name), q)")
+@_add("p4_papers_by_task", "SELECT q AS query, p.paper_id, title, CAST(year AS BIGINT) AS year, name AS entity FROM task JOIN paper p USING (paper_id), (VALUES ('99'), ('customer#00000001')) v(q) WHERE contains(lower(name), q)")
 def _(spark, sf):
-    return profiles.find_papers_by_entity(*corpus_graph(spark, sf), _values(spark, "query", "a", "nation"), "TARGETS")
+    return profiles.find_papers_by_entity(*corpus_graph(spark, sf), _values(spark, "query", "99", "customer#00000001"), "TARGETS")
 
 
-@_add("p5_papers_by_method_resolved", "SELECT 'brand 11' AS query, p.paper_id, title, CAST(year AS BIGINT) AS year, name AS entity FROM uses JOIN paper p USING (paper_id) WHERE name = 'Brand#11'")
+@_add("p5_papers_by_method_resolved", ", q AS (SELECT lower(replace(min(name), '#', ' ')) AS query, min(name) AS name FROM uses UNION ALL SELECT 'widget', NULL UNION ALL SELECT 'nothing at all', NULL) SELECT query, p.paper_id, title, CAST(year AS BIGINT) AS year, u.name AS entity FROM q JOIN uses u ON q.name = u.name OR q.name IS NULL AND contains(lower(u.name), query) JOIN paper p USING (paper_id)")
 def _(spark, sf):
     nodes, edges = corpus_graph(spark, sf)
     catalog = nodes.filter("type = 'Method'").select(F.lit("method").alias("entity_type"), "name").distinct()
-    asked = _values(spark, "name", "brand 11").withColumn("entity_type", F.lit("method"))
+    spelled = catalog.agg(F.lower(F.translate(F.min("name"), "#", " ")).alias("name"))
+    asked = spelled.union(_values(spark, "name", "widget", "nothing at all")).withColumn("entity_type", F.lit("method"))
     named = resolve.resolve_entity_names(asked, catalog).select(F.col("name").alias("query"), "canonical")
     return profiles.resolved_papers_by_entity(nodes, edges, named)
 
@@ -105,9 +74,9 @@ def _(spark, sf):
     return profiles.find_limitations(*corpus_graph(spark, sf), "that")
 
 
-@_add("p7_limitations_by_paper", "SELECT l.paper_id, title, text AS limitation, page FROM lim l JOIN paper USING (paper_id)")
+@_add("p7_limitations_by_paper", "SELECT l.paper_id, title, text AS limitation, evidence_text, page, section FROM lim l JOIN paper USING (paper_id)")
 def _(spark, sf):
-    return profiles.paper_limitations(_profiles(spark, sf)).select("paper_id", "title", "limitation", "page")
+    return profiles.paper_limitations(_profiles(spark, sf))
 
 
 @_add("p9_topic_match", "SELECT paper_id FROM paper p WHERE contains(lower(title || ' ' || coalesce((SELECT string_agg(name, ' ' ORDER BY name) FROM task u WHERE u.paper_id = p.paper_id), '') || ' ' || coalesce((SELECT string_agg(name, ' ' ORDER BY name) FROM uses u WHERE u.paper_id = p.paper_id), '') || ' ' || coalesce((SELECT string_agg(name, ' ' ORDER BY name) FROM data u WHERE u.paper_id = p.paper_id), '')), 'brand#3') OR EXISTS (SELECT 1 FROM lim u WHERE u.paper_id = p.paper_id AND contains(lower(text), 'brand#3'))")
@@ -117,17 +86,17 @@ def _(spark, sf):
 
 @_add("p10_limitation_topic_match", "SELECT l.paper_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY ord) FROM lim) l JOIN paper USING (paper_id) WHERE contains(lower(text), 'src1') OR contains(lower(evidence_text), 'src1') OR contains(lower(title), 'src1')")
 def _(spark, sf):
-    n = table(spark, sf, "supplier").count()
+    n = table(spark, sf, "orders").count()
     rows = profiles.paper_limitations(_profiles(spark, sf))
     ord_ = ((F.col("page") - 1) * n + F.substring("paper_id", 2, 20).cast("long")).alias("ord")
     return profiles.limitation_topic_match(rows, "src1").select("paper_id", ord_)
 
 
 @_add("p11_match_fields", """
-SELECT p.paper_id, list_aggregate(list_filter([CASE WHEN contains(lower(title), 'brand#1') THEN 'title' END, CASE WHEN EXISTS (SELECT 1 FROM task u WHERE u.paper_id = p.paper_id AND contains(lower(name), 'brand#1')) THEN 'task' END,
-  CASE WHEN EXISTS (SELECT 1 FROM uses u WHERE u.paper_id = p.paper_id AND contains(lower(name), 'brand#1')) THEN 'method' END, CASE WHEN EXISTS (SELECT 1 FROM lim u WHERE u.paper_id = p.paper_id AND contains(lower(text), 'brand#1')) THEN 'limitation' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS fields FROM paper p""")
+SELECT p.paper_id, list_aggregate(list_filter([CASE WHEN contains(lower(title), 'order 1') THEN 'title' END, CASE WHEN EXISTS (SELECT 1 FROM task u WHERE u.paper_id = p.paper_id AND (contains(lower(name), 'order') OR contains(name, '1'))) THEN 'task' END,
+  CASE WHEN EXISTS (SELECT 1 FROM uses u WHERE u.paper_id = p.paper_id AND (contains(lower(name), 'order') OR contains(name, '1'))) THEN 'method' END, CASE WHEN EXISTS (SELECT 1 FROM lim u WHERE u.paper_id = p.paper_id AND contains(lower(text), 'order 1')) THEN 'limitation' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS fields FROM paper p""")
 def _(spark, sf):
-    f = profiles.match_fields(F.lit("Brand#1"), F.col("title"), F.col("tasks"), F.col("methods"), F.col("limitations"))
+    f = profiles.match_fields(F.lit("Order 1"), F.col("title"), F.col("tasks"), F.col("methods"), F.col("limitations"))
     return _profiles(spark, sf).select("paper_id", F.nullif(F.array_join(f, ","), F.lit("")).alias("fields"))
 
 
@@ -166,6 +135,8 @@ def _(spark, sf):
 
 # graph
 
+_NODE = "CASE WHEN lower(trim(name)) = '' THEN '' ELSE '{k}_' || substr(sha256('default:{K}:' || lower(name)), 1, 12) END"
+_ITEM = "'{k}_' || paper_id || '_' || lpad(CAST(row_number() OVER (PARTITION BY paper_id ORDER BY ord) - 1 AS VARCHAR), 3, '0')"
 _SETS = "m AS (SELECT paper_id, string_agg(name, '|' ORDER BY name) AS ms FROM uses GROUP BY 1)"
 _CONTRAST = "contrast AS (SELECT DISTINCT a.paper_id AS source, b.paper_id AS target FROM task a JOIN task b USING (name) JOIN m x ON x.paper_id = a.paper_id JOIN m y ON y.paper_id = b.paper_id WHERE a.paper_id < b.paper_id AND x.ms <> y.ms)"
 _EXTEND = "extend AS (SELECT source, target FROM cites c WHERE EXISTS (SELECT 1 FROM task a JOIN task b USING (name) WHERE a.paper_id = source AND b.paper_id = target) AND (NOT EXISTS (SELECT 1 FROM uses WHERE paper_id = target) OR EXISTS (SELECT 1 FROM uses a JOIN uses b USING (name) WHERE a.paper_id = source AND b.paper_id = target)))"
@@ -207,9 +178,15 @@ def _(spark, sf):
     return corpus_graph(spark, sf)[0].filter("type = 'Limitation'").select("id", "paper_id", "text")
 
 
-@_add("a4_build_stats", _EDGES + "SELECT (SELECT count(*) FROM paper) AS papers, CAST(0 AS BIGINT) AS bib_only, (SELECT count(*) FROM cites) AS cites, (SELECT 2 * count(*) FROM contrast) AS contrasts_with, (SELECT count(*) FROM extend) AS extends")
+@_add("a4_build_stats", _EDGES + """SELECT (SELECT count(*) FROM paper) AS papers, CAST(0 AS BIGINT) AS bib_only, (SELECT count(*) FROM cites) AS cites, (SELECT 2 * count(*) FROM contrast) AS contrasts_with, (SELECT count(*) FROM extend) AS extends,
+  (SELECT count(DISTINCT name) FROM uses) AS entities_new, (SELECT count(*) FROM (SELECT DISTINCT name FROM uses) WHERE name LIKE 'Brand#1%') AS entities_resolved, CAST(0 AS BIGINT) AS entities_disambiguated, (SELECT count(*) FROM paper) AS bib_linked,
+  (SELECT count(*) FROM cites) AS cites_from_bib, (SELECT count(*) FROM cites) AS cites_from_references, (SELECT count(*) FROM embeddings) AS embeddings""")
 def _(spark, sf):
-    return graph.build_stats(*corpus_graph(spark, sf)).select("papers", "bib_only", "cites", "contrasts_with", "extends")
+    nodes, edges = corpus_graph(spark, sf)
+    names = nodes.filter("type = 'Method'").select(F.lit("method").alias("entity_type"), "name")
+    found = names.withColumn("canonical", F.col("name")).union(names.filter("name LIKE 'Brand#1%'").withColumn("canonical", F.lower("name")))
+    c = citations(spark, sf)
+    return graph.build_stats(nodes, edges, found, records(spark, sf).select("paper_id"), c, c, table(spark, sf, "embeddings")).drop("nodes", "edges")
 
 
 @_add("a9_node_degree", _EDGES + ", d AS (SELECT paper_id, (SELECT count(*) FROM cites WHERE source = paper_id) + (SELECT count(*) FROM cites WHERE target = paper_id) AS degree FROM paper) SELECT paper_id AS id, degree, (SELECT max(degree) FROM d) AS max_degree FROM d")
@@ -218,19 +195,42 @@ def _(spark, sf):
     return graph.node_degree(nodes.filter("type = 'Paper'"), edges.filter("type = 'CITES'"))
 
 
-@_add("a11_paper_detail_groups", "SELECT paper_id, 'Limitation' AS bucket, count(*) AS n FROM lim GROUP BY 1 UNION ALL SELECT paper_id, 'Contribution', count(*) FROM contrib GROUP BY 1 UNION ALL SELECT paper_id, 'Claim', count(*) FROM claim GROUP BY 1 UNION ALL SELECT paper_id, 'Evidence', count(*) FROM (SELECT paper_id FROM lim UNION ALL SELECT paper_id FROM contrib UNION ALL SELECT paper_id FROM claim) GROUP BY 1")
+@_add("a11_paper_detail_groups", ", i AS (" + " UNION ALL ".join(f"SELECT paper_id, '{k.capitalize()}' AS bucket, {_ITEM.format(k=k)} AS id FROM {t}" for k, t in (("limitation", "lim"), ("contribution", "contrib"), ("claim", "claim"))) + """)
+SELECT paper_id, bucket, count(*) AS n, string_agg(id, '; ' ORDER BY id) AS ids FROM (SELECT * FROM i UNION ALL SELECT paper_id, 'Evidence', 'evidence_' || id FROM i) GROUP BY 1, 2""")
+def _(spark, sf):
+    return graph.paper_detail_groups(corpus_graph(spark, sf)[0]).select("paper_id", "bucket", "n", _line("ids").alias("ids"))
+
+
+_ALL_EDGES = " UNION ALL ".join(
+    [f"SELECT '{e}' AS type, paper_id AS source, {_NODE.format(k=k.lower(), K=k)} AS target FROM {t}" for e, k, t in (("USES", "Method", "uses"), ("TARGETS", "Task", "task"), ("EVALUATES_ON", "Dataset", "data"), ("EVALUATES_WITH", "Metric", "metric"))]
+    + [f"SELECT 'HAS_{k.upper()}', paper_id, {_ITEM.format(k=k)} FROM {t} UNION ALL SELECT '{e}', {_ITEM.format(k=k)}, 'evidence_' || {_ITEM.format(k=k)} FROM {t}" for k, t, e in (("limitation", "lim", "LIMITATION_SUPPORTED_BY"), ("contribution", "contrib", "CONTRIBUTION_SUPPORTED_BY"), ("claim", "claim", "SUPPORTED_BY"))]
+    + ["SELECT 'CITES', source, target FROM cites", "SELECT 'EXTENDS', source, target FROM extend", "SELECT 'CONTRASTS_WITH', source, target FROM contrast", "SELECT 'CONTRASTS_WITH', target, source FROM contrast"]
+)
+
+
+@_add("s13_export_graph", _EDGES + _ALL_EDGES)
 def _(spark, sf):
-    return graph.paper_detail_groups(corpus_graph(spark, sf)[0]).select("paper_id", "bucket", "n")
+    return graph.export_graph(*corpus_graph(spark, sf))[1]
 
 
-@_add("s13_export_graph", _EDGES + "SELECT 'USES' AS type, count(*) AS n FROM uses UNION ALL SELECT 'TARGETS', count(*) FROM task UNION ALL SELECT 'EVALUATES_ON', count(*) FROM data UNION ALL SELECT 'EVALUATES_WITH', count(*) FROM metric UNION ALL SELECT 'HAS_LIMITATION', count(*) FROM lim UNION ALL SELECT 'LIMITATION_SUPPORTED_BY', count(*) FROM lim UNION ALL SELECT 'HAS_CONTRIBUTION', count(*) FROM contrib UNION ALL SELECT 'CONTRIBUTION_SUPPORTED_BY', count(*) FROM contrib UNION ALL SELECT 'HAS_CLAIM', count(*) FROM claim UNION ALL SELECT 'SUPPORTED_BY', count(*) FROM claim UNION ALL SELECT 'CITES', count(*) FROM cites UNION ALL SELECT 'EXTENDS', count(*) FROM extend UNION ALL SELECT 'CONTRASTS_WITH', 2 * count(*) FROM contrast")
+@_add("s14_viewer_links", _EDGES + f"SELECT source || '-' || upper(type) || '-' || target || '-0' AS id, source, target, type FROM ({_ALL_EDGES})")
 def _(spark, sf):
-    return graph.export_graph(*corpus_graph(spark, sf))[1].groupBy("type").agg(F.count("*").alias("n"))
+    return graph.viewer_payload(*corpus_graph(spark, sf))[1]
 
 
-@_add("s14_viewer_payload", "SELECT paper_id AS id, 'Paper' AS type, substr(title, 1, 80) AS label, 8 AS size, 'papers/' || paper_id AS \"group\" FROM paper UNION ALL SELECT 'limitation_' || paper_id || '_' || lpad(CAST(row_number() OVER (PARTITION BY paper_id ORDER BY ord) - 1 AS VARCHAR), 3, '0'), 'Limitation', substr(text, 1, 80), 4, 'papers/' || paper_id FROM lim")
+@_add("s14_viewer_groups", "SELECT 'papers/' || paper_id AS \"group\" FROM paper UNION ALL SELECT unnest(['method', 'task', 'dataset', 'metric'])")
 def _(spark, sf):
-    return graph.viewer_payload(*corpus_graph(spark, sf))[0].filter("type in ('Paper', 'Limitation')")
+    return graph.viewer_payload(*corpus_graph(spark, sf))[2]
+
+
+_DRAWN = "SELECT {i} AS id, '{K}' AS type, substr(text, 1, 80) AS label, 4 AS size, 'papers/' || paper_id AS \"group\" FROM {t} UNION ALL SELECT 'evidence_' || {i}, 'Evidence', substr(coalesce({e}, text), 1, 80), 2, 'papers/' || paper_id FROM {t}"
+
+
+@_add("s14_viewer_payload", "SELECT paper_id AS id, 'Paper' AS type, substr(title, 1, 80) AS label, 8 AS size, 'papers/' || paper_id AS \"group\" FROM paper UNION ALL "
+      + " UNION ALL ".join(f"SELECT DISTINCT {_NODE.format(k=k.lower(), K=k)}, '{k}', substr(name, 1, 80), {z}, '{k.lower()}' FROM {t}" for k, t, z in (("Method", "uses", 5), ("Task", "task", 5), ("Dataset", "data", 5), ("Metric", "metric", 2)))
+      + " UNION ALL " + " UNION ALL ".join(_DRAWN.format(i=_ITEM.format(k=k.lower()), K=k, t=t, e=e) for k, t, e in (("Limitation", "lim", "evidence_text"), ("Contribution", "contrib", "text"), ("Claim", "claim", "text"))))
+def _(spark, sf):
+    return graph.viewer_payload(*corpus_graph(spark, sf))[0]
 
 
 @_add("i13_delete_papers", "SELECT paper_id, (SELECT count(*) FROM uses u WHERE u.paper_id = p.paper_id) AS n_methods FROM paper p WHERE paper_id NOT IN (SELECT source FROM cites)")
@@ -247,66 +247,92 @@ def _(spark, sf):
     return traverse.paper_neighbors(corpus_graph(spark, sf)[1], citations(spark, sf).select(F.col("source").alias("paper_id")))
 
 
-@_add("t3_expand_graph", """
-, hop1 AS (SELECT DISTINCT source AS seed, target AS paper_id FROM (SELECT * FROM cites UNION SELECT target, source FROM cites)),
-hop2 AS (SELECT DISTINCT h.seed, b.target AS paper_id FROM hop1 h JOIN (SELECT * FROM cites UNION SELECT target, source FROM cites) b ON b.source = h.paper_id WHERE b.target <> h.seed AND (h.seed, b.target) NOT IN (SELECT (seed, paper_id) FROM hop1))
-SELECT seed, paper_id, 1 AS hop FROM hop1 UNION ALL SELECT seed, paper_id, 2 FROM hop2""")
+_STEP = ", step AS (SELECT source, target, 'CITES' AS relationship, 1 AS o FROM cites UNION ALL SELECT target, source, 'CITED_BY', 2 FROM cites)"
+
+
+@_add("t3_expand_graph", _STEP + """
+, hop1 AS (SELECT source AS seed, target AS paper_id, source AS parent, arg_min(relationship, o) AS relationship FROM step GROUP BY 1, 2, 3),
+hop2 AS (SELECT h.seed, b.target AS paper_id, h.paper_id AS parent, b.relationship, row_number() OVER (PARTITION BY h.seed, b.target ORDER BY h.paper_id, b.o) AS k FROM hop1 h JOIN step b ON b.source = h.paper_id
+  WHERE b.target <> h.seed AND (h.seed, b.target) NOT IN (SELECT (seed, paper_id) FROM hop1))
+SELECT seed, paper_id, 1 AS hop, relationship, NULL::VARCHAR AS via_method, parent FROM hop1 UNION ALL SELECT seed, paper_id, 2, relationship, NULL, parent FROM hop2 WHERE k = 1""")
 def _(spark, sf):
     edges = corpus_graph(spark, sf)[1]
-    seeds = records(spark, sf).select("paper_id")
-    return traverse.expand_graph(edges, seeds, 2, ("CITES", "CITED_BY")).select("seed", "paper_id", "hop")
+    return traverse.expand_graph(edges, records(spark, sf).select("paper_id"), 2, ("CITES", "CITED_BY"))
 
 
-@_add("t3_expand_all_relations", _EDGES + ", w AS (SELECT source, target FROM adj UNION SELECT a.paper_id, b.paper_id FROM uses a JOIN uses b USING (name) WHERE a.paper_id <> b.paper_id) SELECT DISTINCT source AS seed, target AS paper_id, 1 AS hop FROM w")
+@_add("t3_expand_all_relations", _EDGES + f""", u AS (SELECT paper_id, {_NODE.format(k='method', K='Method')} AS m FROM uses),
+w AS (SELECT source AS seed, target AS paper_id, relationship, NULL AS via_method, CASE relationship WHEN 'CITES' THEN 2 WHEN 'CITED_BY' THEN 3 WHEN 'CONTRASTS_WITH' THEN 4 WHEN 'EXTENDS' THEN 5 ELSE 6 END AS o FROM adj
+  UNION ALL SELECT a.paper_id, b.paper_id, 'SHARED_METHOD', min(m), 1 FROM u a JOIN u b USING (m) WHERE a.paper_id <> b.paper_id GROUP BY 1, 2)
+SELECT seed, paper_id, 1 AS hop, arg_min(relationship, o) AS relationship, min(via_method) AS via_method, seed AS parent FROM w GROUP BY 1, 2""")
 def _(spark, sf):
-    return traverse.expand_graph(corpus_graph(spark, sf)[1], records(spark, sf).select("paper_id"), 1).select("seed", "paper_id", "hop")
+    return traverse.expand_graph(corpus_graph(spark, sf)[1], records(spark, sf).select("paper_id"), 1)
 
 
-@_add("t4_ego_subgraph", _EDGES + ", e AS (SELECT source, target FROM cites) SELECT DISTINCT source, target FROM e WHERE source IN (SELECT paper_id FROM task WHERE name = (SELECT min(name) FROM task)) OR target IN (SELECT paper_id FROM task WHERE name = (SELECT min(name) FROM task))")
+@_add("t4_ego_subgraph", _EDGES + ", me AS (SELECT paper_id FROM task WHERE name LIKE '%7') SELECT DISTINCT source, target FROM cites WHERE source IN (SELECT paper_id FROM me) OR target IN (SELECT paper_id FROM me)")
 def _(spark, sf):
     nodes, edges = corpus_graph(spark, sf)
-    first = table(spark, sf, "nation").join(table(spark, sf, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").agg(F.min("n_name").alias("n_name"))
-    papers = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(first), "n_name").select(F.concat(F.lit("p"), "s_suppkey").alias("paper_id"))
-    return traverse.ego_subgraph(nodes.filter("type = 'Paper'"), edges.filter("type = 'CITES'"), papers)[1].select("source", "target")
+    mine = records(spark, sf).filter(F.exists("tasks", lambda t: t.endswith("7"))).select("paper_id")
+    return traverse.ego_subgraph(nodes.filter("type = 'Paper'"), edges.filter("type = 'CITES'"), mine)[1].select("source", "target")
 
 
-@_add("t5_shortest_path", """
-, b AS (SELECT * FROM cites UNION SELECT target, source FROM cites), ends AS (SELECT DISTINCT source, (SELECT min(paper_id) FROM paper) AS target FROM cites)
-SELECT e.source, e.target, CASE WHEN e.source = e.target THEN 0 WHEN EXISTS (SELECT 1 FROM b WHERE b.source = e.source AND b.target = e.target) THEN 1 WHEN EXISTS (SELECT 1 FROM b x JOIN b y ON x.target = y.source WHERE x.source = e.source AND y.target = e.target) THEN 2
- WHEN EXISTS (SELECT 1 FROM b x JOIN b y ON x.target = y.source JOIN b z ON y.target = z.source WHERE x.source = e.source AND z.target = e.target) THEN 3 END AS hops FROM ends e""")
+@_add("t4_ego_nodes", _EDGES + ", me AS (SELECT paper_id FROM task WHERE name LIKE '%7') SELECT paper_id AS id FROM me UNION SELECT target FROM cites WHERE source IN (SELECT paper_id FROM me) UNION SELECT source FROM cites WHERE target IN (SELECT paper_id FROM me)")
 def _(spark, sf):
-    first = records(spark, sf).agg(F.min("paper_id").alias("target"))
-    pairs = citations(spark, sf).select("source").distinct().crossJoin(F.broadcast(first))
-    return traverse.shortest_path(corpus_graph(spark, sf)[1].filter("type = 'CITES'"), pairs).select("source", "target", "hops")
+    nodes, edges = corpus_graph(spark, sf)
+    mine = records(spark, sf).filter(F.exists("tasks", lambda t: t.endswith("7"))).select("paper_id")
+    return traverse.ego_subgraph(nodes.filter("type = 'Paper'"), edges.filter("type = 'CITES'"), mine)[0].select("id")
+
+
+@_add("t5_shortest_path", CTE.replace("WITH", "WITH RECURSIVE", 1) + """
+, pos AS (SELECT paper_id, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, min(paper_id) OVER (PARTITION BY o_custkey) AS target FROM paper),
+walk AS (
+  SELECT s.paper_id AS source, s.target, s.o_custkey, s.r, t.r AS rt, s.paper_id AS path, 0 AS hops FROM pos s JOIN pos t ON t.paper_id = s.target
+  UNION ALL SELECT w.source, w.target, w.o_custkey, n.r, w.rt, w.path || ' ' || n.paper_id, w.hops + 1 FROM walk w JOIN pos n ON n.o_custkey = w.o_custkey AND abs(n.r - w.r) IN (1, 2) AND n.r BETWEEN least(w.r, w.rt) AND greatest(w.r, w.rt)
+    AND (abs(n.r - w.rt) + 1) // 2 = (abs(w.r - w.rt) + 1) // 2 - 1 WHERE w.r <> w.rt)
+SELECT source, target, CAST(min(hops) AS INTEGER) AS hops, min(path) AS path FROM walk WHERE r = rt GROUP BY 1, 2""", cte=False)
+def _(spark, sf):
+    """From each paper to the first of its task; an order cites the two before it, so the twin walks along the customer's orders."""
+    of = records(spark, sf).select(F.col("paper_id").alias("source"), F.explode("tasks").alias("task"))
+    pairs = of.join(of.groupBy("task").agg(F.min("source").alias("target")), "task")
+    return traverse.shortest_path(corpus_graph(spark, sf)[1].filter("type = 'CITES'"), pairs).withColumn("path", F.array_join("path", " "))
 
 
 # comparison
 
 _OWN = "v AS (SELECT 'methods' AS k, * FROM uses UNION ALL SELECT 'datasets', * FROM data UNION ALL SELECT 'metrics', * FROM metric), lone AS (SELECT k, name, min(paper_id) AS paper_id FROM v WHERE paper_id IN (SELECT paper_id FROM scope) GROUP BY 1, 2 HAVING count(DISTINCT paper_id) = 1), dd AS (SELECT paper_id, k, string_agg(name, ', ' ORDER BY name) AS s FROM lone GROUP BY 1, 2)"
-_DIFF = "SELECT paper_id, coalesce((SELECT string_agg(k || ': ' || s, '; ' ORDER BY CASE k WHEN 'methods' THEN 0 WHEN 'datasets' THEN 1 ELSE 2 END) FROM dd WHERE dd.paper_id = p.paper_id), 'Similar profile to other papers in this set') AS difference, coalesce((SELECT string_agg(name, ', ' ORDER BY name) FROM uses u WHERE u.paper_id = p.paper_id), '') AS method FROM scope p"
+_NAMES = "coalesce((SELECT string_agg(name, ', ' ORDER BY name) FROM {t} u WHERE u.paper_id = p.paper_id), '') AS {c}"
+_TEXTS = "coalesce((SELECT string_agg(nullif(text, ''), '; ' ORDER BY ord) FROM {t} u WHERE u.paper_id = p.paper_id), '') AS {c}"
+_DIFF = "SELECT p.paper_id, title, " + ", ".join([_NAMES.format(t=t, c=c) for t, c in (("task", "task"), ("uses", "method"), ("data", "dataset"), ("metric", "metric"))] + [_TEXTS.format(t=t, c=c) for t, c in (("contrib", "contribution"), ("lim", "limitation"))]) + """,
+  coalesce((SELECT string_agg(k || ': ' || s, '; ' ORDER BY CASE k WHEN 'methods' THEN 0 WHEN 'datasets' THEN 1 ELSE 2 END) FROM dd WHERE dd.paper_id = p.paper_id), 'Similar profile to other papers in this set') AS difference FROM scope JOIN paper p USING (paper_id)"""
 
 
 @_add("a5_comparison_rows", f", scope AS (SELECT paper_id FROM paper), {_OWN} {_DIFF}")
 def _(spark, sf):
-    return compare.comparison_rows(_profiles(spark, sf)).select("paper_id", "difference", "method")
+    return compare.comparison_rows(_profiles(spark, sf))
 
 
 @_add("a6_literature_matrix", f", scope AS (SELECT DISTINCT paper_id FROM uses WHERE contains(lower(name), 'brand#21') UNION SELECT paper_id FROM lim WHERE contains(lower(text), 'brand#21')), {_OWN} {_DIFF}")
 def _(spark, sf):
-    return compare.literature_matrix(_profiles(spark, sf), "brand#21").select("paper_id", "difference", "method")
+    return compare.literature_matrix(_profiles(spark, sf), "brand#21")
+
+
+@_add("s15_comparison_markdown", f", scope AS (SELECT paper_id FROM paper), {_OWN}, r AS ({_DIFF})" + """
+SELECT task, '| Paper | Task | Method | Dataset | Metric | Contribution | Limitation | Difference |' || chr(10) || '|---|---|---|---|---|---|---|---|' || chr(10)
+  || string_agg('| ' || concat_ws(' | ', title, task, method, dataset, metric, contribution, limitation, difference) || ' |', chr(10) ORDER BY paper_id) AS markdown FROM r GROUP BY 1""")
+def _(spark, sf):
+    """A table for each task, over the differences among all papers."""
+    return compare.comparison_markdown(compare.comparison_rows(_profiles(spark, sf)), "task")
 
 
-@_add("s15_comparison_markdown", ", l AS (SELECT paper_id, '| ' || title || ' | ' || coalesce((SELECT string_agg(name, ', ' ORDER BY name) FROM task u WHERE u.paper_id = p.paper_id), '') || ' |' AS l FROM paper p) SELECT count(*) AS n, sum(length(l)) AS chars FROM l")
+@_add("a7_related_work_outline", """, hit AS (SELECT paper_id FROM paper WHERE contains(lower(title), 'supplier#000000009') UNION SELECT paper_id FROM data WHERE contains(lower(name), 'supplier#000000009') UNION SELECT paper_id FROM lim WHERE contains(lower(text), 'supplier#000000009'))
+SELECT 0 AS kind, name AS title, paper_id, (SELECT string_agg(name, '; ' ORDER BY name) FROM uses u WHERE u.paper_id = t.paper_id) AS methods FROM task t WHERE paper_id IN (SELECT paper_id FROM hit)
+UNION ALL SELECT 1, 'Limitations of existing studies', paper_id, NULL FROM hit WHERE paper_id IN (SELECT paper_id FROM lim) UNION ALL SELECT 2, 'Positioning of the present study', paper_id, NULL FROM hit""")
 def _(spark, sf):
-    rows = compare.comparison_rows(_profiles(spark, sf)).withColumn("one", F.lit(1))
-    md = compare.comparison_markdown(rows.select("paper_id", "title", "task", *[F.lit("").alias(c) for c in ("method", "dataset", "metric", "contribution", "limitation", "difference")], "one"), "one")
-    line = md.select(F.explode(F.slice(F.split("markdown", "\n"), 3, 1 << 30)).alias("l"))
-    return line.agg(F.count("*").alias("n"), F.sum(F.length("l") - 18).cast("long").alias("chars"))
+    return compare.related_work_outline(_profiles(spark, sf), "Supplier#000000009").withColumn("methods", _line("methods"))
 
 
-@_add("a7_related_work_outline", "SELECT name AS title, count(DISTINCT paper_id) AS n_papers, string_agg(DISTINCT paper_id, '; ' ORDER BY paper_id) AS papers FROM task GROUP BY 1 UNION ALL SELECT 'Limitations of existing studies', count(DISTINCT paper_id), string_agg(DISTINCT paper_id, '; ' ORDER BY paper_id) FROM lim UNION ALL SELECT 'Positioning of the present study', count(*), string_agg(paper_id, '; ' ORDER BY paper_id) FROM paper")
+@_add("a7_outline_methods", """SELECT t.name AS title, coalesce(u.name, 'unspecified method') AS method, count(DISTINCT paper_id) AS n_papers, string_agg(DISTINCT paper_id, ',' ORDER BY paper_id) AS papers FROM task t LEFT JOIN uses u USING (paper_id) GROUP BY 1, 2""")
 def _(spark, sf):
-    return compare.related_work_outline(_profiles(spark, sf), "supplier").select("title", "n_papers", _line("papers").alias("papers"))
+    return compare.outline_methods(compare.related_work_outline(_profiles(spark, sf), ""))
 
 
 # search
@@ -314,26 +340,36 @@ def _(spark, sf):
 _BLOB = "b AS (SELECT p.paper_id, concat_ws(' ', title, (SELECT string_agg(name, ' ' ORDER BY name) FROM task u WHERE u.paper_id = p.paper_id), (SELECT string_agg(name, ' ' ORDER BY name) FROM uses u WHERE u.paper_id = p.paper_id), (SELECT string_agg(name, ' ' ORDER BY name) FROM data u WHERE u.paper_id = p.paper_id), (SELECT string_agg(nullif(text, ''), ' ' ORDER BY ord) FROM contrib u WHERE u.paper_id = p.paper_id), (SELECT string_agg(nullif(text, ''), ' ' ORDER BY ord) FROM lim u WHERE u.paper_id = p.paper_id)) AS blob FROM paper p)"
 
 
-@_add("k2_keyword_channel", f", {_BLOB}, s AS (SELECT paper_id, ((contains(lower(blob), 'brand#12'))::INT + (contains(lower(blob), 'small'))::INT + (contains(lower(blob), 'zebra'))::INT) AS hits FROM b) SELECT 'Brand#12 small zebra' AS query, paper_id FROM s WHERE hits > 0")
+_HITS = """q AS (SELECT unnest(['Brand#12 small zebra', 'widget', 'nowhere']) AS query), s AS (SELECT query, paper_id, len(list_filter(string_split(lower(query), ' '), lambda t: contains(lower(blob), t))) AS hits, len(string_split(query, ' ')) AS k,
+  len(list_filter(regexp_split_to_array(lower(blob), '\\s+'), lambda x: x <> '')) AS n FROM b, q), kw AS (SELECT query, paper_id, row_number() OVER (PARTITION BY query ORDER BY round(hits / sqrt(1.0::DOUBLE * k * greatest(n, 1)), 12) DESC, paper_id) - 1 AS rank FROM s WHERE hits > 0)"""
+
+
+@_add("k2_keyword_channel", f", {_BLOB}, {_HITS} SELECT query, paper_id, rank FROM kw")
 def _(spark, sf):
-    return search.keyword_channel(_profiles(spark, sf), _values(spark, "query", "Brand#12 small zebra")).select("query", "paper_id")
+    return search.keyword_channel(_profiles(spark, sf), _values(spark, "query", "Brand#12 small zebra", "widget", "nowhere"))
 
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
 
 
-@_add("f13_cosine_similarity", f"SELECT e.vec_id, round({_DOT.format(a='e.embedding', b='q.embedding')} / (sqrt({_DOT.format(a='e.embedding', b='e.embedding')}) * sqrt({_DOT.format(a='q.embedding', b='q.embedding')})), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q", cte=False)
+_COS = f"{_DOT.format(a='e.embedding', b='q.embedding')} / (sqrt({_DOT.format(a='e.embedding', b='e.embedding')}) * sqrt({_DOT.format(a='q.embedding', b='q.embedding')}))"
+
+
+@_add("f13_cosine_similarity", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id = (e.vec_id + 1) % (SELECT count(*) FROM embeddings)", cte=False)
 def _(spark, sf):
-    e = table(spark, sf, "embeddings")
-    q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("vector"))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(text.cosine_similarity(F.col("vector"), F.col("embedding")), 6).alias("score"))
+    """Each vector against the next."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = e.count()
+    q = e.select(F.col("vec_id").alias("_next"), F.col("embedding").alias("vector"))
+    return e.withColumn("_next", F.expr(f"(vec_id + 1) % {n}")).join(q, "_next").select("vec_id", F.round(text.cosine_similarity(F.col("vector"), F.col("embedding")), 6).alias("score"))
 
 
-@_add("k3_embedding_channel")
+@_add("k3_embedding_channel", f"WITH s AS (SELECT CAST(q.vec_id AS VARCHAR) AS query, CAST(e.vec_id AS VARCHAR) AS paper_id, round({_COS}, 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0), r AS (SELECT query, paper_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, paper_id) - 1 AS rank FROM s WHERE score > 0) SELECT * FROM r WHERE rank < 100", cte=False)
 def _(spark, sf):
+    """The hundred nearest of all vectors for every vector whose id is divisible by 20."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("paper_id"), "embedding", "vec_id")
     q = e.filter("vec_id % 20 = 0").select(F.col("paper_id").alias("query"), F.col("embedding").alias("vector"))
-    return search.embedding_channel(e, q)
+    return search.embedding_channel(e, q, 100)
 
 
 @_add("k1_reciprocal_rank_fusion", "WITH c AS (SELECT 0 AS ch, event_type AS query, user_id, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) - 1 AS r FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2) UNION ALL SELECT 1, event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY m DESC, user_id) - 1 FROM (SELECT event_type, user_id, max(event_id) AS m FROM events GROUP BY 1, 2)) SELECT query, CAST(user_id AS VARCHAR) AS paper_id, round(sum(1.0 / (r + 60)), 6) AS score FROM c GROUP BY 1, 2", cte=False)
@@ -349,17 +385,46 @@ def _(spark, sf):
     return search.graph_distance_boost(traverse.expand_graph(edges, seeds, 1, traverse.RELATIONS[1:]))
 
 
-@_add("k6_hybrid_search")
+_FIELDS = "list_filter([CASE WHEN contains(lower(title), lower(query)) THEN 'title' END, CASE WHEN EXISTS (SELECT 1 FROM task u WHERE u.paper_id = f.paper_id AND (contains(lower(name), lower(query)) OR list_bool_or([contains(lower(name), t) for t in string_split(lower(query), ' ')]))) THEN 'task' END, CASE WHEN EXISTS (SELECT 1 FROM uses u WHERE u.paper_id = f.paper_id AND (contains(lower(name), lower(query)) OR list_bool_or([contains(lower(name), t) for t in string_split(lower(query), ' ')]))) THEN 'method' END, CASE WHEN EXISTS (SELECT 1 FROM lim u WHERE u.paper_id = f.paper_id AND contains(lower(text), lower(query))) THEN 'limitation' END], lambda x: x IS NOT NULL)"
+
+
+@_add("k6_hybrid_search", _EDGES + f", {_BLOB}, {_HITS.replace('Brand#12 small zebra', 'Brand#12').replace('widget', 'small bolt').replace('nowhere', 'Customer#000000007')}" + f"""
+, v AS (SELECT 'Brand#12' AS query, 0 AS id UNION ALL SELECT 'small bolt', 1 UNION ALL SELECT 'Customer#000000007', 2),
+field AS (SELECT p.paper_id, concat_ws(' ', title, (SELECT string_agg(name, ' ' ORDER BY name) FROM task u WHERE u.paper_id = p.paper_id), (SELECT string_agg(name, ' ' ORDER BY name) FROM uses u WHERE u.paper_id = p.paper_id), (SELECT string_agg(name, ' ' ORDER BY name) FROM data u WHERE u.paper_id = p.paper_id), (SELECT string_agg(coalesce(text, ''), ' ' ORDER BY ord) FROM lim u WHERE u.paper_id = p.paper_id)) AS blob, title FROM paper p),
+c AS (
+  SELECT 0 AS ch, query, paper_id, row_number() OVER (PARTITION BY query ORDER BY title, paper_id) - 1 AS r FROM (SELECT DISTINCT query, paper_id, title FROM q, uses JOIN paper USING (paper_id) WHERE contains(lower(name), lower(query)))
+  UNION ALL SELECT 1, query, paper_id, row_number() OVER (PARTITION BY query ORDER BY title, paper_id) - 1 FROM (SELECT DISTINCT query, paper_id, title FROM q, task JOIN paper USING (paper_id) WHERE contains(lower(name), lower(query)))
+  UNION ALL SELECT 2, query, paper_id, row_number() OVER (PARTITION BY query ORDER BY title, paper_id) - 1 FROM q, field WHERE contains(lower(blob), lower(query))
+  UNION ALL SELECT 3, query, paper_id, rank FROM kw
+  UNION ALL SELECT 4, query, 'p' || vec_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, 'p' || vec_id) - 1 FROM (SELECT v.query, e.vec_id, round({_COS}, 9) AS score FROM embeddings e, embeddings q, v WHERE q.vec_id = v.id) WHERE score > 0),
+fused AS (SELECT query, paper_id, round(sum(1.0::DOUBLE / (r + 60)), 12) AS score, min({{'ch': ch, 'r': r}}) AS f FROM c GROUP BY 1, 2),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, f, paper_id) AS place FROM fused) WHERE place <= 20),
+near AS (SELECT target AS paper_id, max(CASE relationship WHEN 'EXTENDS' THEN 1.0 WHEN 'CITED_BY' THEN 0.8 WHEN 'CITES' THEN 0.7 WHEN 'CONTRASTS_WITH' THEN 0.6 ELSE 0.3 END) AS b, min(CASE relationship WHEN 'CITES' THEN 2 WHEN 'CITED_BY' THEN 3 WHEN 'CONTRASTS_WITH' THEN 4 WHEN 'EXTENDS' THEN 5 ELSE 6 END) AS o FROM adj WHERE source = 'p12' GROUP BY 1),
+boost AS (SELECT paper_id, CASE o WHEN 2 THEN 0.7 WHEN 3 THEN 0.8 WHEN 4 THEN 0.6 WHEN 5 THEN 1.0 ELSE 0.3 END::DOUBLE AS boost FROM near),
+f AS (SELECT query, paper_id, title, round(score + coalesce(boost, 0.0), 4) AS score, place FROM cut LEFT JOIN boost USING (paper_id) JOIN paper USING (paper_id)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, place) AS rank FROM f) WHERE rank <= 10)
+SELECT query, CAST(rank AS INTEGER) AS rank, paper_id, title, score, CASE WHEN len(fields) > 0 THEN array_to_string(fields, ', ') ELSE 'keyword' END AS match_fields, CASE WHEN len(fields) > 0 THEN array_to_string(fields, ', ') ELSE 'hybrid keyword/embedding match' END AS match_reason FROM (SELECT f.*, {_FIELDS} AS fields FROM top f)""")
 def _(spark, sf):
+    """Five channels and the boost of what is one hop from a paper."""
     nodes, edges = corpus_graph(spark, sf)
-    p, q = profiles.paper_profiles(nodes, edges), _values(spark, "query", "Brand#12", "small bolt", "Supplier#000000007")
-    entity = lambda e: search.entity_channel(profiles.find_papers_by_entity(nodes, edges, q, e))
-    return search.hybrid_search(p, [entity("USES"), entity("TARGETS"), search.matrix_channel(p, q), search.keyword_channel(p, q)], 10)
+    p, q = profiles.paper_profiles(nodes, edges), _values(spark, "query", "Brand#12", "small bolt", "Customer#000000007")
 
+    def entity(edge: str, kind: str):
+        catalog = nodes.filter(F.lower("type") == kind).select(F.lit(kind).alias("entity_type"), "name").distinct()
+        named = resolve.resolve_entity_names(q.select(F.lit(kind).alias("entity_type"), F.col("query").alias("name")), catalog)
+        return search.entity_channel(profiles.resolved_papers_by_entity(nodes, edges, named.select(F.col("name").alias("query"), "canonical"), edge))
 
-@_add("k7_embeddings_input", f", {_BLOB} SELECT paper_id, length(blob) AS n FROM b")
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("paper_id"), "embedding", "vec_id")
+    asked = F.element_at(F.array(F.lit("Brand#12"), F.lit("small bolt"), F.lit("Customer#000000007")), (F.col("vec_id") + 1).cast("int"))
+    vectors = e.filter("vec_id < 3").select(asked.alias("query"), F.col("embedding").alias("vector"))
+    channels = [entity("USES", "method"), entity("TARGETS", "task"), search.matrix_channel(p, q), search.keyword_channel(p, q), search.embedding_channel(e, vectors)]
+    boosts = search.graph_distance_boost(traverse.expand_graph(edges, _values(spark, "paper_id", "p12"), 1, traverse.RELATIONS[1:])).crossJoin(F.broadcast(q))
+    return search.hybrid_search(p, channels, 10, boosts).withColumn("match_fields", F.array_join("match_fields", ", "))
+
+
+@_add("k7_embeddings_input", f", {_BLOB} SELECT paper_id, blob AS text FROM b")
 def _(spark, sf):
-    return profiles.embeddings_input(_profiles(spark, sf)).select("paper_id", F.length("text").cast("long").alias("n"))
+    return profiles.embeddings_input(_profiles(spark, sf))
 
 
 # text functions over whole tables
@@ -381,19 +446,28 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(text.keyword_score(F.lit("That secret"), F.col("text")), 6).alias("score"))
 
 
-@_add("s16_route_sources", "SELECT page_id, CASE WHEN url LIKE 'http%' THEN 'url' ELSE 'local' END AS kind, url AS source_ref FROM pages", cte=False)
+@_add("s16_route_sources", """WITH r AS (SELECT page_id, page_id % 7 AS k, url, '2401.' || lpad(CAST(page_id AS VARCHAR), 5, '0') AS ax FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN 'url' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'arxiv' WHEN 3 THEN 'library' WHEN 4 THEN 'bytes' WHEN 5 THEN 'local' ELSE 'url' END AS kind,
+  CASE k WHEN 0 THEN url WHEN 1 THEN 'arxiv://' || ax WHEN 2 THEN 'arxiv://' || ax || 'v2' WHEN 3 THEN 'zotero:' || page_id WHEN 4 THEN 'bytes://' || page_id WHEN 5 THEN '/in/' || page_id || '.pdf' ELSE 'https://x.org/a/' || page_id || '.pdf?d=1' END AS source_ref FROM r""", cte=False)
 def _(spark, sf):
-    return files.route_sources(table(spark, sf, "pages").select("page_id", F.col("url").alias("reference"))).select("page_id", "kind", "source_ref")
+    k, i = F.col("page_id") % 7, F.col("page_id").cast("string")
+    ax = F.concat(F.lit("2401."), F.lpad(i, 5, "0"))
+    ref = (
+        F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("arxiv:"), ax)).when(k == 2, F.concat(F.lit(" https://arxiv.org/abs/"), ax, F.lit("v2"))).when(k == 3, F.concat(F.lit("zotero:"), i))
+        .when(k == 4, F.concat(F.lit("bytes://"), i)).when(k == 5, F.concat(F.lit("/in/"), i, F.lit(".pdf"))).otherwise(F.concat(F.lit("https://x.org/a/"), i, F.lit(".pdf?d=1")))
+    )
+    return files.route_sources(table(spark, sf, "pages").select("page_id", ref.alias("reference"))).select("page_id", "kind", "source_ref")
 
 
-@_add("s3_fingerprints", "SELECT doc_id, sha256(text) AS sha256 FROM documents", cte=False)
+@_add("s3_fingerprints", "SELECT 'd/' || doc_id AS path, sha256(text) AS sha256, strlen(text) AS size FROM documents", cte=False)
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    rows = table(spark, sf, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"), F.lit(None).cast("timestamp").alias("modified_at"))
+    return files.fingerprint_files(rows).drop("modified_at")
 
 
-@_add("f19_estimate_tokens", "SELECT region.r_regionkey, (length('{\"r_name\":\"' || r_name || '\"}') // 4) AS tokens FROM region", cte=False)
+@_add("f19_estimate_tokens", "SELECT event_id, length(to_json({'event_type': event_type, 'props': props})) // 4 AS tokens FROM events", cte=False)
 def _(spark, sf):
-    return table(spark, sf, "region").select("r_regionkey", text.estimate_tokens(F.struct("r_name")).alias("tokens"))
+    return table(spark, sf, "events").select("event_id", text.estimate_tokens(F.struct("event_type", "props")).alias("tokens"))
 
 
 # documents
@@ -418,31 +492,50 @@ def _(spark, sf):
     return documents.section_starts_regex(documents.pages_to_documents(_headed(spark, sf)))
 
 
-@_add("d4_split_sections", _HEADED + " SELECT doc, name, CAST(min(pos) AS BIGINT) AS pos, min(turn) AS page_start FROM o GROUP BY 1, 2", cte=False)
+@_add("d4_split_sections", _HEADED + """, p AS (SELECT doc, turn, pos, pos + l + 1 AS e, name FROM o), f AS (SELECT doc, string_agg(h, chr(10) ORDER BY turn) AS full_text FROM (SELECT conv_id AS doc, turn, ['Abstract', '1. Introduction', '2 Related Work', 'Methods', 'Results', 'Discussion', 'Conclusion', 'References'][least(turn, 7) + 1] || chr(10) || text AS h FROM conversations) GROUP BY 1),
+s AS (SELECT doc, name, CAST(min(pos) AS BIGINT) AS pos FROM o GROUP BY 1, 2), n AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY doc ORDER BY pos, name), length(full_text)) AS e FROM s JOIN f USING (doc))
+SELECT doc, name, pos, substr(trim(substr(full_text, pos + 1, e - pos), ' ' || chr(9) || chr(10) || chr(13)), 1, 20000) AS text, (SELECT min(turn) FROM p WHERE p.doc = n.doc AND p.e >= n.pos) AS page_start, (SELECT min(turn) FROM p WHERE p.doc = n.doc AND p.e >= n.e - 1) AS page_end FROM n""", cte=False)
 def _(spark, sf):
     pages = _headed(spark, sf)
     docs = documents.pages_to_documents(pages)
-    at = documents.split_sections(docs, documents.section_starts_regex(docs), pages).select("doc", "name", "pos", "text")
-    inside = documents.page_for_offset(at.withColumn("_in", F.col("pos") + 1), pages, "_in")
-    return inside.select("doc", "name", "pos", F.col("page").alias("page_start"))
+    return documents.split_sections(docs, documents.section_starts_regex(docs), pages)
 
 
-@_add("d6_guess_title")
+@_add("d6_guess_title", """WITH l AS (SELECT doc_id AS doc, list_filter([trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(160)) for x in regexp_split_to_array(text, '\\r\\n|\\r|\\n')], lambda x: x <> '') AS l FROM documents),
+g AS (SELECT doc, l, list_filter(l[1:20], lambda x: length(x) > 8 AND NOT regexp_matches(x, '(?i)^(abstract|introduction|\\d+\\.|arxiv|doi|http|www\\.|@|university|proceedings|journal|vol\\.|pp\\.)')) AS g FROM l)
+SELECT doc, substr(coalesce(g[1], l[1]), 1, 300) AS title FROM g""", cte=False)
 def _(spark, sf):
     return documents.guess_title(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("full_text")))
 
 
-@_add("d8_references")
-def _(spark, sf):
-    """Suppliers of an order as a reference list."""
+#: Entries as the sections below have them. A list of one entry and over 80 characters is parted at its mark alone, heading and all.
+_LINES = """WITH l AS (SELECT l_orderkey AS doc, l_partkey, s_name, year(l_shipdate) AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s_name, l_shipdate) AS n, count(*) OVER (PARTITION BY l_orderkey) AS k FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+r AS (SELECT *, 'Smith J., Doe A. ' || s_name || ' of part ' || l_partkey || '. 10.1000/' || l_partkey || ', ' || y || '.' AS raw FROM l), e AS (SELECT *, k = 1 AND length(raw) + 15 > 80 AS lone FROM r)"""
+
+
+def _reference_sections(spark, sf):
+    """Lines of an order as a reference list under its heading; every third entry runs over two lines."""
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    entry = F.struct("l_linenumber", "l_partkey", F.format_string("[%d] Smith J., Doe A. %s of part %d. 10.1000/%d, %d.", "l_linenumber", "s_name", "l_partkey", "l_partkey", F.year("l_shipdate")).alias("t"))
-    text_ = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["t"]), "\n")
-    sections = lines.groupBy(F.col("l_orderkey").alias("doc")).agg(text_.alias("text"))
-    return documents.reference_meta(documents.parse_references(documents.split_references(sections)))
+    entry = F.struct("l_linenumber", "l_partkey", "s_name", "l_shipdate")
+    text_ = lambda e, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] Smith J., Doe A. "), e["s_name"], F.when(i % 3 == 2, F.lit("\n  ")).otherwise(F.lit(" ")), F.lit("of part "), e["l_partkey"].cast("string"), F.lit(". 10.1000/"), e["l_partkey"].cast("string"), F.lit(", "), F.year(e["l_shipdate"]).cast("string"), F.lit("."))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), text_), "\n")
+    return lines.groupBy(F.col("l_orderkey").alias("doc")).agg(F.concat(F.lit("References\n"), body).alias("text"))
 
 
-_SQL["d8_references"] = "SELECT l_orderkey AS doc, count(*) AS count, count(*) AS parsed FROM lineitem GROUP BY 1"
+@_add("d8_split_references", _LINES + " SELECT doc, CAST(n AS INTEGER) AS ref_no, raw FROM e WHERE NOT lone UNION ALL SELECT doc, 1, 'References' FROM e WHERE lone UNION ALL SELECT doc, 2, '[1] ' || raw FROM e WHERE lone", cte=False)
+def _(spark, sf):
+    return documents.split_references(_reference_sections(spark, sf))
+
+
+@_add("d9_parse_references", _LINES + """ SELECT doc, CAST(n AS INTEGER) + CASE WHEN lone THEN 1 ELSE 0 END AS ref_no, '10.1000/' || l_partkey AS doi, '' AS arxiv_id, y AS year, CASE WHEN lone THEN '' ELSE 'Smith J.; Doe A.' END AS authors, CASE WHEN lone THEN '[1] Smith J., Doe A. ' ELSE '' END || s_name || ' of part ' || l_partkey AS title FROM e
+UNION ALL SELECT doc, 1, '', '', NULL, '', 'References' FROM e WHERE lone""", cte=False)
+def _(spark, sf):
+    return documents.parse_references(documents.split_references(_reference_sections(spark, sf))).select("doc", "ref_no", "doi", "arxiv_id", "year", F.array_join("authors", "; ").alias("authors"), "title")
+
+
+@_add("d8_references", _LINES + " SELECT doc, count(*) + count_if(lone) AS count, count(*) + count_if(lone) AS parsed FROM e GROUP BY 1", cte=False)
+def _(spark, sf):
+    return documents.reference_meta(documents.parse_references(documents.split_references(_reference_sections(spark, sf))))
 
 
 # linking
@@ -486,8 +579,8 @@ def _(spark, sf):
 
 @_add("r2_canonicalise_batch")
 def _(spark, sf):
-    """Part names as method names, in the order of their orders' suppliers."""
-    lines = table(spark, sf, "part").select(F.lit("method").alias("entity_type"), (F.col("p_partkey") % 25).alias("paper_ord"), F.col("p_name").alias("name"))
+    """Names of parts as names of methods, in the order of the parts."""
+    lines = table(spark, sf, "part").select(F.lit("method").alias("entity_type"), F.col("p_partkey").alias("paper_ord"), F.col("p_name").alias("name"))
     return resolve.canonicalise_batch(lines)
 
 
@@ -517,11 +610,11 @@ def _(spark, sf):
     return files.skip_unchanged(docs, table(spark, sf, "benchmark").select(same, F.sha2("text", 256).alias("sha256"))).select("doc_id")
 
 
-@_add("i7_library_delta_merge", "SELECT CAST(user_id AS VARCHAR) AS bib_key, max(event_id) AS zotero_version FROM events GROUP BY 1", cte=False)
+@_add("i7_library_delta_merge", "SELECT CAST(user_id AS VARCHAR) AS bib_key, max(event_id) AS zotero_version, arg_max(event_type, event_id) AS title, 'u' || arg_max(value, event_id) AS doi, '' AS url FROM events GROUP BY 1", cte=False)
 def _(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("bib_key"), F.col("event_id").alias("zotero_version"), F.col("event_type").alias("title"), F.lit("").alias("doi"), F.lit("").alias("url"))
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("bib_key"), F.col("event_id").alias("zotero_version"), F.col("event_type").alias("title"), F.concat(F.lit("u"), F.col("value").cast("string")).alias("doi"), F.lit("").alias("url"))
     view = F.col("title") == "view"
-    return incremental.library_delta_merge(e.filter(view), e.filter(~view)).select("bib_key", "zotero_version")
+    return incremental.library_delta_merge(e.filter(view), e.filter(~view))
 
 
 @_add("i8_skip_ingested", "SELECT event_id AS zotero_version FROM events WHERE event_type <> 'view'", cte=False)
@@ -551,7 +644,9 @@ def _(spark, sf):
     return full.select("paper_id", "title", F.coalesce(F.size("methods"), F.lit(0)).cast("long").alias("n_methods"))
 
 
-@_add("s11_upsert_embeddings", "SELECT vec_id, label FROM embeddings", cte=False)
+@_add("s11_upsert_embeddings", "SELECT vec_id, CASE WHEN label > 0 THEN -label ELSE label END AS label, round(list_sum([CAST(x AS DOUBLE) for x in embedding]), 4) + CASE WHEN label > 0 THEN 1 ELSE 0 END AS total FROM embeddings", cte=False)
 def _(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("paper_id"), "embedding", "label")
-    return sources.upsert_embeddings(e, e.filter("label > 0")).select(F.col("paper_id").alias("vec_id"), "label")
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("paper_id"), F.concat("embedding", F.array(F.lit(0.0).cast("float"))).alias("embedding"), "label")
+    new = e.filter("label > 0").select("paper_id", F.concat(F.slice("embedding", 1, F.size("embedding") - 1), F.array(F.lit(1.0).cast("float"))).alias("embedding"), (-F.col("label")).alias("label"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return sources.upsert_embeddings(e, new).select(F.col("paper_id").alias("vec_id"), "label", F.round(total, 4).alias("total"))
\ No newline at end of file

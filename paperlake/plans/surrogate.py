@@ -1,14 +1,14 @@
-"""A paper corpus made of the star schema's tables, so that every operator runs on the given data.
+"""A paper corpus made of the star schema's tables, so that every operator runs on the given data, all of it.
 
-Papers are suppliers, tasks their nations. Methods, datasets and metrics are brand, type and name of the
-parts of returned lines of 50 items or more; a paper cites the supplier of the next line of an order if
-both lines have 49 items or more. Documents are dealt to papers as limitations, benchmark items as
-contributions, pages as claims (by their address), all whole.
+Papers are orders, their task is the customer. Methods, datasets and metrics are the parts, suppliers and
+types of parts of an order's lines; an order cites the two orders that its customer placed before it. Documents
+are dealt to papers as limitations, benchmark items as contributions, pages as claims (by their address), all
+whole. Each table grows with the scale and none of these lists does, so pairs grow in proportion.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import build_graph
@@ -16,20 +16,19 @@ from .stages import settle
 
 __all__ = ["CTE", "citations", "corpus_graph", "records", "table"]
 
-_BIG, _CITED = 50, 49
 #: The same in SQL: paper, task, uses, data, metric, lim, contrib, claim, cites.
-CTE = f"""
-WITH paper AS (SELECT 'p' || s_suppkey AS paper_id, s_name AS title, 1990 + s_suppkey % 30 AS year, s_nationkey, s_suppkey FROM supplier),
-size AS (SELECT count(*) AS n FROM supplier),
-task AS (SELECT paper_id, n_name AS name FROM paper JOIN nation ON n_nationkey = s_nationkey),
-ln AS (SELECT DISTINCT 'p' || l_suppkey AS paper_id, p_brand, p_type, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= {_BIG} AND l_returnflag = 'R'),
-uses AS (SELECT DISTINCT paper_id, p_brand AS name FROM ln), data AS (SELECT DISTINCT paper_id, p_type AS name FROM ln), metric AS (SELECT DISTINCT paper_id, p_name AS name FROM ln),
+CTE = """
+WITH paper AS (SELECT 'p' || o_orderkey AS paper_id, 'Order ' || o_orderkey || ' ' || o_orderpriority AS title, year(o_orderdate) AS year, o_custkey, o_orderkey, o_orderdate FROM orders),
+size AS (SELECT count(*) AS n FROM orders),
+task AS (SELECT paper_id, c_name AS name FROM paper JOIN customer ON c_custkey = o_custkey),
+ln AS (SELECT 'p' || l_orderkey AS paper_id, p_brand || ' ' || p_name || ' ' || p_partkey AS method, s_name, p_type FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+uses AS (SELECT DISTINCT paper_id, method AS name FROM ln), data AS (SELECT DISTINCT paper_id, s_name AS name FROM ln), metric AS (SELECT DISTINCT paper_id, p_type AS name FROM ln),
 lim AS (SELECT 'p' || (doc_id % n) AS paper_id, text, source AS evidence_text, doc_id // n + 1 AS page, lang AS section, doc_id AS ord FROM documents, size),
 contrib AS (SELECT 'p' || (item_id % n) AS paper_id, text, item_id AS ord FROM benchmark, size),
 claim AS (SELECT 'p' || (page_id % n) AS paper_id, url AS text, page_id AS ord FROM pages, size),
 cites AS (
-  SELECT DISTINCT 'p' || a.l_suppkey AS source, 'p' || b.l_suppkey AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_quantity >= {_CITED} AND b.l_quantity >= {_CITED} AND a.l_suppkey <> b.l_suppkey)
+  SELECT paper_id AS source, target FROM (SELECT paper_id, unnest([lag(paper_id) OVER w, lag(paper_id, 2) OVER w]) AS target FROM paper WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+  WHERE target IS NOT NULL)
 """
 
 
@@ -44,11 +43,12 @@ def _key(c: str) -> Column:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extraction records of all papers."""
     t = lambda name: table(spark, sf_dir, name)
-    suppliers = t("supplier")
-    n = suppliers.count()
-    lines = t("lineitem").filter((F.col("l_quantity") >= _BIG) & (F.col("l_returnflag") == "R")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    orders = t("orders")
+    n = orders.count()
+    lines = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     names = lambda c: F.array_sort(F.collect_set(c))
-    parts = lines.groupBy(_key("l_suppkey").alias("paper_id")).agg(names("p_brand").alias("methods"), names("p_type").alias("datasets"), names("p_name").alias("metrics"))
+    method = F.concat_ws(" ", "p_brand", "p_name", F.col("p_partkey").cast("string"))
+    parts = lines.groupBy(_key("l_orderkey").alias("paper_id")).agg(names(method).alias("methods"), names("s_name").alias("datasets"), names("p_type").alias("metrics"))
 
     def items(df: DataFrame, key: str, text: Column, evidence: Column, section: Column, name: str) -> DataFrame:
         place = F.expr(f"{key} % {n}")
@@ -60,8 +60,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = items(t("documents"), "doc_id", c("text"), c("source"), c("lang"), "limitations")
     contributions = items(t("benchmark"), "item_id", c("text"), c("text"), none, "contributions")
     claims = items(t("pages"), "page_id", c("url"), c("url"), none, "claims")
-    papers = suppliers.join(t("nation"), c("s_nationkey") == c("n_nationkey"), "left").select(
-        _key("s_suppkey").alias("paper_id"), c("s_name").alias("title"), (1990 + F.expr("s_suppkey % 30")).cast("long").alias("year"), F.filter(F.array("n_name"), lambda x: x.isNotNull()).alias("tasks")
+    title = F.concat_ws(" ", F.lit("Order"), c("o_orderkey").cast("string"), "o_orderpriority")
+    papers = orders.join(t("customer"), c("o_custkey") == c("c_custkey"), "left").select(
+        _key("o_orderkey").alias("paper_id"), title.alias("title"), F.year("o_orderdate").cast("long").alias("year"), F.filter(F.array("c_name"), lambda x: x.isNotNull()).alias("tasks")
     )
     for extra in (parts, limits, contributions, claims):
         papers = papers.join(extra, "paper_id", "left")
@@ -71,9 +72,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target) of all papers."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= _CITED).select("l_orderkey", "l_linenumber", "l_suppkey")
-    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("_next"))
-    return lines.join(after, ["l_orderkey", "l_linenumber"]).filter("l_suppkey <> _next").select(_key("l_suppkey").alias("source"), _key("_next").alias("target")).distinct()
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    before = F.array(F.lag("o_orderkey", 1).over(w), F.lag("o_orderkey", 2).over(w))
+    rows = table(spark, sf_dir, "orders").select(_key("o_orderkey").alias("source"), before.alias("_before"))
+    return rows.select("source", F.explode("_before").alias("_k")).filter("_k is not null").select("source", _key("_k").alias("target"))
 
 
 _BUILT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}

@@ -16,8 +16,9 @@ DEFAULT_IGNORE = ("**/.git/**", "**/__pycache__/**", "**/~$*", "**/*.tmp", "**/.
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(path, modified_at, size, content) of all PDF, BibTeX and Markdown files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.filter(F.lower("path").rlike(r"\.(pdf|bib|md)$")).select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"), "content")
+    suffixes = "*.{[pP][dD][fF],[bB][iI][bB],[mM][dD]}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", suffixes).load(root)
+    return files.select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"), "content")
 
 
 def glob_to_regex(pattern: str) -> str:

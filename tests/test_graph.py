@@ -114,11 +114,13 @@ def test_paths_have_no_limit(spark, monkeypatch):
     monkeypatch.setattr(plans, "citations", lambda spark, data: chain)
     monkeypatch.setattr(plans, "records", lambda spark, data: chain.selectExpr("source AS paper_id"))
     monkeypatch.setattr(plans, "corpus_graph", lambda spark, data: (None, chain.selectExpr("'CITES' AS type", "*")))
+    tasks = chain.selectExpr("source AS paper_id", "array('t') AS tasks")
+    monkeypatch.setattr(plans, "records", lambda spark, data: tasks)
     got = {(r.source, r.target): r.hops for r in plans.queries()["t5_shortest_path"](spark, "").collect()}
     assert got == {(f"n{i:02}", "n00"): i for i in range(22)}
 
 
-def test_embeddings_against_brute_force(spark):
+def test_embeddings_against_brute_force(spark, monkeypatch):
     rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
     unit = {r.vec_id: np.array(r.embedding, dtype=float) / np.linalg.norm(np.array(r.embedding, dtype=float)) for r in rows}
     want = set()
@@ -127,6 +129,16 @@ def test_embeddings_against_brute_force(spark):
             scores = {str(k): round(float(unit[q] @ v), 9) for k, v in unit.items()}
             want |= {(str(q), k, i) for i, k in enumerate(sorted((k for k in scores if scores[k] > 0), key=lambda k: (-scores[k], k)))}
     assert len({q for q, _, _ in want}) == 25
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").cast("string").alias("paper_id"), "embedding", "vec_id")
+    q = e.filter("vec_id % 20 = 0").select(F.col("paper_id").alias("query"), F.col("embedding").alias("vector"))
+    monkeypatch.setattr(search, "_QUERIES", 7)
+    monkeypatch.setattr(search, "_VECTORS", 60)
+    every = [(r["query"], r.paper_id, r["rank"]) for r in search.embedding_channel(e, q).collect()]
+    assert len(every) == len(want) and set(every) == want
+    ragged = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", []), ("d", None), ("e", [1.0, 1.0, 1.0]), ("f", [1.0, 1.0])], "paper_id string, embedding array<double>")
+    few = search.embedding_channel(ragged, ragged.select(F.col("paper_id").alias("query"), F.col("embedding").alias("vector")))
+    assert pairs(few, "query", "paper_id", "rank") == [("a", "a", 0), ("a", "f", 1), ("e", "e", 0), ("f", "a", 1), ("f", "f", 0)]
+    want = {w for w in want if w[2] < 100}
     got = [(r["query"], r.paper_id, r["rank"]) for r in plans.queries()["k3_embedding_channel"](spark, "/root/testdata/sf0.001").collect()]
     assert len(got) == len(want) and set(got) == want
 
@@ -139,8 +151,9 @@ def test_comparison(library):
 
 
 def test_outline_and_gaps(library, spark):
-    titles = [r.title for r in library.outline("mobility").orderBy("section").collect()]
-    assert titles == ["mobility prediction", "Limitations of existing studies", "Positioning of the present study"]
+    rows = library.outline("mobility").orderBy("kind", F.lower("title")).collect()
+    assert [(r.title, r.paper_id) for r in rows] == [(t, "mobility_gnn_2024") for t in ("mobility prediction", "Limitations of existing studies", "Positioning of the present study")]
+    assert sorted((r.method, r.papers) for r in compare.outline_methods(library.outline("mobility")).collect()) == [("GRU", "mobility_gnn_2024"), ("Graph Neural Network", "mobility_gnn_2024")]
     assert library.gaps("event").count() == 2
 
 
