@@ -527,7 +527,7 @@ def _(spark, sf):
     return documents.split_references(_reference_sections(spark, sf))
 
 
-@_add("d9_parse_references", _LINES + """ SELECT doc, CAST(n AS INTEGER) + CASE WHEN lone THEN 1 ELSE 0 END AS ref_no, '10.1000/' || l_partkey AS doi, '' AS arxiv_id, y AS year, CASE WHEN lone THEN '' ELSE 'Smith J.; Doe A.' END AS authors, CASE WHEN lone THEN '[1] Smith J., Doe A. ' ELSE '' END || s_name || ' of part ' || l_partkey AS title FROM e
+@_add("d9_parse_references", _LINES + """ SELECT doc, CAST(n AS INTEGER) + CASE WHEN lone THEN 1 ELSE 0 END AS ref_no, '10.1000/' || l_partkey AS doi, '' AS arxiv_id, y AS year, CASE WHEN lone THEN '' ELSE 'Smith J.' END AS authors, CASE WHEN lone THEN '[1] Smith J., Doe A. ' ELSE 'Doe A. ' END || s_name || ' of part ' || l_partkey AS title FROM e
 UNION ALL SELECT doc, 1, '', '', NULL, '', 'References' FROM e WHERE lone""", cte=False)
 def _(spark, sf):
     return documents.parse_references(documents.split_references(_reference_sections(spark, sf))).select("doc", "ref_no", "doi", "arxiv_id", "year", F.array_join("authors", "; ").alias("authors"), "title")
@@ -540,14 +540,6 @@ def _(spark, sf):
 
 # linking
 
-@_add("j4_match_references", "WITH r AS (SELECT DISTINCT s_suppkey, s_name FROM supplier) SELECT 'r' || s_suppkey AS ref_id, 'p' || s_suppkey AS paper_id, 'title' AS method FROM r", cte=False)
-def _(spark, sf):
-    s = table(spark, sf, "supplier")
-    papers = s.select(F.concat(F.lit("p"), "s_suppkey").alias("paper_id"), F.lit("").alias("doi"), F.col("s_name").alias("title"), F.lit(-1).cast("long").alias("year"), F.lit("").alias("authors"))
-    refs = s.select(F.concat(F.lit("r"), "s_suppkey").alias("ref_id"), F.lit("").alias("doi"), F.col("s_name").alias("title"), F.lit(2000).cast("long").alias("year"), F.array().cast("array<string>").alias("authors"))
-    return linking.match_references(refs, papers)
-
-
 @_add("j3_citations_from_bib", "SELECT DISTINCT 'p' || o_custkey AS source, 'p' || (o_orderkey % (SELECT count(*) FROM customer)) AS target FROM orders WHERE o_custkey <> o_orderkey % (SELECT count(*) FROM customer) AND o_custkey IN (SELECT c_custkey FROM customer)", cte=False)
 def _(spark, sf):
     c = table(spark, sf, "customer").select(F.concat(F.lit("p"), "c_custkey").alias("paper_id"))
@@ -557,15 +549,6 @@ def _(spark, sf):
     return linking.citations_from_bib(entries.withColumn("source_stem", F.lit("")), c)
 
 
-@_add("j11_resolve_identity", "WITH f AS (SELECT sha256(text) AS h, min(doc_id) AS first FROM documents GROUP BY 1) SELECT doc_id AS ref, 'd' || lpad(CAST(first AS VARCHAR), 12, '0') AS paper_id FROM documents JOIN f ON sha256(text) = h", cte=False)
-def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    none = F.lit(None).cast("string")
-    keys = {"zotero_key": none, "doi": none, "source_ref": none}
-    registry = d.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("paper_id"), "content_hash").withColumns(keys)
-    return linking.resolve_identity(d.withColumnRenamed("doc_id", "ref").withColumns(keys), registry).select("ref", "paper_id")
-
-
 @_add("j14_missing_ids", "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS paper_id FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)", cte=False)
 def _(spark, sf):
     return linking.missing_ids(table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("paper_id")), table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("paper_id")))

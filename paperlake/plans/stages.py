@@ -5,24 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["settle"]
+__all__ = ["scratch", "settle"]
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the session's shared folder and read back.
-
-    The folder is that of ``spark.checkpoint.dir``; only a local session without one gets a temporary folder.
-    A plain checkpoint would compute the rows twice and give the planner no sizes.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/paperlake-{uuid.uuid4().hex}/stage"
+    return f"{base.rstrip('/')}/paperlake-{uuid.uuid4().hex}/{name}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the session's shared folder and read back.
+
+    A plain checkpoint would compute the rows twice and give the planner no sizes.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

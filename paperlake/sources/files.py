@@ -41,9 +41,11 @@ def glob_to_regex(pattern: str) -> str:
 
 
 def filter_ignored(files: DataFrame, root: str, patterns: Sequence[str] = ()) -> DataFrame:
-    """Files below ``root`` that no pattern ignores; the last pattern that matches wins, ``!`` takes back."""
-    clean = root.rstrip("/") + "/"
-    relative = F.when(F.col("path").startswith(clean), F.substring("path", len(clean) + 1, 1 << 20))
+    """Files below ``root`` that no pattern ignores; the last pattern that matches wins, ``!`` takes back. Schemes and hosts of paths don't count."""
+    scheme = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
+    clean = re.sub(scheme, "", root).rstrip("/") + "/"
+    plain = F.regexp_replace("path", scheme, "")
+    relative = F.when(plain.startswith(clean), F.substring(plain, len(clean) + 1, 1 << 20))
     ignored: Column = F.lit(False)
     for p in (*DEFAULT_IGNORE, *(x.strip() for x in patterns if x.strip() and not x.startswith("#"))):
         ignored = F.when(relative.rlike(glob_to_regex(p.removeprefix("!"))), F.lit(not p.startswith("!"))).otherwise(ignored)

@@ -36,7 +36,7 @@ def upsert_registry(registry: DataFrame, new: DataFrame, now: Column | None = No
     fields = ("paper_id", "content_hash", "source_ref", "zotero_key", "doi")
     n = new.select("workspace_id", "source_path", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_new"))
     out = registry.join(n, ["workspace_id", "source_path"], "full_outer")
-    merged = out.withColumns({c: F.coalesce(non_empty(F.col(f"_{c}")), F.col(c)) for c in fields})
+    merged = out.withColumns({c: F.coalesce(non_empty(F.col(f"_{c}")), F.col(c), F.col(f"_{c}")) for c in fields})
     stamped = merged.withColumns({"assigned_at": F.coalesce("assigned_at", now), "updated_at": F.when(F.col("_new"), now).otherwise(F.col("updated_at"))})
     return stamped.select("workspace_id", "source_path", *fields, "assigned_at", "updated_at")
 
