@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,7 +42,7 @@ _ARROW = pa.schema([("record_type", pa.string()), ("record_id", pa.int64()), ("t
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _MEMBER = b"\x1f\x8b\x08"
-_FILE_BYTES, _SPLIT_BYTES, _BATCH_BYTES, _CHUNK = 128 << 20, 32 << 20, 8 << 20, 1 << 20
+_FILE_BYTES, _SPLIT_BYTES, _BATCH_BYTES, _CHUNK, _HEAD = 128 << 20, 32 << 20, 8 << 20, 1 << 20, 1 << 10
 _INDEX = "_records.json"
 
 
@@ -78,6 +79,14 @@ def record_bytes(row: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def member_bytes(record: bytes) -> bytes:
+    """A record as a gzip member whose extra field ``sl`` tells the lengths to skip, packed and unpacked."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = packer.compress(record) + packer.flush()
+    size = 24 + len(body) + 8
+    return struct.pack("<4sIBBH2sHII", b"\x1f\x8b\x08\x04", 0, 0, 255, 12, b"sl", 8, size, len(record) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
@@ -103,8 +112,7 @@ class _Writer(DataSourceArrowWriter):
                             out.close()
                         files.append(f"{uuid.uuid4().hex}.warc.gz")
                         out, size = store.open_output_stream(f"{base}/{files[-1]}", compression=None), 0
-                    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    data = packer.compress(record_bytes(part)) + packer.flush()
+                    data = member_bytes(record_bytes(part))
                     out.write(data)
                     size += len(data)
         finally:
@@ -153,6 +161,25 @@ class _Input:
         self.held = self.held[n:]
         self.at += n
 
+    def go(self, at: int) -> None:
+        """Forward to an offset, without reading what lies between."""
+        if at - self.at <= len(self.held):
+            self.drop(at - self.at)
+        else:
+            self.__init__(self.file, at)
+
+    def unpack(self, unpacker, limit: int = 0) -> bytes:
+        """The next bytes of a member, ``limit`` at most."""
+        if not self.held:
+            self.more()
+        used = self.held
+        piece = unpacker.decompress(used, limit)
+        self.held = unpacker.unused_data if unpacker.eof else unpacker.unconsumed_tail
+        self.at += len(used) - len(self.held)
+        if not used and not piece and not unpacker.eof:
+            raise WarcError("a member is cut off")
+        return piece
+
 
 def _headers(raw: bytes) -> dict[str, str]:
     lines = raw.decode("utf-8", "replace").split("\r\n")
@@ -185,8 +212,29 @@ def _find_member(src: _Input) -> bool:
         src.drop(1)
 
 
+def _told_length(src: _Input) -> int:
+    """Length of the member that begins here by its extra field, 0 if it has none."""
+    while len(src.held) < 12 and src.more():
+        pass
+    if len(src.held) < 12 or not src.held[3] & 4:
+        return 0
+    size = 12 + int.from_bytes(src.held[10:12], "little")
+    while len(src.held) < size and src.more():
+        pass
+    extra = src.held[12:size]
+    while len(extra) >= 4:
+        n = int.from_bytes(extra[2:4], "little")
+        if extra[:2] == b"sl" and n >= 4:
+            return int.from_bytes(extra[4:8], "little")
+        extra = extra[4 + n :]
+    return 0
+
+
 def records(file: pa.NativeFile, start: int, end: int, packed: bool, wanted=lambda h: True, payload: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, block) of the records that begin in a range and whose headers are wanted; no block where none is asked for."""
+    """(headers, block) of the records that begin in a range and whose headers are wanted; no block where none is asked for.
+
+    Headers are unpacked first; a member that isn't wanted is skipped by the length it tells, unread, or else unpacked to its end.
+    """
     src = _Input(file, start)
     if packed and start and not _find_member(src):
         return
@@ -194,25 +242,21 @@ def records(file: pa.NativeFile, start: int, end: int, packed: bool, wanted=lamb
         if not src.held and not src.more():
             return
         if packed:
-            unpack, raw, kept, take, head = zlib.decompressobj(31), b"", [], False, None
-            while not unpack.eof:
-                if not src.held and not src.more():
-                    raise WarcError("a member is cut off")
-                used = src.held
-                piece = unpack.decompress(used)
-                left = unpack.unused_data if unpack.eof else b""
-                src.at += len(used) - len(left)
-                src.held = left
-                if head is None:
-                    raw += piece
-                    if (k := raw.find(b"\r\n\r\n")) < 0:
-                        continue
-                    head, piece, raw = _headers(raw[:k]), raw[k + 4 :], b""
-                    take = wanted(head) and payload
-                if take:
-                    kept.append(piece)
-            if head is None:
-                raise WarcError("a record has no end of headers")
+            start, told = src.at, _told_length(src)
+            unpacker, raw = zlib.decompressobj(31), b""
+            while (k := raw.find(b"\r\n\r\n")) < 0:
+                if unpacker.eof:
+                    raise WarcError("a record has no end of headers")
+                raw += src.unpack(unpacker, _HEAD)
+            head, kept = _headers(raw[:k]), [raw[k + 4 :]]
+            take = wanted(head) and payload
+            if not take and told:
+                src.go(start + told)
+            else:
+                while not unpacker.eof:
+                    piece = src.unpack(unpacker)
+                    if take:
+                        kept.append(piece)
             block = b"".join(kept) if take else None
         else:
             while (k := src.held.find(b"\r\n\r\n")) < 0:
@@ -231,7 +275,7 @@ def records(file: pa.NativeFile, start: int, end: int, packed: bool, wanted=lamb
                 src.drop(min(size + 4, len(src.held)))
             else:
                 block = None
-                src.__init__(file, src.at + size + 4)
+                src.go(src.at + size + 4)
         if not wanted(head):
             continue
         if block is not None:

@@ -1,10 +1,12 @@
 """Chat, WARC, HTML and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import html
 import random
 import re
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from paperlake.llm.chat import op2_chat
 from paperlake.llm.html import main_text, op6_html
 from paperlake.llm.scratch import scratch_path
-from paperlake.llm.warc import WarcError, op3_warc, read_warc, record_bytes, records, write_warc
+from paperlake.llm.warc import WarcError, member_bytes, op3_warc, read_warc, record_bytes, records, write_warc
 
 
 def rendered(turns):
@@ -117,6 +119,27 @@ def test_warc_splits_filters_and_damage(spark, tmp_path):
         list(records(f, 0, cut.stat().st_size, False))
 
 
+def test_warc_skips_what_is_not_wanted(tmp_path):
+    rows = [{"record_type": "response", "record_id": i, "target_uri": "u", "payload": random.Random(i).randbytes(20_000), "refers_to": None} for i in range(40)]
+    for r in rows:
+        r["payload_bytes"], r["payload_digest"] = len(r["payload"]), base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode()
+    members = [member_bytes(record_bytes(r)) for r in rows]
+    assert [gzip.decompress(m) for m in members] == [record_bytes(r) for r in rows]
+    broken = [m if i % 4 == 0 else m[:-9_000] + b"\xff" * 9_000 for i, m in enumerate(members)]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(broken))
+    wanted = lambda h: h["warc-record-id"].strip("<>").rpartition(":")[2] in {str(i) for i in range(0, 40, 4)}
+    with pa.OSFile(str(path)) as f:
+        got = [h["warc-record-id"] for h, b in records(f, 0, path.stat().st_size, True, wanted) if rows[int(h["warc-record-id"].strip("<>").rpartition(":")[2])]["payload"] in b]
+        heads = list(records(f, 0, path.stat().st_size, True, payload=False))
+        with pytest.raises((WarcError, zlib.error)):
+            list(records(f, 0, path.stat().st_size, True))
+    assert len(got) == 10 and len(heads) == 40
+    path.write_bytes(b"".join(gzip.compress(record_bytes(r)) for r in rows))  # lengths that no member tells
+    with pa.OSFile(str(path)) as f:
+        assert len(list(records(f, 0, path.stat().st_size, True, wanted))) == 10 and len(list(records(f, 0, path.stat().st_size, True, payload=False))) == 40
+
+
 ARTICLE = "<p>It was the best of times, it was the worst of times, and it was the age of all of us in the town.</p>"
 
 
