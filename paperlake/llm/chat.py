@@ -1,8 +1,9 @@
 """Chat formatting: preference pairs from conversations that begin alike.
 
 ``pair_conversations`` pairs conversations with one first turn: within blocks of 256 ids first, and the
-one that a block may leave over with those that other blocks leave over. So a first turn that a third of
-all conversations share is dealt over many windows, and only its leftovers, one for each block, meet in one.
+one that a block may leave over with those that other blocks leave over, by their place in the order of all
+leftovers. So a first turn that a third of all conversations share is dealt over many windows, and its leftovers
+over ranges; no task sees all of either.
 The smaller id is the chosen one. A conversation that finds no partner is a pair without a rejected one.
 
 ``format_preferences`` lays the turns of both sides next to each other, takes the longest common prefix of
@@ -19,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mixing import running_sum
+from .scratch import materialise
+
 __all__ = ["format_preferences", "op2_chat", "pair_conversations"]
 
 BLOCK = 256
@@ -30,17 +34,16 @@ def pair_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     heads = turns.groupBy("conv_id").agg(F.min(opening).alias("o")).select("conv_id", F.xxhash64("o.col2.role", "o.col2.text").alias("key"))
     heads = heads.withColumn("block", F.expr(f"conv_id div {block}"))
 
-    def paired(df: DataFrame, *within: str) -> DataFrame:
-        w = Window.partitionBy(*within).orderBy("conv_id")
-        place = F.row_number().over(w) - 1
-        last = F.lead("conv_id", 1).over(w).isNull() & (F.col("_p") % 2 == 0)
-        return df.withColumn("_p", place).withColumn("_left", last).withColumn("_before", F.lag("conv_id").over(w))
-
-    near = paired(heads, "key", "block")
-    far = paired(near.filter("_left").select("conv_id", "key", "block"), "key")
-    whole = near.filter("not _left").union(far)
+    w = Window.partitionBy("key", "block").orderBy("conv_id")
+    place, last = F.row_number().over(w) - 1, F.lead("key", 1).over(w).isNull()
+    near = materialise(heads.withColumns({"_p": place, "_left": last & (place % 2 == 0), "_before": F.lag("conv_id").over(w)}), "heads")
     side = F.col("_p") % 2
-    return whole.select(F.when(side == 1, F.col("_before")).otherwise(F.col("conv_id")).alias("pair_id"), "conv_id", side.alias("side"))
+    whole = near.filter("not _left").select(F.when(side == 1, F.col("_before")).otherwise(F.col("conv_id")).alias("pair_id"), "conv_id", side.alias("side"))
+    rest = running_sum(near.filter("_left").select("conv_id", "key", F.lit(1).alias("_one")), ["key", "conv_id"], "_one", "_at")
+    first = rest.groupBy("key").agg(F.min("_at").alias("_first"))
+    placed = rest.join(first, "key").withColumn("_p", F.col("_at") - F.col("_first"))
+    couples = placed.groupBy("key", F.expr("_p div 2").alias("_c")).agg(F.min_by("conv_id", "_p").alias("pair_id"), F.max_by("conv_id", "_p").alias("_other"), F.count("*").alias("_n"))
+    return whole.union(couples.select("pair_id", F.col("pair_id").alias("conv_id"), F.lit(0))).union(couples.filter("_n = 2").select("pair_id", "_other", F.lit(1)))
 
 
 def _body(turn: Column) -> Column:

@@ -311,6 +311,27 @@ def test_ogg_checks_itself():
         assert probe_payload(media[:-1])["error"]
 
 
+def test_document_operators_take_empty_tables(odd):
+    none = odd.limit(0)
+    assert op1_sentencepiece(none).count() == op4_mixing(none).count() == op8_secrets(none).count() == op9_jaccard(none).count() == op10_media(none).count() == 0
+
+
+def test_very_long_texts(spark, labels):
+    """Texts beyond what is read at once (4 MB), with what counts at their ends."""
+    body = "plain words of a long text " * 200_000
+    rows = [(1, body + 'password = "Abcdefgh1234"'), (2, "one two three " + body), (3, body + "é" * 50), (4, "one two three " + body)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    found = {r.doc_id: r for r in op8_secrets(frame).collect()}
+    assert found[1].spans == f"assign:{len(body)}:{len(body) + 24}" and found[2].spans == found[3].spans == ""
+    counts = {r.doc_id: (r.n_words, r.word_chars) for r in op5_quality(frame, labels).collect()}
+    assert counts == {i: (len(t.split(" ")) - (t[-1] == " "), len(t.replace(" ", ""))) for i, t in rows}
+    assert {r.doc_id: r.score for r in op7_toxicity(frame, labels).collect()}.keys() == {1, 2, 3, 4}
+    # sets of few shingles, as the words repeat
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op9_jaccard(frame).collect()} == components_of(dict(rows))
+    media = {r.doc_id: (r.n_bytes, r.error) for r in op10_media(frame).collect()}
+    assert media == {i: (len(t.encode()), None) for i, t in rows}
+
+
 def test_media_rows(odd):
     got = op10_media(odd).collect()
     assert len(got) == len(odd_rows()) and all(r.error is None for r in got)
