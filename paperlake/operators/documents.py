@@ -143,23 +143,21 @@ def split_references(sections: DataFrame) -> DataFrame:
     If that gives one entry of a text of over 80 characters, lines that begin with ``[n]`` part it.
     """
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    lines = F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), strip), lambda x: x != "")
-    head = F.coalesce(F.get(lines, F.lit(0)).rlike(r"(?i)^(?:references|bibliography)\s*$"), F.lit(False))
-    body = F.when(head, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
-    rows = sections.select("doc", "text", body.alias("_b"))
-    # places where an entry begins, and the next one's, all within the row
-    places = F.filter(F.transform("_b", lambda line, i: F.when(line.rlike(_MARK) | (i == 0), i)), lambda i: i.isNotNull())
-    rows = rows.filter(F.size("_b") > 0).withColumn("_at", places)
-    piece = lambda line, i: F.when(line.rlike(_MARK) | (i == 0), strip(F.regexp_replace(line, _MARK, ""))).otherwise(line)
-    cut = lambda at, k: F.slice(F.transform("_b", piece), at + 1, F.coalesce(F.get("_at", k + 1), F.size("_b")) - at)
-    rows = rows.withColumn("_e", F.transform("_at", lambda at, k: F.array_join(cut(at, k), " ")))
-    entries = rows.select("doc", F.posexplode("_e").alias("e", "raw"))
-    many = rows.select("doc", F.size("_e").alias("_n"))
-    parts = F.filter(F.transform(F.split("text", r"\n\s*(?=\[\d+\])"), strip), lambda x: x != "")
-    retry = sections.join(many, "doc").filter((F.col("_n") <= 1) & (F.length("text") > 80) & (F.size(F.split("text", r"\n\s*(?=\[\d+\])")) > 1)).select("doc", F.posexplode(parts).alias("e", "raw"))
-    empty = sections.filter((strip(F.col("text")) != "") & (F.size(body) == 0)).select("doc", F.lit(0).alias("e"), strip(F.col("text")).alias("raw"))
-    out = entries.join(retry.select("doc").distinct(), "doc", "left_anti").unionByName(retry).unionByName(empty)
-    return out.filter(F.trim("raw") != "").select("doc", (F.col("e") + 1).cast("int").alias("ref_no"), "raw")
+    body = F.regexp_replace("text", r"(?iU)^\s*(?:references|bibliography)[^\S\r\n]*(?:\r\n|\r|\n|$)", "")
+    lines = F.filter(F.transform(F.split(body, r"\r\n|\r|\n"), strip), lambda x: x != "")
+
+    def grow(entries: Column, line: Column) -> Column:
+        """A marked line, like the first, begins an entry; others go on with the last."""
+        new = F.concat(entries, F.array(strip(F.regexp_replace(line, _MARK, ""))))
+        last = F.concat_ws(" ", F.element_at(entries, -1), line)
+        return F.when((F.size(entries) == 0) | line.rlike(_MARK), new).otherwise(F.concat(F.slice(entries, 1, F.size(entries) - 1), F.array(last)))
+
+    found = sections.select("doc", "text", F.aggregate(lines, F.array().cast("array<string>"), grow).alias("_e"))
+    parts = F.split("text", r"\n\s*(?=\[\d+\])")
+    again = (F.size("_e") == 1) & (F.length("text") > 80) & (F.size(parts) > 1)
+    whole = F.when(again, F.transform(parts, strip)).when(F.size("_e") == 0, F.array(strip(F.col("text")))).otherwise(F.col("_e"))
+    out = found.select("doc", F.posexplode(F.filter(whole, lambda x: x != "")).alias("e", "raw"))
+    return out.select("doc", (F.col("e") + 1).cast("int").alias("ref_no"), "raw")
 
 
 def parse_references(entries: DataFrame) -> DataFrame:

@@ -527,7 +527,7 @@ def _(spark, sf):
     return documents.split_references(_reference_sections(spark, sf))
 
 
-@_add("d9_parse_references", _LINES + """ SELECT doc, CAST(n AS INTEGER) + CASE WHEN lone THEN 1 ELSE 0 END AS ref_no, '10.1000/' || l_partkey AS doi, '' AS arxiv_id, y AS year, CASE WHEN lone THEN '' ELSE 'Smith J.' END AS authors, CASE WHEN lone THEN '[1] Smith J., Doe A. ' ELSE 'Doe A. ' END || s_name || ' of part ' || l_partkey AS title FROM e
+@_add("d9_parse_references", _LINES + """ SELECT doc, CAST(n AS INTEGER) + CASE WHEN lone THEN 1 ELSE 0 END AS ref_no, '10.1000/' || l_partkey AS doi, '' AS arxiv_id, y AS year, CASE WHEN lone THEN '' ELSE 'Smith J.' END AS authors, CASE WHEN lone THEN '[1] Smith J., Doe A. ' ELSE 'Doe A. ' END || s_name || ' of part' || CASE WHEN l_partkey = y THEN '' ELSE ' ' || l_partkey END AS title FROM e
 UNION ALL SELECT doc, 1, '', '', NULL, '', 'References' FROM e WHERE lone""", cte=False)
 def _(spark, sf):
     return documents.parse_references(documents.split_references(_reference_sections(spark, sf))).select("doc", "ref_no", "doi", "arxiv_id", "year", F.array_join("authors", "; ").alias("authors"), "title")

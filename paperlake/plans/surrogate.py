@@ -1,9 +1,10 @@
 """A paper corpus made of the star schema's tables, so that every operator runs on the given data, all of it.
 
-Papers are orders, their task is the customer. Methods, datasets and metrics are the parts, suppliers and
-types of parts of an order's lines; an order cites the two orders that its customer placed before it. Documents
-are dealt to papers as limitations, benchmark items as contributions, pages as claims (by their address), all
-whole. Each table grows with the scale and none of these lists does, so pairs grow in proportion.
+Papers are orders, their task is the customer. Methods, datasets and metrics are the parts (with their place
+in the order), suppliers and types of parts of an order's lines; an order cites the two orders that its customer
+placed before it. Documents are dealt to papers as limitations, benchmark items as contributions, pages as
+claims (by their address), all whole. The tables grow with the scale and the lists of one paper don't, so pairs
+grow in proportion.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ CTE = """
 WITH paper AS (SELECT 'p' || o_orderkey AS paper_id, 'Order ' || o_orderkey || ' ' || o_orderpriority AS title, year(o_orderdate) AS year, o_custkey, o_orderkey, o_orderdate FROM orders),
 size AS (SELECT count(*) AS n FROM orders),
 task AS (SELECT paper_id, c_name AS name FROM paper JOIN customer ON c_custkey = o_custkey),
-ln AS (SELECT 'p' || l_orderkey AS paper_id, p_brand || ' ' || p_name || ' ' || p_partkey AS method, s_name, p_type FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+ln AS (SELECT 'p' || l_orderkey AS paper_id, p_brand || ' ' || p_name || ' ' || p_partkey || '.' || l_linenumber AS method, s_name, p_type FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
 uses AS (SELECT DISTINCT paper_id, method AS name FROM ln), data AS (SELECT DISTINCT paper_id, s_name AS name FROM ln), metric AS (SELECT DISTINCT paper_id, p_type AS name FROM ln),
 lim AS (SELECT 'p' || (doc_id % n) AS paper_id, text, source AS evidence_text, doc_id // n + 1 AS page, lang AS section, doc_id AS ord FROM documents, size),
 contrib AS (SELECT 'p' || (item_id % n) AS paper_id, text, item_id AS ord FROM benchmark, size),
@@ -47,7 +48,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = orders.count()
     lines = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     names = lambda c: F.array_sort(F.collect_set(c))
-    method = F.concat_ws(" ", "p_brand", "p_name", F.col("p_partkey").cast("string"))
+    method = F.concat_ws(" ", "p_brand", "p_name", F.concat_ws(".", F.col("p_partkey").cast("string"), F.col("l_linenumber").cast("string")))
     parts = lines.groupBy(_key("l_orderkey").alias("paper_id")).agg(names(method).alias("methods"), names("s_name").alias("datasets"), names("p_type").alias("metrics"))
 
     def items(df: DataFrame, key: str, text: Column, evidence: Column, section: Column, name: str) -> DataFrame:
