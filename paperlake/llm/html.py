@@ -47,11 +47,12 @@ _STRONG = frozenset(
 _WEAK = frozenset("promo promotion rail header overlay subscription reply share sharing social related recommended recommendations widget widgets toolbar".split())
 #: Words that may stand beside those in a compound name.
 _BESIDE = frozenset(
-    "area aside bar block body bottom box button buttons center col column container content desktop fixed form global group holder icons inner item items label left link links list main message mobile module outer page panel "
-    "popular post posts articles stories primary right row secondary section site slot space sticky text thread title top unit web wrap wrapper wide".split()
+    "area aside bar block body bottom box button buttons center col column container content count danger desktop error fixed form global group holder icons info inner item items label left link links list main message mobile module number outer page panel "
+    "popular post posts articles stories primary right row secondary section site slot space sticky success text thread title toggle top unit warning web wrap wrapper wide".split()
 )
-#: What these words head belongs to the article.
-_OWN = frozenset("article chapter entry page post section story content main".split())
+#: What these words head belongs to the article, and words that tell of something else in an element.
+_OWN = frozenset("article chapter entry post section story content".split())
+_ABOUT = frozenset("has with no without show hide open closed".split())
 _IN_MAIN = frozenset({"header"})
 _COMMENT = frozenset("comment comments respond reply replies disqus".split())
 _CLOSES_P = _BLOCK - {"body", "html", "head", "option", "optgroup", "button", "select", "label"}
@@ -93,10 +94,11 @@ def _named(name: str, group: int) -> int:
     """2 if a class name or id is one of boilerplate, 1 if weakly so, else 0.
 
     A compound counts if all its words are known, one at least as boilerplate; or, strongly, if its last word
-    is one, whatever comes before. ``article-header`` and its like are the article's own.
+    is one, whatever comes before. ``article-header`` and its like are the article's own, and ``has-sidebar`` is
+    about another element.
     """
-    words = [w.lower() for w in _TOKEN.findall(name)]
-    if not words or words[-1] in _WEAK and words[0] in _OWN and len(words) > 1:
+    words = [w.lower() for w in _TOKEN.findall(name) if len(w) > 1]
+    if not words or not _ABOUT.isdisjoint(words) or words[-1] in _WEAK and words[0] in _OWN and len(words) > 1:
         return 0
     strong, weak = (any(w in k and not (group and w in _IN_MAIN) for w in words) for k in (_STRONG, _WEAK))
     if not strong and not weak:
@@ -104,7 +106,7 @@ def _named(name: str, group: int) -> int:
     if words[-1] in _STRONG:
         return 2
     known = all(w in _STRONG or w in _WEAK or w in _BESIDE or w in _OWN for w in words)
-    return (2 if strong else 1) if known and not words[0] == "has" else 0
+    return (2 if strong else 1) if known else 0
 
 
 def _attributes(name: str, raw: str, group: int) -> int:
@@ -120,8 +122,8 @@ def _attributes(name: str, raw: str, group: int) -> int:
             for x in value.split():
                 if name != "article":
                     told = max(told, _named(x, group))
-                elif _COMMENT.intersection(w.lower() for w in _TOKEN.findall(x)):
-                    told = 2
+                elif not _COMMENT.isdisjoint(w.lower() for w in _TOKEN.findall(x)):
+                    told = max(told, _named(x, group))
     return told
 
 

@@ -159,6 +159,8 @@ JAPANESE = "昔々ある所に大きな町があり、人々は毎日市場に
         (f"<article><h1>T</h1><div class='social-science'>{ARTICLE}</div><div class='social'><a href=x>Share</a> this</div><div class=post-comments>{ARTICLE}</div></article>", "T " + ARTICLE[3:-4]),
         (f"<article><div class='article-header'><h1>Head</h1></div>{ARTICLE}<div class='share-buttons'>tell all</div></article>", "Head " + ARTICLE[3:-4]),
         (f"<div class=story><div class=article-header><h1>Head</h1></div>{ARTICLE}<div class=related-articles><p>More of it</p></div><div class='site-footer'>{ARTICLE}</div></div>", "Head " + ARTICLE[3:-4]),
+        (f"<div class='layout-with-sidebar'><div class='main-header'>Site of ours</div><article class='post has-comments'><h1>T</h1>{ARTICLE}</article><article class='comment'>{ARTICLE}</article><div class=ad300x250>{ARTICLE}</div></div>", "T " + ARTICLE[3:-4]),
+        (f"<table><tr><td class=leftNav>{ARTICLE}</td><td><p>{ARTICLE[3:-4] * 2}</p><div class=alert-info>{ARTICLE}</div></td></tr></table>", ARTICLE[3:-4] * 2),
         (f"<div class=siteFooter>{ARTICLE}</div><div class=widget>{ARTICLE * 3}</div><div class=col><p>{ARTICLE[3:-4] * 3}</p></div>", ARTICLE[3:-4] * 3),
         (f"<div class=nav><a href=x>家</a></div><div class=text><h1>題</h1><p>{JAPANESE}</p><p>短い文。</p><p>{JAPANESE}</p></div><div class=footer>会社概要</div>", f"題 {JAPANESE} 短い文。 {JAPANESE}"),
         (f"<article><p>{JAPANESE}</p><ul><li><a href=a>一</a> <a href=b>二</a></li></ul></article>", JAPANESE),
