@@ -13,7 +13,7 @@ from ..sources import files, records
 from ..streaming import incremental
 from .stages import settle
 
-__all__ = ["Indexed", "canonical_graph", "index_pipeline", "remove_paths"]
+__all__ = ["Indexed", "canonical_graph", "index_pipeline", "process_folder", "remove_paths"]
 
 _EMPTY = "workspace_id string, source_path string, paper_id string, content_hash string, source_ref string, zotero_key string, doi string, assigned_at timestamp, updated_at timestamp"
 
@@ -83,6 +83,16 @@ def remove_paths(done: Indexed, gone: DataFrame, workspace: str = "default") ->
     )
 
 
+def process_folder(spark: SparkSession, root: str, before: Indexed, extracted: DataFrame | None = None, **options) -> tuple[Indexed, DataFrame]:
+    """What an index run leaves after changes of the folder, and the changes (path, op): removals first, then, if any file is new or differs, a new build that keeps ids."""
+    now = settle(files.fingerprint_files(files.filter_ignored(files.scan_corpus(spark, root), root, options.get("ignore", ()))))
+    changes = settle(incremental.process_changes(now, before.snapshot))
+    left = remove_paths(before, changes.filter("op = 'deleted'").select("path"), options.get("workspace", "default"))
+    if changes.isEmpty():
+        return before, changes
+    return index_pipeline(spark, root, extracted, registry=settle(left.registry), **options), changes
+
+
 def index_pipeline(spark: SparkSession, root: str, extracted: DataFrame | None = None, registry: DataFrame | None = None, references: DataFrame | None = None, workspace: str = "default", ignore: tuple[str, ...] = ()) -> Indexed:
     """Scan, parse notes and bibliographies, link, and build the graph.
 

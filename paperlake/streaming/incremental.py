@@ -13,7 +13,7 @@ from ..operators.profiles import first_by, needs_extraction
 from ..sources.files import detect_changed, detect_removed
 
 __all__ = [
-    "assign_paper_ids", "coalesce_changes", "follow_files", "follow_library", "library_cursor", "library_delta_merge", "pending_extraction", "process_changes", "rebuild", "skip_ingested_versions", "upsert_registry",
+    "assign_paper_ids", "clear", "coalesce_changes", "follow_files", "follow_library", "library_cursor", "library_delta_merge", "library_table", "pending_extraction", "process_changes", "rebuild", "skip_ingested_versions", "upsert_registry",
 ]
 
 
@@ -72,17 +72,17 @@ def process_changes(now: DataFrame, before: DataFrame) -> DataFrame:
     return detect_removed(now, before).select("path", F.lit("deleted").alias("op")).union(detect_changed(now, before).select("path", F.lit("changed").alias("op")))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def rebuild(df: DataFrame, path: str) -> None:
-    """Replace a derived table."""
+    """Replace a derived table; ``df`` must not read it."""
     df.write.mode("overwrite").parquet(path)
 
 
+def clear(spark: SparkSession, *paths: str) -> None:
+    """Empty derived tables, their schemas stay."""
+    for path in paths:
+        spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
 def follow_files(spark: SparkSession, root: str, checkpoint: str, handle: Callable[[DataFrame, int], None], suffix: str = "*.md") -> StreamingQuery:
     """Hand each micro-batch of new files (path, sha256, size, modified_at, content) to ``handle``, once a file.
 
@@ -94,15 +94,18 @@ def follow_files(spark: SparkSession, root: str, checkpoint: str, handle: Callab
 
 
 def follow_library(feed: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Merge a stream of library rows into the table at ``table``, newest version first; versions of the table are folders.
+    """Keep the rows of a stream of library entries in ``table``, a folder ``v=<batch>`` a micro-batch; ``library_table`` reads their newest versions.
 
-    A batch writes ``v=<batch>`` and the next reads the latest before it, so a batch that runs twice writes the same.
+    A batch writes its own rows alone, so its cost is its size, and one that runs twice writes the same.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = next((f"{table}/v={k}" for k in range(number - 1, -1, -1) if _exists(spark, f"{table}/v={k}/_SUCCESS")), None)
-        stored = spark.read.parquet(old) if old else batch.limit(0)
-        library_delta_merge(stored, batch).write.mode("overwrite").parquet(f"{table}/v={number}")
+    def keep(batch: DataFrame, number: int) -> None:
+        library_delta_merge(batch.limit(0), batch).write.mode("overwrite").parquet(f"{table}/v={number}")
+
+    return feed.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def library_table(spark: SparkSession, table: str) -> DataFrame:
+    """The entries that ``follow_library`` has kept, each at its newest version."""
+    rows = spark.read.option("basePath", table).parquet(table).drop("v")
+    return library_delta_merge(rows.limit(0), rows)

@@ -101,21 +101,36 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame([("x", f"v{version}", "", "", version)], schema).write.mode("append").json(str(tmp_path / "feed"))
         feed = spark.readStream.schema(schema).json(str(tmp_path / "feed"))
         incremental.follow_library(feed, str(tmp_path / "lib"), str(tmp_path / "ck2")).awaitTermination(120)
-        assert [(r.title, r.zotero_version) for r in spark.read.parquet(str(tmp_path / f"lib/v={k}")).collect()] == [(f"v{version}", version)]
+        assert [(r.title, r.zotero_version) for r in incremental.library_table(spark, str(tmp_path / "lib")).collect()] == [(f"v{version}", version)]
+        assert spark.read.parquet(str(tmp_path / f"lib/v={k}")).count() == 1
+    incremental.clear(spark, str(tmp_path / "lib/v=0"))
+    assert spark.read.parquet(str(tmp_path / "lib/v=0")).count() == 0
 
 
 def test_index_a_folder(spark, tmp_path):
     from paperlake.plans.facade import Library
-    from paperlake.plans.index import index_pipeline
+    from paperlake.plans.index import index_pipeline, process_folder
 
     (tmp_path / "alpha.md").write_text("# Alpha paper\ntext\n## Method\nx")
-    (tmp_path / "alpha.bib").write_text("@article{alpha_key, title={Alpha paper}, author={Doe, J. and Roe, M.}, journal={J}, year=2020, citations={beta_key}}\n@article{beta_key, title={Beta paper}, author={Poe, E.}, year=2018}")
+    bib = "@article{alpha_key, title={Alpha paper}, author={Doe, J. and Roe, M.}, journal={J}, year=2020, citations={beta_key}}\n@article{beta_key, title={Beta paper}, author={Poe, E.}, year=2018}"
+    (tmp_path / "alpha.bib").write_text(bib)
     done = index_pipeline(spark, f"file:{tmp_path}")
     got = {r.title: (r.year, r.metadata_only) for r in done.nodes.filter("type = 'Paper'").collect()}
-    assert got == {"Alpha paper": (-1, False), "Beta paper": (2018, True)}
+    assert got == {"Alpha paper": (2020, False), "Beta paper": (2018, True)}
     cites = [tuple(r) for r in done.edges.filter("type = 'CITES'").select("source", "target").collect()]
     alpha = done.registry.first().paper_id
     assert cites == [(alpha, "beta_key")]
     assert {r.name for r in done.nodes.filter("type = 'Author'").collect()} == {"Doe, J.", "Roe, M.", "Poe, E."}
+    assert done.stats.select("bib_linked", "bib_only", "cites_from_bib").first() == (1, 1, 1)
+    same, none = process_folder(spark, f"file:{tmp_path}", done)
+    assert none.count() == 0 and same is done
+    (tmp_path / "alpha.bib").unlink()
+    (tmp_path / "gamma.md").write_text("# Gamma paper\ntext")
+    after, changes = process_folder(spark, f"file:{tmp_path}", done)
+    assert sorted((r.path.rpartition("/")[2], r.op) for r in changes.collect()) == [("alpha.bib", "deleted"), ("gamma.md", "changed")]
+    assert {r.title: r.id for r in after.nodes.filter("type = 'Paper'").collect()}["Alpha paper"] == alpha and after.edges.filter("type = 'CITES'").count() == 0
+    assert after.nodes.filter("type = 'Paper'").count() == 2
+    (tmp_path / "gamma.md").unlink()
+    (tmp_path / "alpha.bib").write_text(bib)
     again = index_pipeline(spark, f"file:{tmp_path}", registry=done.registry)
     assert again.registry.first().paper_id == alpha and Library(again.nodes, again.edges).papers().count() == 2
