@@ -49,7 +49,7 @@ __all__ = ["jaccard_components", "op9_jaccard", "shingles"]
 _COUNTERS, _SLICES = 1 << 22, 64
 _FLUSH = 1 << 20
 _ALWAYS = 1_000_000  # ids that may be broadcast, 16 MB
-_RANGE = 1 << 22  # shingles posted in a range of hashes, 64 MB
+_RANGE = 1 << 21  # shingles posted in a range of hashes, 32 MB
 _LIST = 1 << 16  # classes of a list before it is cut
 _PAIRS = 1 << 16  # pairs of bitmaps compared at once
 _SMALL, _BLOCK = 1 << 16, 2_000_000  # elements of the sets of a block: 512 KB, 16 MB
