@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
@@ -13,7 +15,7 @@ from .catalog import add as _add
 from .catalog import line as _line
 from .catalog import paper_profiles as _profiles
 from .catalog import values as _values
-from .index import canonical_graph, index_pipeline, remove_paths
+from .index import canonical_graph, index_pipeline, process_folder, remove_paths
 from .queries import _EDGES, _headed
 from .stages import scratch, settle
 from .surrogate import citations, corpus_graph, records, table
@@ -623,7 +625,7 @@ _BUILD = """
 WITH r AS (SELECT o_orderkey AS i, 'p' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS paper_id, o_custkey, o_orderpriority FROM orders),
 l AS (SELECT DISTINCT r.i, r.paper_id, p_type AS t, CASE r.i % 3 WHEN 0 THEN p_type WHEN 1 THEN lower(p_type) ELSE substr(p_type, 1, 1) || lower(substr(p_type, 2)) || '.' END AS spelled FROM r JOIN lineitem ON l_orderkey = r.i JOIN part ON p_partkey = l_partkey),
 canon AS (SELECT t, arg_min(spelled, paper_id) AS name FROM l GROUP BY 1), uses AS (SELECT DISTINCT paper_id, name FROM l JOIN canon USING (t)),
-seg AS (SELECT r.paper_id, r.i, c_mktsegment AS t, CASE r.i % 2 WHEN 0 THEN c_mktsegment ELSE lower(c_mktsegment) END AS spelled FROM r JOIN customer ON c_custkey = o_custkey), segc AS (SELECT t, arg_min(spelled, paper_id) AS name FROM seg GROUP BY 1)"""
+seg AS (SELECT r.paper_id, r.i, substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 12) AS t, CASE r.i % 2 WHEN 0 THEN upper(substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 12)) ELSE substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 12) END AS spelled FROM r JOIN customer ON c_custkey = o_custkey), segc AS (SELECT t, arg_min(spelled, paper_id) AS name FROM seg GROUP BY 1)"""
 
 
 def _build(spark, sf):
@@ -634,7 +636,8 @@ def _build(spark, sf):
     small = F.lower("p_type")
     spelled = _pick(F.col("l_orderkey") % 3, F.col("p_type"), small, F.concat(F.substring("p_type", 1, 1), F.substring(small, 2, 40), F.lit(".")))
     methods = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(spelled).alias("methods"))
-    segment = F.when(i % 2 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    word = F.substring(F.sha2(_s("c_custkey"), 256), 1, 12)  # customers' names are too much alike to stay apart
+    segment = F.when(i % 2 == 0, F.upper(word)).otherwise(word)
     none = F.array().cast("array<string>")
     items = F.array().cast("array<struct<text:string,evidence_text:string,page:bigint,section:string>>")
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(methods, "o_orderkey", "left").select(
@@ -676,3 +679,26 @@ SELECT (SELECT n FROM n) + (SELECT count(*) FROM r WHERE i % 20 = 0) AS papers,
   (SELECT count(*) FROM (SELECT * FROM l JOIN canon USING (t) WHERE spelled = name)) + (SELECT count(*) FROM seg JOIN segc USING (t) WHERE spelled = name) AS entities_new""", cte=False)
 def _(spark, sf):
     return _build(spark, sf)[2].select("papers", "bib_only", "bib_linked", "cites_from_bib", "cites_from_references", "entities_resolved", "entities_new")
+
+
+@_add("i5_process_folder", """WITH f AS (SELECT DISTINCT c_nationkey AS g, 'md' AS kind FROM customer UNION ALL SELECT DISTINCT s_nationkey, 'bib' FROM supplier)
+SELECT g, kind, 'changed' AS op FROM f WHERE g % 5 = 0 OR g % 7 = 3 UNION ALL SELECT g, kind, 'deleted' FROM f WHERE g % 7 = 3""", cte=False)
+def _(spark, sf):
+    """Some files had other contents before, some another name."""
+    root = _folder(spark, sf)
+    done = index_pipeline(spark, root)
+    suffix = F.element_at(F.split("path", r"\."), -1)
+    old = done.snapshot.withColumns({"sha256": F.when(_GROUP % 5 == 0, "other").otherwise(F.col("sha256")), "path": F.when(_GROUP % 7 == 3, F.concat("path", F.lit(".old."), suffix)).otherwise(F.col("path"))})
+    _, changes = process_folder(spark, root, replace(done, snapshot=settle(old)))
+    return changes.select(_GROUP.alias("g"), suffix.alias("kind"), "op")
+
+
+@_add("i16_rebuild", "SELECT event_type, count(*) AS n FROM events GROUP BY 1", cte=False)
+def _(spark, sf):
+    """Built, cleared and built again from other rows."""
+    path, e = scratch(spark, "derived"), table(spark, sf, "events")
+    count = lambda df: df.groupBy("event_type").agg(F.count("*").alias("n"))
+    incremental.rebuild(count(e.filter("value > 1")), path)
+    incremental.clear(spark, path)
+    incremental.rebuild(count(e), path)
+    return spark.read.parquet(path)
