@@ -576,14 +576,15 @@ def _folder(spark, sf) -> str:
     return _written(_entries(spark, sf), root, "bib")
 
 
-_GROUP = F.regexp_extract("path", r"/g=(-?\d+)/", 1).cast("int")
+def _group() -> Column:
+    return F.regexp_extract("path", r"/g=(-?\d+)/", 1).cast("int")
 
 
 @_add("s1_scan_corpus", _FILE + " SELECT g, 'md' AS kind, sha256(content) AS sha256, strlen(content) AS size FROM f", cte=False)
 def _(spark, sf):
     """Notes alone; the bibliographies are scanned too and left out by their suffix, temporary files aren't scanned."""
     found = files.fingerprint_files(files.scan_corpus(spark, _folder(spark, sf)))
-    return found.select(_GROUP.alias("g"), F.element_at(F.split("path", r"\."), -1).alias("kind"), "sha256", "size").filter("kind = 'md'")
+    return found.select(_group().alias("g"), F.element_at(F.split("path", r"\."), -1).alias("kind"), "sha256", "size").filter("kind = 'md'")
 
 
 @_add("s2_filter_ignored", _FILE + " SELECT g FROM f WHERE g NOT IN (3, 4) AND NOT (g BETWEEN 10 AND 19) OR g = 12", cte=False)
@@ -592,7 +593,7 @@ def _(spark, sf):
     found = files.scan_corpus(spark, root).filter(F.col("path").endswith(".md"))
     base = F.regexp_extract("path", r"^(.*?)/g=", 1)
     where = found.select(base.alias("b")).first()["b"]
-    return files.filter_ignored(found, where, ["# a remark", "g=3/", "/g=4/**", "g=1?", "!g=12"]).select(_GROUP.alias("g"))
+    return files.filter_ignored(found, where, ["# a remark", "g=3/", "/g=4/**", "g=1?", "!g=12"]).select(_group().alias("g"))
 
 
 def _indexed(spark, sf):
@@ -612,7 +613,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Files of nations with an even key are gone, notes and bibliographies."""
     done = _indexed(spark, sf)
-    left = remove_paths(done, done.snapshot.filter(_GROUP % 2 == 0).select("path"))
+    left = remove_paths(done, done.snapshot.filter(_group() % 2 == 0).select("path"))
     notes = left.nodes.filter("type = 'Paper' and not metadata_only")
     out = None
     for name, rows in (("snapshot", left.snapshot), ("registry", left.registry), ("sections", left.sections), ("entries", left.entries), ("papers", notes)):
@@ -688,9 +689,9 @@ def _(spark, sf):
     root = _folder(spark, sf)
     done = index_pipeline(spark, root)
     suffix = F.element_at(F.split("path", r"\."), -1)
-    old = done.snapshot.withColumns({"sha256": F.when(_GROUP % 5 == 0, "other").otherwise(F.col("sha256")), "path": F.when(_GROUP % 7 == 3, F.concat("path", F.lit(".old."), suffix)).otherwise(F.col("path"))})
+    old = done.snapshot.withColumns({"sha256": F.when(_group() % 5 == 0, "other").otherwise(F.col("sha256")), "path": F.when(_group() % 7 == 3, F.concat("path", F.lit(".old."), suffix)).otherwise(F.col("path"))})
     _, changes = process_folder(spark, root, replace(done, snapshot=settle(old)))
-    return changes.select(_GROUP.alias("g"), suffix.alias("kind"), "op")
+    return changes.select(_group().alias("g"), suffix.alias("kind"), "op")
 
 
 @_add("i16_rebuild", "SELECT event_type, count(*) AS n FROM events GROUP BY 1", cte=False)
