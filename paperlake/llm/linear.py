@@ -74,13 +74,14 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
 
-    def calibrate(self, probability: np.ndarray, y: np.ndarray, odds: float) -> None:
+    def calibrate(self, probability: np.ndarray, y: np.ndarray, odds: float, prior: float = 1e-3) -> None:
         """Fit slope and offset to labels of rows that weren't trained on, by the probabilities that the bare weights give them.
 
-        Without rows of both labels the model's own margin stands. ``odds`` is the offset of the sample's odds.
+        ``prior`` holds them at the model's own margin, which stands where the rows haven't both labels, about
+        as so many rows would. ``odds`` is the offset of the sample's odds.
         """
         p = np.clip(probability, 1e-9, 1 - 1e-9)
-        self.slope, self.offset = platt(np.log(p / (1 - p)) + self.bias, y)
+        self.slope, self.offset = platt(np.log(p / (1 - p)) + self.bias, y, prior)
         self.offset -= odds
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -130,8 +131,8 @@ def train(sample: DataFrame, features: Callable[[pa.RecordBatch], list[Example]]
     return Model(dense[:-1], float(dense[-1]))
 
 
-def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a calibrated probability, by Newton steps on smoothed labels (Platt, 1999)."""
+def platt(margin: np.ndarray, y: np.ndarray, prior: float = 1e-3, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of a calibrated probability, by Newton steps on smoothed labels (Platt, 1999), held near 1 and 0 by ``prior``."""
     if len(y) == 0 or y.min() == y.max():
         return 1.0, 0.0
     up, down = float(y.sum()), float(len(y) - y.sum())
@@ -140,8 +141,8 @@ def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
     for _ in range(rounds):
         p = sigmoid(a * margin + b)
         d, w = p - t, np.maximum(p * (1 - p), 1e-12)
-        g = np.array([(d * margin).sum() + 1e-3 * (a - 1), d.sum()])
-        h = np.array([[(w * margin * margin).sum() + 1e-3, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1e-9]])
+        g = np.array([(d * margin).sum() + prior * (a - 1), d.sum() + (prior - 1e-3) * b])
+        h = np.array([[(w * margin * margin).sum() + prior, (w * margin).sum()], [(w * margin).sum(), w.sum() + (prior - 1e-3) + 1e-9]])
         step = np.linalg.solve(h, g)
         scale = min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
         a, b = a - scale * step[0], b - scale * step[1]

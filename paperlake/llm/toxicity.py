@@ -23,7 +23,7 @@ from .words import Words, mix, slices, span_hashes, words_of
 __all__ = ["BITS", "THRESHOLD", "fit_toxicity", "op7_toxicity", "score_toxicity"]
 
 BITS, THRESHOLD, STEM = 20, 0.3, 5
-MAX_ROWS = 20_000
+MAX_ROWS, PRIOR = 20_000, 30.0
 _PAIR, _SKIP, _STEM = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SHIFT = np.uint64(64 - BITS)
 _SETTINGS = {"bits": BITS, "alpha": 1.0, "beta": 1.0, "l1": 3.0, "l2": 1.0}
@@ -80,8 +80,8 @@ def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
 def fit_toxicity(docs: DataFrame, labels: DataFrame, where=None, max_rows: int = MAX_ROWS, epochs: int = 4) -> Model:
     """A model of ``labels.toxic`` from about ``max_rows`` labelled rows at most.
 
-    A fifth of them, by a hash of the id, is kept from training and calibrates the margin; if it hasn't
-    both labels, the margin stands as it is. With a single class or no rows, the score is about the share of
+    A fifth of them, by a hash of the id, is kept from training and calibrates the margin, the more the
+    more rows they are; if it hasn't both labels, the margin stands as it is. With a single class or no rows, the score is about the share of
     that class.
     """
     sample, odds = labelled_sample(docs, labels, "toxic", max_rows, where)
@@ -94,7 +94,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, where=None, max_rows: int =
     model = train(sample.filter(~held), _examples, _SETTINGS, epochs, 16_000, int(rows * 0.8))
     scored = score_toxicity(sample.filter(held), Model(model.weights), ("doc_id", "y")).select("y", "score").collect()
     sample.unpersist()
-    model.calibrate(np.array([r["score"] for r in scored], dtype=float), np.array([r["y"] for r in scored], dtype=float), odds)
+    model.calibrate(np.array([r["score"] for r in scored], dtype=float), np.array([r["y"] for r in scored], dtype=float), odds, PRIOR)
     return model
 
 
