@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import compare, documents, graph, linking, profiles, resolve, search, traverse
+from ..operators import compare, documents, graph, linking, profiles, search, traverse
 from ..sources import files, records as sources
 from ..streaming import incremental
 from .catalog import add as _add
