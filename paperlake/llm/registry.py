@@ -15,8 +15,12 @@ from .ogg import op10_media
 from .quality import op5_quality
 from .secrets import op8_secrets
 from .sentencepiece import op1_sentencepiece
+from .sharding import op13_sharding
 from .toxicity import op7_toxicity
+from .trie import ORACLE as _TRIE
+from .trie import op11_trie
 from .warc import op3_warc
+from .whitening import op12_whitening
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -46,9 +50,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": _documents(op8_secrets),
         "op9_jaccard": _documents(op9_jaccard),
         "op10_media": _documents(op10_media),
+        "op11_trie": lambda spark, sf_dir: op11_trie(_table(spark, sf_dir, "conversations")),
+        "op12_whitening": lambda spark, sf_dir: op12_whitening(_table(spark, sf_dir, "embeddings")),
+        "op13_sharding": _documents(op13_sharding),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins, where SQL can express the operator."""
-    return {"op2_chat": _CHAT}
+    return {"op2_chat": _CHAT, "op11_trie": _TRIE}
