@@ -22,10 +22,11 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import word_count
+from .scan import running
 from .scratch import materialise
 
 __all__ = ["ORACLE", "number_turns", "op11_trie", "prefix_trie", "rollup", "shared_openings"]
@@ -35,34 +36,11 @@ _IDS = 4096
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _scan(df: DataFrame, order: Sequence[str], running: dict[str, tuple[str, Column]]) -> DataFrame:
-    """``df`` with running aggregates within each conv_id in this order; ``running``: name to ("count" or "bit_xor", column).
-
-    Rows are dealt out by range of (conv_id, order). What goes before a conversation's rows in a range comes from the
-    ranges before: only the first and last conversation of a range can span ranges, two rows a range.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    valued = df.withColumns({f"_v_{k}": c for k, (_, c) in running.items()})
-    dealt = materialise(valued.repartitionByRange(parts, "conv_id", *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    within = Window.partitionBy("_range", "conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda f, c: F.expr(f"{'sum' if f == 'count' else f}(`{c}`)")
-    edges = dealt.groupBy("_range").agg(F.array_distinct(F.array(F.min("conv_id"), F.max("conv_id"))).alias("_ids")).select("_range", F.explode("_ids").alias("conv_id"))
-    # two rows for each range at most: the number of partitions bounds it
-    sums = dealt.join(F.broadcast(edges), ["_range", "conv_id"]).groupBy("_range", "conv_id").agg(*[total(f, f"_v_{k}").alias(f"_s_{k}") for k, (f, _) in running.items()])
-    carried = sums.select("_range", "conv_id", *[F.coalesce(total(f, f"_s_{k}").over(before), F.lit(0)).alias(f"_c_{k}") for k, (f, _) in running.items()])
-    out = dealt.join(F.broadcast(carried), ["_range", "conv_id"], "left")
-    for k, (f, _) in running.items():
-        own, carry = total(f, f"_v_{k}").over(within), F.coalesce(F.col(f"_c_{k}"), F.lit(0))
-        out = out.withColumn(k, own + carry if f == "count" else own.bitwiseXOR(carry))
-    return out.drop("_range", *[f"_{p}_{k}" for p in "vc" for k in running])
-
-
 def number_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, pos from 1, role, digest, words) for each turn; ``digest`` stands for the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     turns = conversations.filter("conv_id IS NOT NULL").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.md5(F.encode(text, "UTF-8")).alias("digest"), word_count(text).alias("words"))
-    return _scan(turns, ["turn", "role", "digest"], {"pos": ("count", F.lit(1).cast("long"))}).drop("turn")
+    return running(turns, "conv_id", ["turn", "role", "digest"], {"pos": ("sum", F.lit(1).cast("long"))}).drop("turn")
 
 
 def shared_openings(numbered: DataFrame, group: int = 20, most: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -132,7 +110,7 @@ def prefix_trie(turns: DataFrame, members: DataFrame, band: int = BAND) -> DataF
     """A row for each node of the trie of ``turns`` (conv_id, depth from 1, role, digest, words); ``members`` (conv_id, length) has all conversations, turnless ones too."""
     salted = lambda salt: F.xxhash64("depth", "role", "digest", F.lit(salt))
     hashed = turns.withColumns({"_h1": salted(1), "_h2": salted(2)})
-    keyed = _scan(hashed.select("conv_id", "depth", "words", "_h1", "_h2"), ["depth"], {"_k1": ("bit_xor", F.col("_h1")), "_k2": ("bit_xor", F.col("_h2"))})
+    keyed = running(hashed.select("conv_id", "depth", "words", "_h1", "_h2"), "conv_id", ["depth"], {"_k1": ("xor", F.col("_h1")), "_k2": ("xor", F.col("_h2"))})
     parent = F.struct(F.col("_k1").bitwiseXOR(F.col("_h1")).alias("a"), F.col("_k2").bitwiseXOR(F.col("_h2")).alias("b"))
     keyed = keyed.select("conv_id", "depth", F.struct(F.col("_k1").alias("a"), F.col("_k2").alias("b")).alias("key"), parent.alias("parent"), "words")
     root = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))

@@ -192,3 +192,60 @@ def test_sharding(spark):
     with pytest.raises(ValueError):
         number_rows(frame.select(F.col("doc_id").alias("_n")))
     assert shard_rows(frame.select("doc_id"), 3, 1).columns == ["doc_id", "row_number", "shard", "slot"]
+
+
+def pairs_of(rows):
+    """Deepest shared prefixes first, a turn at a time: what comes from the heavy child before the others, by id."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        digest = None if text is None else hashlib.md5(text.encode()).hexdigest()
+        own[c].append(((turn is not None, turn or 0), (role is not None, role or ""), (digest is not None, digest or ""), (role, text)))
+    own = {c: tuple(x[3] for x in sorted(v, key=lambda x: x[:3])) for c, v in own.items()}
+    members = Counter(t[:d] for t in own.values() for d in range(1, len(t) + 1))
+    least = {}
+    for c in sorted(own):
+        for d in range(1, len(own[c]) + 1):
+            least.setdefault(own[c][:d], c)
+    heavy = {}
+    for node in sorted((x for x in members if members[x] > 1 and len(x) > 1), key=lambda x: (members[x], -least[x])):
+        heavy[node[:-1]] = node
+    open_, found = set(own), {}
+    for d in range(max(map(len, own.values())), 0, -1):
+        at = defaultdict(list)
+        for c in open_:
+            if len(own[c]) >= d:
+                at[own[c][:d]].append(c)
+        for node, here in at.items():
+            here.sort(key=lambda c: (own[c][: d + 1] != heavy.get(node, ()), c))
+            for a, b in zip(here[::2], here[1::2]):
+                found[min(a, b)] = (max(a, b), d)
+                open_ -= {a, b}
+    return {**{c: (None, 0) for c in open_}, **found}
+
+
+def test_pairs_by_deepest_prefix(spark):
+    from paperlake.llm.chat import ORACLE as TWIN
+    from paperlake.llm.chat import op2_chat
+
+    seen = [(c, 0, "system", "be brief") for c in (1, 2, 3, 4)] + [(c, 1, "user", "q" if c in (1, 3) else f"q{c}") for c in (1, 2, 3, 4)] + [(c, 2, "assistant", f"r{c}") for c in (1, 2, 3, 4)]
+    got = {r.pair_id: (r.rejected_id, r.n_prompt_turns) for r in op2_chat(frame_of(spark, seen)).collect()}
+    assert got == {1: (3, 2), 2: (4, 1)}
+    clash = [(1, 0, None, "a"), (2, 0, "a", None), (3, 0, "a", ""), (4, 0, None, "a"), (5, 0, "", "a")]
+    got = {r.pair_id: r.rejected_id for r in op2_chat(frame_of(spark, clash)).collect()}
+    assert got == {1: 4, 2: None, 3: None, 5: None}
+
+    rnd, rows = random.Random(12), []
+    for c in range(90):
+        rows += [(c, t, "user", f"{'s' if t == 0 else ''}{rnd.randint(0, 1 + (t > 2))}") for t in range(rnd.randint(1, 7))]
+    rows += [(c, t, "user", f"long {t}") for c in range(100, 130) for t in range(c - 98)]  # each shares all turns of the one before
+    rows += [(c, t, "user", "hot") for c in range(200, 251) for t in range(2)] + [(None, 0, "user", "hot")]
+    expected = pairs_of([r for r in rows if r[0] is not None])
+    rows.pop()
+    got = {r.pair_id: (r.rejected_id, r.n_prompt_turns) for r in op2_chat(frame_of(spark, rows).repartition(5)).collect()}
+    assert got == expected
+    assert sum(p is None for p, _ in got.values()) <= 4
+    db = duckdb.connect()
+    db.register("conversations", pa.table({k: pa.array([r[i] for r in rows], pa.string() if i > 1 else pa.int64()) for i, k in enumerate(("conv_id", "turn", "role", "text"))}))
+    twin = {r[0]: (r[2], r[3]) for r in db.sql(TWIN).fetchall()}
+    assert twin == expected
+    assert op2_chat(frame_of(spark, [(None, 0, "user", "hot"), *rows[-4:]])).count() == 2
