@@ -1,14 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Blocks in menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments, as elements, roles or class names tell, are boilerplate.
+adverts, scripts, styles and comments, as elements, roles or class names tell, are boilerplate.
 A class name tells it as a whole or as a compound of known words (``site-footer``, ``nav-wrapper``), not by
-a word in it (``social-science``, ``article-header``); some names are weak, and a long block with few links
-outvotes them. The first pass labels the others by length, density of stop words and density of links; short
-blocks and those between the limits stay open. On a page in a language without stop words here, as its whole
-text tells, length and links alone decide. In the second pass an open block takes the label of its
-nearest decided neighbour. Inside an ``article`` or ``main`` element only neighbours there count that aren't
-boilerplate by their markup, and what stays open is text; outside, a tie is boilerplate.
+a word in it (``social-science``, ``article-header``). Weak names are outvoted by a long block with few links, and names that only end like
+boilerplate (``restaurant-menu``) by prose in all their blocks together. A form is boilerplate, but for one that holds most of the
+page's text, some of it prose. Reader comments are told by names, or by structure: like elements side by side, with marks like "Reply".
+
+The first pass labels the others by length, density of stop words and density of links; short
+blocks and those between the limits stay open, but short blocks of one parent that are prose together are text. On a page in a language
+without stop words here, as its whole text tells, length and links alone decide. In the second pass an open block takes the label of its
+nearest decided neighbour, of the same parent if there is one. Inside an ``article`` or ``main`` element only neighbours there count that aren't
+boilerplate by their markup, and what stays open is text; outside, a tie is boilerplate. If no block of a page is text after that,
+its open blocks with few links are, so that a page of short lines isn't empty.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by
 one space in page order. Null and empty pages have an empty text. Markup that isn't closed ends where
@@ -18,7 +22,7 @@ its parent ends; a tag that isn't closed is text. The work for a page is linear
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from html import unescape
 
 import pyarrow as pa
@@ -37,7 +41,7 @@ STOP = frozenset(
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section summary table tbody td tfoot th thead title tr ul head button select label".split())
 _VOID = frozenset("hr br img input meta link area base col embed source track wbr param".split())
 _RAW = frozenset("script style textarea noscript template iframe noframes xmp svg math object video audio canvas".split())
-_BAD = frozenset("nav aside footer form menu head title button select dialog fieldset search".split())
+_BAD = frozenset("nav aside footer menu head title button select dialog fieldset search".split())
 _ROLES = frozenset("navigation banner complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class names and ids that make boilerplate, and weak ones, which a long block of prose outvotes.
 _STRONG = frozenset(
@@ -47,6 +51,7 @@ _STRONG = frozenset(
 _WEAK = frozenset("promo promotion rail header overlay subscription reply share sharing social related recommended recommendations widget widgets toolbar".split())
 #: Words that may stand beside those in a compound name.
 _BESIDE = frozenset(
+    "user users reader readers customer facebook fb latest recent my new "
     "area aside bar block body bottom box button buttons center col column container content count danger desktop error fixed form global group holder icons info inner item items label left link links list main message mobile module number outer page panel "
     "popular post posts articles stories primary right row secondary section site slot space sticky success text thread title toggle top unit warning web wrap wrapper wide".split()
 )
@@ -54,7 +59,15 @@ _BESIDE = frozenset(
 _OWN = frozenset("article chapter entry post section story content".split())
 _ABOUT = frozenset("has with no without show hide open closed".split())
 _IN_MAIN = frozenset({"header"})
+#: Elements whose text belongs with that of the elements beside them.
+_LINES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre td th figcaption".split())
 _COMMENT = frozenset("comment comments respond reply replies disqus".split())
+#: Words that mark comments in any compound, and names of places where readers talk.
+_COMMENTS = frozenset("comments replies disqus".split())
+_TALK = frozenset("discussion discussions reviews responses feedback opinions thread conversation forum guestbook".split())
+#: What stands by a comment in four languages, by itself or in a short line; and marks of time, that count where readers talk.
+_REPLY = re.compile(r"(?i)(?:\A|\W)(?:reply|reply to|report|says|wrote|upvote|antworten|antwort|sagt|schrieb|melden|répondre|a écrit|signaler|responder|dice|escribió|denunciar)(?:\W|\Z)")
+_WHEN = re.compile(r"(?i)\b(?:ago|yesterday|today|il y a|hace|vor \d+|gestern|heute|hier|ayer|stars?|sterne?|étoiles|estrellas)\b|\d{1,2}[:.]\d{2}|\d{4}-\d{2}-\d{2}|\d/5")
 _CLOSES_P = _BLOCK - {"body", "html", "head", "option", "optgroup", "button", "select", "label"}
 _TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s<>/]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>|(/?)([a-zA-Z][^\s<>/]*)([^<>]*)>|[!?][^<>]*>)""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -63,9 +76,25 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 _WORD = re.compile(r"\w+")
 
 
+class _Element:
+    """A block-level element: its parent, what it looks like, and what its names tell."""
+
+    __slots__ = ("at", "linked", "looks", "marks", "odd", "parent", "size", "talk", "times")
+
+    def __init__(self, at: int, parent: _Element | None, looks: str = "", talk: bool = False, odd: bool = False) -> None:
+        self.at, self.parent, self.looks = at, parent, looks
+        self.talk = talk or parent is not None and parent.talk
+        self.odd = self if odd else parent.odd if parent is not None else None
+        self.marks = self.times = self.size = self.linked = 0
+
+
 @dataclass
 class Block:
-    """Text of a block and what the rules ask of it. ``weak`` marks a boilerplate name that prose outvotes; ``group`` numbers the article or main element around it, 0 for none."""
+    """Text of a block and what the rules ask of it.
+
+    ``weak`` marks a boilerplate name that prose outvotes, ``odd`` one that only ends like boilerplate, ``form`` a form around it; ``group`` numbers the
+    article or main element around it, 0 for none. ``element`` is the block element that it stands in, ``tag`` that element's name.
+    """
 
     parts: list[str] = field(default_factory=list)
     bad: bool = False
@@ -75,6 +104,10 @@ class Block:
     linked: int = 0
     links: int = 0
     text: str = ""
+    odd: bool = False
+    form: bool = False
+    tag: str = ""
+    element: _Element | None = None
 
     @property
     def density(self) -> float:
@@ -91,11 +124,10 @@ class Block:
 
 
 def _named(name: str, group: int) -> int:
-    """2 if a class name or id is one of boilerplate, 1 if weakly so, else 0.
+    """3 if a class name or id is one of boilerplate, 2 if it only ends like one, 1 if weakly so, else 0.
 
-    A compound counts if all its words are known, one at least as boilerplate; or, strongly, if its last word
-    is one, whatever comes before. ``article-header`` and its like are the article's own, and ``has-sidebar`` is
-    about another element.
+    A compound counts if all its words are known, one at least as boilerplate, or if it has a word that marks comments. ``article-header``
+    and its like are the article's own, and ``has-sidebar`` is about another element.
     """
     words = [w.lower() for w in _TOKEN.findall(name) if len(w) > 1]
     if not words or not _ABOUT.isdisjoint(words) or words[-1] in _WEAK and words[0] in _OWN and len(words) > 1:
@@ -103,21 +135,23 @@ def _named(name: str, group: int) -> int:
     strong, weak = (any(w in k and not (group and w in _IN_MAIN) for w in words) for k in (_STRONG, _WEAK))
     if not strong and not weak:
         return 0
+    known = all(w in _STRONG or w in _WEAK or w in _BESIDE or w in _OWN for w in words)
+    if strong and (known or not _COMMENTS.isdisjoint(words)):
+        return 3
     if words[-1] in _STRONG:
         return 2
-    known = all(w in _STRONG or w in _WEAK or w in _BESIDE or w in _OWN for w in words)
-    return (2 if strong else 1) if known else 0
+    return 1 if known else 0
 
 
 def _attributes(name: str, raw: str, group: int) -> int:
-    """Do the attributes make the element boilerplate? 2 strongly, 1 weakly, 0 not."""
+    """Do the attributes make the element boilerplate? As ``_named`` tells."""
     told = 0
     for m in _ATTRIBUTE.finditer(raw):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return 2
+            return 3
         if key == "role" and value.lower() in _ROLES:
-            return 2
+            return 3
         if key in ("class", "id") and name not in ("html", "body", "main"):
             for x in value.split():
                 if name != "article":
@@ -127,21 +161,31 @@ def _attributes(name: str, raw: str, group: int) -> int:
     return told
 
 
+def _looks(name: str, raw: str) -> tuple[str, bool]:
+    """Tag and class of an element, by which like ones are told, and whether its names tell that readers talk there."""
+    values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
+    named = f"{values.get('class', '')} {values.get('id', '')}".split()
+    talk = any(w and w[-1] in _TALK and all(x in _TALK or x in _BESIDE for x in w) for w in ([y.lower() for y in _TOKEN.findall(x) if len(y) > 1] for x in named))
+    return f"{name}.{values.get('class', '')}", talk
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []
+    stack: list[tuple[str, bool, bool, int, bool, _Element]] = []
     open_names: dict[str, int] = {}
     now = Block()
-    anchor, groups, at, size = 0, 0, 0, len(page)
+    anchor, groups, at, size, elements = 0, 0, 0, len(page), 1
+    outer = ("", False, False, 0, False, _Element(0, None))
+    now.element = outer[-1]
 
     def cut() -> None:
         nonlocal now
         now.text = " ".join("".join(now.parts).split())
         if now.text:
             found.append(now)
-        _, bad, weak, group = stack[-1] if stack else ("", False, False, 0)
-        now = Block(bad=bad, weak=weak, group=group, heading=bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6"))
+        name, bad, weak, group, form, element = stack[-1] if stack else outer
+        now = Block(bad=bad, weak=weak, group=group, heading=name in ("h1", "h2", "h3", "h4", "h5", "h6"), odd=element.odd is not None, form=form, tag=name, element=element)
 
     def say(text: str) -> None:
         if text:
@@ -197,7 +241,7 @@ def blocks_of(page: str) -> list[Block]:
                 close("p")
             if name in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
                 close(name)
-            _, bad, weak, group = stack[-1] if stack else ("", False, False, 0)
+            _, bad, weak, group, form, parent = stack[-1] if stack else outer
             if name == "body" and open_names.get("head"):
                 close("head")
                 bad = weak = False
@@ -205,10 +249,13 @@ def blocks_of(page: str) -> list[Block]:
                 groups += 1
                 group = groups
             told = _attributes(name, raw, group) if raw else 0
-            bad = bad or name in _BAD or name == "header" and not group or told == 2
+            bad = bad or name in _BAD or name == "header" and not group or told == 3
             weak = weak or told == 1
+            form = form or name == "form"
             if name not in _VOID and not raw.endswith("/"):
-                stack.append((name, bad, weak, group))
+                looks, talk = _looks(name, raw) if raw else (name, False)
+                stack.append((name, bad, weak, group, form, _Element(elements, parent, looks, talk, told == 2)))
+                elements += 1
                 open_names[name] = open_names.get(name, 0) + 1
             cut()
     cut()
@@ -223,7 +270,7 @@ def _decided(b: Block, listed: bool) -> bool | None:
     if b.weak:
         return n >= 200 and links <= 0.1 and (not listed or b.stop_density() >= 0.15)
     if b.group:
-        if links > 0.66 and b.links > 1:
+        if links > 0.66 and b.links > 1 and b.tag != "p":
             return False
         return True if n >= 60 and links <= 0.5 else None
     if links > 0.5 or links > 0.33 and n < 200 or b.text.startswith("©"):
@@ -242,27 +289,100 @@ def _listed(blocks: list[Block]) -> bool:
     return sum(s for s, _ in counts) >= 0.05 * sum(w for _, w in counts)
 
 
+def _prose(blocks: list[Block], listed: bool, least: int, links: float) -> bool:
+    """Are blocks, taken together, prose of ``least`` characters with few links?"""
+    size = sum(len(b.text) for b in blocks)
+    if size < least or sum(b.linked for b in blocks) > links * size:
+        return False
+    counts = [b.stop_words() for b in blocks] if listed else []
+    return not listed or sum(s for s, _ in counts) >= 0.15 * sum(w for _, w in counts)
+
+
+def _comments(blocks: list[Block]) -> list[bool]:
+    """Is each block in a reader's comment, as the structure tells: two elements or more that look alike, side by side, with marks of comments; where names tell of talk, one."""
+    chain: dict[int, _Element] = {}
+    for b in blocks:
+        e = b.element
+        while e is not None and e.at not in chain:
+            chain[e.at] = e
+            e = e.parent
+        if len(b.text) <= 60 and not b.bad and not b.heading:
+            b.element.marks += bool(_REPLY.search(b.text))
+            b.element.times += bool(b.element.talk and _WHEN.search(b.text))
+    order = sorted(chain)
+    for at in reversed(order):
+        e = chain[at]
+        if e.parent is not None:
+            e.parent.marks += e.marks
+            e.parent.times += e.times
+    alike: dict[tuple[int, str], list[_Element]] = {}
+    for at in order:
+        e = chain[at]
+        if e.parent is not None and (e.marks or e.times):
+            alike.setdefault((e.parent.at, e.looks), []).append(e)
+    talked = {e.at for es in alike.values() if len(es) >= 2 or es[0].talk for e in es}
+    for at in order:
+        e = chain[at]
+        if e.parent is not None and e.parent.at in talked:
+            talked.add(at)
+    return [b.element.at in talked for b in blocks]
+
+
+def _settle(blocks: list[Block], listed: bool, forms: bool) -> list[Block]:
+    """Blocks as the first pass takes them: what forms, names and structure say is weighed against prose. ``forms``: lines of text in forms count as the page's."""
+    talked = _comments(blocks)
+    rest = [b for b, t in zip(blocks, talked, strict=True) if not t and not b.bad]
+    plain = any(_decided(b, listed) for b in rest)
+    framed = [b for b in rest if b.form]
+    layout = sum(len(b.text) for b in framed) > sum(len(b.text) for b in rest if not b.form) and any(_decided(b, listed) for b in framed)
+    odd: dict[int, list[Block]] = {}
+    for b in rest:
+        if b.odd:
+            odd.setdefault(b.element.odd.at, []).append(b)
+    kept = {at for at, bs in odd.items() if _prose(bs, listed, 140, 0.1)}
+    return [replace(b, bad=b.bad or t and plain or b.form and not layout and not (forms and b.tag in _LINES) or b.odd and b.element.odd.at not in kept) for b, t in zip(blocks, talked, strict=True)]
+
+
 def label_blocks(blocks: list[Block]) -> list[bool]:
-    """Is each block main text? Both passes."""
+    """Is each block main text? Both passes; of a page that has no text outside forms, once more with lines of text in them."""
+    out = _labelled(blocks, False)
+    return out if any(out) or not any(b.form for b in blocks) else _labelled(blocks, True)
+
+
+def _labelled(blocks: list[Block], forms: bool) -> list[bool]:
     listed = _listed(blocks)
+    blocks = _settle(blocks, listed, forms)
     first = [_decided(b, listed) for b in blocks]
-    out = [bool(x) for x in first]
     count = len(blocks)
+    family = [(e.parent if b.tag in _LINES and e.parent is not None else e).at for b in blocks for e in (b.element,)]
+    runs: dict[int, list[int]] = {}
+    for i, b in enumerate(blocks):
+        if first[i] is None and not b.group and not b.heading:
+            runs.setdefault(family[i], []).append(i)
+    for run in runs.values():
+        if len(run) > 1 and _prose([blocks[i] for i in run], listed, 140, 0.2):
+            for i in run:
+                first[i] = True
+    out = [bool(x) for x in first]
     near: list[list[int | None]] = [[None] * count, [None] * count]
     for side, order in ((0, range(count)), (1, range(count - 1, -1, -1))):
         last: dict[int, int] = {}
+        kin: dict[int, int] = {}
         outside = None
         for i in order:
             group = blocks[i].group
-            near[side][i] = last.get(group) if group else outside
+            near[side][i] = last.get(group) if group else kin.get(family[i], outside)
             if first[i] is not None:
                 outside = i
                 if not blocks[i].bad and not (blocks[i].weak and not first[i]):
-                    last[group] = i
+                    last[group] = kin[family[i]] = i
     for i, b in enumerate(blocks):
         if first[i] is not None:
             continue
         before, after = near[0][i], near[1][i]
+        if not b.group:  # neighbours of the same parent come first
+            own = [j for j in (before, after) if j is not None and family[j] == family[i] and not blocks[j].bad]
+            before, after = (j if not own or j in own else None for j in (before, after))
         choice = [(abs(i - j), first[j]) for j in (before, after) if j is not None]
         if not choice:
             out[i] = bool(b.group)
@@ -270,6 +390,10 @@ def label_blocks(blocks: list[Block]) -> list[bool]:
             out[i] = bool(choice[0][1] or choice[1][1]) if b.group or b.heading and choice[1][1] else bool(choice[0][1] and choice[1][1])
         else:
             out[i] = bool(min(choice)[1])
+    if not any(out):
+        out = [not b.bad and not b.weak and x is None for b, x in zip(blocks, first, strict=True)]
+    if not any(out):
+        out = [not b.bad and not b.text.startswith("©") and b.density <= 0.33 for b in blocks]
     return out
 
 

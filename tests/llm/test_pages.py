@@ -170,6 +170,55 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+SHORT = ("He came at noon.", "Nobody saw him at the gate.", "The dog was asleep in the sun.", "He sat down and waited for her.", "It was two when she came.", "They had not met in years.", "So they talked until the night.", "Then he left.")
+NAV = "<nav><a href=a>Home</a> <a href=b>News</a></nav>"
+FOOT = "<div class=footer><p>All rights reserved by the company that owns this site and its writers.</p></div>"
+LONG = ARTICLE[3:-4]
+STORY = "".join(f"<p>{x}</p>" for x in SHORT)
+FAQ = "<h2>Questions</h2><dl><dt>Is it open?</dt><dd>Yes, it is open to all.</dd><dt>When?</dt><dd>From nine to five.</dd></dl>"
+FAQ_TEXT = "Questions Is it open? Yes, it is open to all. When? From nine to five."
+TALK = "".join(f"<div class=item><b>{n}</b> {k} hours ago<p>{LONG}</p><a href=#>Reply</a></div>" for k, n in enumerate(("Ann", "Bob", "Cy"), 1))
+
+
+@pytest.mark.parametrize("menu", [("", ""), (NAV, ""), (NAV, FOOT), (NAV + "<form><label>Search</label><input></form>", FOOT)])
+@pytest.mark.parametrize(("body", "text"), [(STORY, " ".join(SHORT)), (f"<div class=story>{STORY}</div>", " ".join(SHORT)), (FAQ, FAQ_TEXT), ("<h1>Closed today</h1><p>Back on Monday.</p>", "Closed today Back on Monday."), ("<div>Closed today.</div>", "Closed today.")])
+def test_short_pages_are_not_empty(menu, body, text):
+    assert main_text(f"<html><body>{menu[0]}{body}{menu[1]}</body></html>") == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><form id=aspnetForm action=x>{NAV}<h1>T</h1>{ARTICLE}<p>{LONG * 2}</p><input type=hidden></form></body>", f"T {LONG} {LONG * 2}"),
+        (f"<body><form id=f>{NAV}{STORY}</form></body>", " ".join(SHORT)),
+        (f"<body>{ARTICLE * 3}<form><p>Write to us, and tell us what you think of this.</p><label>Name</label><input></form></body>", " ".join([LONG] * 3)),
+        *[(f"<body>{NAV}<div class='{c}'><h1>T</h1>{ARTICLE}{ARTICLE}</div>{FOOT}</body>", f"T {LONG} {LONG}") for c in ("opinion-comment", "press-release-notice", "weather-alert", "restaurant-menu", "two-column-sidebar")],
+        (f"<article><h1>T</h1>{ARTICLE}<p><a href=a>The first report of the day</a> and <a href=b>the second report of it</a></p></article>", f"T {LONG} The first report of the day and the second report of it"),
+        (f"<body><h1>T</h1>{ARTICLE * 2}<div class=discussion>{TALK}</div></body>", f"T {LONG} {LONG}"),
+        (f"<body><article>{ARTICLE}</article><section id=user-reviews><div class=r><p>Ann, 5 stars</p><p>{LONG}</p></div></section></body>", LONG),
+        (f"<body>{ARTICLE * 2}<div><h3>What you say</h3>{TALK}</div></body>", None),
+        (f"<article>{ARTICLE}<div class=reader-comments>{ARTICLE}</div></article>", LONG),
+        (f"<body><div class=reviews><h1>A film</h1>{ARTICLE * 2}</div></body>", f"A film {LONG} {LONG}"),
+        (f"<body>{NAV}<div class=menu><ul><li>Soup of the day</li><li>Fish</li></ul></div>{ARTICLE * 2}</body>", f"{LONG} {LONG}"),
+        (f"<body>{NAV}<div><p>Short one.</p><p>Short two.</p><p>{LONG * 2}</p><p>An end.</p></div>{FOOT}</body>", f"Short one. Short two. {LONG * 2} An end."),
+    ],
+)
+def test_prose_against_names_and_forms(page, text):
+    got = main_text(page)
+    assert got == text if text is not None else got.startswith(f"{LONG} {LONG}") and "Ann" not in got and got.count(LONG) == 2
+
+
+@pytest.mark.parametrize("change", [("<article>", "<div>", "</article>", "</div>"), ("<article>", "", "</article>", ""), ("<article>", "<form><div>", "</article>", "</div></form>")])
+def test_pages_without_article_elements(spark, change):
+    """The driver's pages with their article tags taken away or replaced give the same texts."""
+    equal = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        if r.html:
+            total += 1
+            equal += main_text(r.html.replace(change[0], change[1]).replace(change[2], change[3])) == main_text(r.html)
+    assert equal >= 0.99 * total
+
+
 def test_main_text_is_linear_and_total():
     for page in ("<" * 20_000, "<a b='" * 5_000, "<div>" * 5_000 + "x", "<p>" * 20_000, "</p>" * 20_000, "<!--" * 5_000, "<script>" * 5_000, "&" * 20_000):
         assert isinstance(main_text(page), str)
