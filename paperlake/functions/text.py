@@ -65,27 +65,43 @@ def character_bag(key: Column) -> Column:
     return F.array(*counts, F.length(key) - total)
 
 
+def common_share(a: Column, b: Column, bag_a: Column, bag_b: Column) -> Column:
+    """An upper bound of the ratio: characters in common, twice, over both lengths."""
+    shared = F.aggregate(F.zip_with(bag_a, bag_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
+    return 2.0 * shared / (F.length(a) + F.length(b))
+
+
 def ratio_bound(a: Column, b: Column, bag_a: Column, bag_b: Column, least: float) -> Column:
     """False only where the ratio can't reach ``least``: characters in common bound the matches."""
     shared = F.aggregate(F.zip_with(bag_a, bag_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
     return length_bound(a, b, least) & (2 * shared >= least * (F.length(a) + F.length(b)))
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    matcher = SequenceMatcher(None)
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        matcher.set_seqs(x, y)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
+def _ratios(least: float):
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        matcher = SequenceMatcher(None)
+        out, last = [], None
+        for x, y in zip(a, b, strict=True):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            if y != last:  # the matcher keeps an index of its second text
+                matcher.set_seq2(y)
+                last = y
+            matcher.set_seq1(x)
+            bounded = least > 0 and (matcher.real_quick_ratio() < least or matcher.quick_ratio() < least)
+            out.append(0.0 if bounded else matcher.ratio())
+        return pd.Series(out, dtype="float64")
+
+    return ratios
+
 
+def sequence_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """``difflib`` similarity of two strings. Order matters; no built-in equals it, so pairs should be blocked first.
 
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """``difflib`` similarity of two strings. Order matters; no built-in equals it, so pairs should be blocked first."""
-    return F.pandas_udf(_ratios, "double")(a, b)
+    Where bounds tell that it can't reach ``least`` it isn't computed, and is 0.
+    """
+    return F.pandas_udf(_ratios(least), "double")(a, b)
 
 
 def author_surname(c: Column) -> Column:

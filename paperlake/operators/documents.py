@@ -57,15 +57,18 @@ def section_starts_layout(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc, name, pos) of headings in larger type, for ``lines`` (doc, page, line_no, text, size).
 
     A heading is a line of 80 characters at most, at least 1.12 times the size at the lower quartile. Offsets
-    are looked up forwards in the text, line by line, which needs each document's lines in order.
+    are looked up forwards in the text, line by line, which needs each document's lines in order. A document's text and its
+    lines meet in one group, so the text is there once. Of rows with one ``doc`` the first text counts.
     """
     import re
 
     patterns = [(name, re.compile(rf"^{p}$", re.IGNORECASE)) for name, p in SECTIONS.items()]
 
-    def find(group: pd.DataFrame) -> pd.DataFrame:
+    def find(group: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        if group.empty or texts.empty:
+            return pd.DataFrame({"doc": [], "name": [], "pos": []})
         group = group.sort_values(["page", "line_no"])
-        text, sizes = group["full_text"].iloc[0] or "", sorted(group["size"])
+        text, sizes = texts["full_text"].iloc[0] or "", sorted(group["size"])
         least = sizes[len(sizes) // 4] * 1.12
         at, taken, best = 0, set(), {}
         for line, size in zip(group["text"], group["size"], strict=True):
@@ -85,7 +88,7 @@ def section_starts_layout(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc"].dataType.simpleString()
     stripped = lines.withColumn("text", F.trim("text")).filter("text <> '' and size is not null")
-    return stripped.join(docs.select("doc", "full_text"), "doc").groupBy("doc").applyInPandas(find, f"doc {kind}, name string, pos bigint")
+    return stripped.select("doc", "page", "line_no", "text", "size").groupBy("doc").cogroup(docs.select("doc", "full_text").groupBy("doc")).applyInPandas(find, f"doc {kind}, name string, pos bigint")
 
 
 def merge_section_starts(regex: DataFrame, layout: DataFrame | None = None) -> DataFrame:

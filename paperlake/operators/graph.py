@@ -11,17 +11,17 @@ from .infer import infer_contrasts, infer_extends
 from .profiles import ENTITY_EDGES, ITEM_EDGES, first_by
 
 __all__ = [
-    "NODE_COLUMNS", "build_graph", "build_stats", "delete_papers", "export_graph", "extraction_graph", "graph_edges", "induced_subgraph", "merge_graph", "metadata_graph", "node_degree", "paper_detail_groups", "paper_summaries", "type_histogram", "viewer_payload",
+    "NODE_COLUMNS", "build_graph", "build_stats", "delete_papers", "entity_mentions", "entity_nodes", "export_graph", "extraction_graph", "graph_edges", "induced_subgraph", "merge_graph", "metadata_graph", "node_degree", "paper_detail_groups", "paper_nodes", "paper_summaries", "type_histogram", "viewer_payload",
 ]
 
 NODE_COLUMNS = "type string, id string, title string, year bigint, authors string, venue string, doi string, metadata_only boolean, name string, text string, paper_id string, page bigint, section string, evidence_text string, workspace_id string"
 _SUPPORT = {"Claim": "SUPPORTED_BY", "Limitation": "LIMITATION_SUPPORTED_BY", "Contribution": "CONTRIBUTION_SUPPORTED_BY"}
 
 
-def _nodes(df: DataFrame, kind: str) -> DataFrame:
+def _nodes(df: DataFrame, kind: str | Column) -> DataFrame:
     """``df`` in the common shape of nodes; what it lacks is null."""
     wanted = [c.strip().split(" ") for c in NODE_COLUMNS.split(",")]
-    return df.withColumn("type", F.lit(kind)).select(*[(F.col(n) if n in (*df.columns, "type") else F.lit(None)).cast(t).alias(n) for n, t in wanted])
+    return df.withColumn("type", kind if isinstance(kind, Column) else F.lit(kind)).select(*[(F.col(n) if n in (*df.columns, "type") else F.lit(None)).cast(t).alias(n) for n, t in wanted])
 
 
 def _edges(df: DataFrame, kind: str) -> DataFrame:
@@ -70,6 +70,27 @@ def metadata_graph(papers: DataFrame, workspace: str = "default") -> tuple[DataF
     return _union(nodes), _union(edges)
 
 
+def entity_mentions(records: DataFrame, papers: DataFrame, workspace: str = "default") -> DataFrame:
+    """(target, kind, name, owner, workspace_id): the shared nodes that papers point at, under each paper's own name for them."""
+    rows = []
+    for kind, column in ENTITY_EDGES.values():
+        rows.append(records.select(F.lit(kind).alias("kind"), F.explode(column).alias("name"), F.col("paper_id").alias("owner")))
+    rows.append(papers.select(F.lit("Author").alias("kind"), F.explode("authors").alias("name"), F.col("paper_id").alias("owner")))
+    rows.append(papers.select(F.lit("Venue").alias("kind"), F.col("venue").alias("name"), F.col("paper_id").alias("owner")))
+    out = _union(rows).filter(F.trim("name") != "").withColumn("workspace_id", F.lit(workspace)).distinct()
+    return out.withColumn("target", entity_id(F.col("kind"), F.col("name"), F.col("workspace_id"))).select("target", "kind", "name", "owner", "workspace_id")
+
+
+def entity_nodes(names: DataFrame) -> DataFrame:
+    """Nodes of (id, kind, name, workspace_id)."""
+    return _nodes(names, F.col("kind"))
+
+
+def paper_nodes(papers: DataFrame) -> DataFrame:
+    """Paper nodes of a table of their columns."""
+    return _nodes(papers, "Paper")
+
+
 def graph_edges(pairs: DataFrame, kind: str, workspace: str = "default") -> DataFrame:
     """Edges of a table of (source, target)."""
     return _edges(pairs.select("source", "target").distinct().withColumn("workspace_id", F.lit(workspace)), kind)

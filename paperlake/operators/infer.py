@@ -13,15 +13,18 @@ def _sets(profiles: DataFrame) -> DataFrame:
     return profiles.filter(F.col("paper_id").isNotNull()).select("paper_id", clean(F.col("tasks")).alias("tasks"), clean(F.col("methods")).alias("methods"))
 
 
-def infer_contrasts(profiles: DataFrame) -> DataFrame:
-    """Unordered pairs (source < target) that share a task and have different, non-empty sets of methods.
+def infer_contrasts(profiles: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """Unordered pairs (source < target) that share a task and have different, non-empty sets of methods; with ``touched`` (paper_id) those with one of these papers.
 
     The join is on the task; the output itself has a row for each such pair. Method sets travel as one hash
     until the pairs are distinct.
     """
     s = _sets(profiles).filter(F.size("methods") > 0).select("paper_id", F.explode("tasks").alias("task"), F.xxhash64("methods").alias("m"))
     a, b = s.select(F.col("paper_id").alias("source"), "task", F.col("m").alias("ma")), s.select(F.col("paper_id").alias("target"), "task", F.col("m").alias("mb"))
-    return a.join(b, "task").filter("source < target AND ma <> mb").select("source", "target").distinct()
+    if touched is None:
+        return a.join(b, "task").filter("source < target AND ma <> mb").select("source", "target").distinct()
+    near = a.join(touched.select(F.col("paper_id").alias("source")), "source", "left_semi").join(b, "task").filter("source <> target AND ma <> mb")
+    return near.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
 
 
 def infer_extends(profiles: DataFrame, cites: DataFrame) -> DataFrame:

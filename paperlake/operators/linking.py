@@ -6,11 +6,15 @@ left row is kept. Rules that compare texts meet only rows that share a blocking
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import path_stem
-from ..functions.text import author_surname, character_bag, non_empty, normalize_paper_ref, normalize_text, ratio_bound, sequence_ratio, split_citation_keys, titles_compatible, words_of
+from ..functions.text import author_surname, character_bag, common_share, non_empty, normalize_paper_ref, normalize_text, ratio_bound, sequence_ratio, split_citation_keys, titles_compatible, words_of
 from .profiles import first_by
 
 __all__ = [
@@ -96,16 +100,19 @@ def bib_only_papers(entries: DataFrame, papers: DataFrame, linked: DataFrame | N
 def citations_from_bib(entries: DataFrame, papers: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(source, target) from the citation lists of entries.
 
-    An entry stands for the paper whose id is its key, else its stem; with ``links`` (paper_id, bib_ord) for the
-    linked paper. Unknown papers and papers that cite themselves are left out.
+    An entry stands for the paper whose id is its key, else its stem; of several entries with a key the last one's stem
+    counts for all. With ``links`` (paper_id, bib_ord) it stands for the linked paper instead, by which more entries cite.
+    Unknown papers and papers that cite themselves are left out.
     """
     ids = papers.select("paper_id").distinct()
     if links is not None:
         at = entries.join(links.select("paper_id", "bib_ord"), "bib_ord").select("bib_key", "paper_id", "citations", "bib_ord")
     else:
-        by_key = entries.join(ids, F.col("bib_key") == F.col("paper_id")).select("bib_key", "paper_id", "citations", "bib_ord", F.lit(0).alias("_p"))
-        by_stem = entries.join(ids, F.col("source_stem") == F.col("paper_id")).select("bib_key", "paper_id", "citations", "bib_ord", F.lit(1).alias("_p"))
-        at = first_by(by_key.union(by_stem), ["bib_ord"], "_p").drop("_p")
+        known = lambda c: entries.join(ids, F.col(c) == F.col("paper_id"), "left_semi")
+        by_key = known("bib_key").select("bib_key", F.col("bib_key").alias("paper_id")).distinct()
+        stems = known("source_stem").filter("bib_key is not null").select("bib_key", F.col("source_stem").alias("paper_id"), "bib_ord").join(by_key, "bib_key", "left_anti")
+        by_stem = first_by(stems, ["bib_key"], F.when(F.col("bib_key") == "", F.col("bib_ord")), F.desc("bib_ord")).select("bib_key", "paper_id")
+        at = entries.select("bib_key", "citations", "bib_ord").join(by_key.union(by_stem), "bib_key")
     cited = at.select(F.col("paper_id").alias("source"), F.explode(split_citation_keys(F.col("citations"))).alias("key"))
     keys = first_by(at.filter("bib_key <> ''"), ["bib_key"], F.desc("bib_ord")).select(F.col("bib_key").alias("key"), F.col("paper_id").alias("to"))
     named = cited.join(keys, "key", "left").withColumn("target", F.coalesce("to", "key"))
@@ -182,11 +189,14 @@ def resolve_paper_ref(refs: DataFrame, registry: DataFrame, aliases: DataFrame |
     return refs.join(first_by(hits, ["ref"], "rule", "paper_id").select("ref", "paper_id"), "ref", "left")
 
 
-def did_you_mean(queries: DataFrame, papers: DataFrame, least: float = 0.6, top: int = 3) -> DataFrame:
-    """(query, paper_id, ratio, rank): the nearest papers by id, title or file stem.
+_HELD = 100_000  # queries whose best ratios a task keeps at once
 
-    Each name meets the queries whose length allows the ratio: names and queries join on length, so that only
-    lengths within the bound meet.
+
+def _suggested(queries: DataFrame, papers: DataFrame, least: float, top: int) -> DataFrame:
+    """(query, paper_id, ratio, ratios): each task's best papers of each query, and, once a batch, how many ratios it worked out.
+
+    A task takes pairs as the join gives them, those of a batch by falling bound of the ratio (characters in common), and skips a pair
+    whose bound is below the ``top``-th best ratio that the query has there. So no pairs are shuffled.
     """
     names = [papers.select("paper_id", F.lower(c).alias("name")) for c in (F.col("paper_id"), F.col("title"), path_stem(F.col("source_path")))]
     n = names[0].union(names[1]).union(names[2]).filter("name is not null and name <> ''").distinct().withColumn("_l", F.length("name"))
@@ -194,8 +204,46 @@ def did_you_mean(queries: DataFrame, papers: DataFrame, least: float = 0.6, top:
     q = queries.select("query", F.lower("query").alias("q")).distinct().withColumn("_n", F.length("q"))
     q = q.select("query", "q", F.explode(F.sequence(F.ceil(F.col("_n") * low - 1e-9).cast("int"), F.floor(F.col("_n") * high + 1e-9).cast("int"))).alias("_l"))
     near = q.withColumn("qb", character_bag(F.col("q"))).join(n.withColumn("nb", character_bag(F.col("name"))), "_l").filter(ratio_bound(F.col("name"), F.col("q"), F.col("nb"), F.col("qb"), least))
-    met = near.withColumn("ratio", sequence_ratio(F.col("name"), F.col("q"))).filter(F.col("ratio") >= least)
-    best = met.groupBy("query", "paper_id").agg(F.max("ratio").alias("ratio"))
+    bounded = near.select("query", "q", "paper_id", "name", common_share(F.col("name"), F.col("q"), F.col("nb"), F.col("qb")).alias("bound"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, dict[str, float]] = {}
+        matcher = SequenceMatcher(None)
+        for batch in batches:
+            done, out = 0, []
+            for r in batch.sort_by([("bound", "descending")]).to_pylist():
+                held = best.setdefault(r["query"], {})
+                floor = sorted(held.values())[-top] if len(held) >= top else least
+                if r["bound"] < floor:
+                    continue
+                matcher.set_seqs(r["name"], r["q"])
+                if matcher.quick_ratio() < floor:
+                    continue
+                done += 1
+                ratio = matcher.ratio()
+                if ratio >= floor:
+                    out.append((r["query"], r["paper_id"], ratio))
+                    if ratio > held.get(r["paper_id"], 0.0):
+                        held[r["paper_id"]] = ratio
+                        if len(held) > top:  # enough for the bound; ties were handed on
+                            del held[min(held, key=held.get)]
+            if len(best) > _HELD:
+                best = {}
+            yield pa.RecordBatch.from_pylist([{"query": a, "paper_id": b, "ratio": c, "ratios": 0} for a, b, c in out] + [{"query": None, "paper_id": None, "ratio": None, "ratios": done}], schema=_SUGGESTED)
+
+    return bounded.mapInArrow(run, "query string, paper_id string, ratio double, ratios long")
+
+
+_SUGGESTED = pa.schema([("query", pa.string()), ("paper_id", pa.string()), ("ratio", pa.float64()), ("ratios", pa.int64())])
+
+
+def did_you_mean(queries: DataFrame, papers: DataFrame, least: float = 0.6, top: int = 3) -> DataFrame:
+    """(query, paper_id, ratio, rank): the nearest papers by id, title or file stem.
+
+    Names meet the queries whose length allows the ratio; of these the ratio is worked out where characters in common leave
+    room for a place among the ``top``, see ``_suggested``.
+    """
+    best = _suggested(queries, papers, least, top).filter("query is not null").groupBy("query", "paper_id").agg(F.max("ratio").alias("ratio"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("ratio"), "paper_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= top)
 

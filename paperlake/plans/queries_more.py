@@ -630,7 +630,7 @@ seg AS (SELECT r.paper_id, r.i, substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 12
 
 
 def _build(spark, sf):
-    """Orders as papers with two or three spellings of a name, entries for every second with a year for every fourth, references for every fifth."""
+    """Orders as papers with two or three spellings of a name, entries for every second with a year for every fourth, references for every fifth. Entries cite by key or stem alone, so those linked by DOI don't."""
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     i = F.col("o_orderkey")
     pid = F.concat(F.lit("p"), F.lpad(i.cast("string"), 9, "0"))
@@ -650,9 +650,9 @@ def _build(spark, sf):
     papers = rows.select("paper_id", F.lit("").alias("path"), "title", F.lit("").alias("zotero_key"), F.lit("").alias("doi"))
     registry = rows.select("paper_id", F.concat(F.lit("/in/s"), k.cast("string"), F.lit(".pdf")).alias("source_path"), F.lit("").alias("zotero_key"), F.when(k % 4 == 2, F.concat(F.lit("10.1/"), k.cast("string"))).otherwise("").alias("doi"))
     entries = rows.filter(k % 2 == 0).select(
-        k.alias("bib_ord"), F.concat(F.lit("b"), k.cast("string")).alias("bib_key"), F.when(k % 4 == 0, F.concat(F.lit("s"), k.cast("string"))).otherwise("").alias("source_stem"), F.lit("").alias("zotero_key"),
+        k.alias("bib_ord"), F.concat(F.lit("b"), k.cast("string")).alias("bib_key"), F.when(k % 4 == 0, F.col("paper_id")).otherwise("").alias("source_stem"), F.lit("").alias("zotero_key"),
         F.when(k % 4 == 2, F.concat(F.lit("10.1/"), k.cast("string"))).otherwise("").alias("doi"), F.lit("").alias("title"), F.when(k % 4 == 0, 1980).cast("long").alias("year"), F.array(F.lit("Doe, J.")).alias("authors"), F.lit("V").alias("venue"),
-        F.concat(F.lit("b"), (k - 2).cast("string"), F.lit("; nobody")).alias("citations"),
+        F.concat(F.lit("b"), (k - 2).cast("string"), F.lit("; b"), (k - 4).cast("string"), F.lit("; nobody")).alias("citations"),
     )
     alone = entries.filter("bib_ord % 20 = 0").withColumns({"bib_ord": F.col("bib_ord") + 10**12, "bib_key": F.concat(F.lit("x"), "bib_key"), "source_stem": F.lit(""), "title": F.lit("alone"), "citations": F.col("bib_key")})
     refs = rows.filter(k % 5 == 1).select(F.concat(F.lit("r"), k.cast("string")).alias("ref_id"), "paper_id", F.concat(F.lit("10.1/"), (k + 1).cast("string")).alias("doi"), F.lit("").alias("title"), F.lit(None).cast("long").alias("year"), none.alias("authors"))
@@ -669,12 +669,12 @@ def _(spark, sf):
 
 
 @_add("i14_build_citations", _BUILD + """
-SELECT a.paper_id AS source, b.paper_id AS target FROM r a JOIN r b ON b.i = a.i - 2 WHERE a.i % 2 = 0 UNION SELECT 'xb' || i, paper_id FROM r WHERE i % 20 = 0 UNION SELECT a.paper_id, b.paper_id FROM r a JOIN r b ON b.i = a.i + 1 WHERE a.i % 5 = 1 AND b.i % 4 = 2""", cte=False)
+SELECT a.paper_id AS source, b.paper_id AS target FROM r a JOIN r b ON b.i = a.i - 4 WHERE a.i % 4 = 0 UNION SELECT 'xb' || i, paper_id FROM r WHERE i % 20 = 0 UNION SELECT a.paper_id, b.paper_id FROM r a JOIN r b ON b.i = a.i + 1 WHERE a.i % 5 = 1 AND b.i % 4 = 2""", cte=False)
 def _(spark, sf):
     return _build(spark, sf)[1].filter("type = 'CITES'").select("source", "target")
 
 
-@_add("i14_build_statistics", _BUILD + """, cb AS (SELECT a.i, b.i FROM r a JOIN r b ON b.i = a.i - 2 WHERE a.i % 2 = 0), n AS (SELECT count(*) AS n FROM r)
+@_add("i14_build_statistics", _BUILD + """, cb AS (SELECT a.i, b.i FROM r a JOIN r b ON b.i = a.i - 4 WHERE a.i % 4 = 0), n AS (SELECT count(*) AS n FROM r)
 SELECT (SELECT n FROM n) + (SELECT count(*) FROM r WHERE i % 20 = 0) AS papers, (SELECT count(*) FROM r WHERE i % 20 = 0) AS bib_only, (SELECT count(*) FROM r WHERE i % 2 = 0) AS bib_linked, (SELECT count(*) FROM cb) + (SELECT count(*) FROM r WHERE i % 20 = 0) AS cites_from_bib,
   (SELECT count(*) FROM r a JOIN r b ON b.i = a.i + 1 WHERE a.i % 5 = 1 AND b.i % 4 = 2) AS cites_from_references, (SELECT count(*) FROM (SELECT * FROM l JOIN canon USING (t) WHERE spelled <> name)) + (SELECT count(*) FROM seg JOIN segc USING (t) WHERE spelled <> name) AS entities_resolved,
   (SELECT count(*) FROM (SELECT * FROM l JOIN canon USING (t) WHERE spelled = name)) + (SELECT count(*) FROM seg JOIN segc USING (t) WHERE spelled = name) AS entities_new""", cte=False)

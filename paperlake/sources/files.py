@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["DEFAULT_IGNORE", "detect_changed", "detect_removed", "filter_ignored", "fingerprint_files", "glob_to_regex", "parse_targets", "route_sources", "scan_corpus", "skip_unchanged"]
+__all__ = ["DEFAULT_IGNORE", "detect_changed", "detect_removed", "filter_ignored", "fingerprint_files", "glob_to_regex", "parse_targets", "read_files", "route_sources", "scan_corpus", "skip_unchanged"]
 
 #: Patterns that are always ignored (fixed values).
 DEFAULT_IGNORE = ("**/.git/**", "**/__pycache__/**", "**/~$*", "**/*.tmp", "**/.#*", "**/Thumbs.db", "**/.DS_Store")
@@ -21,6 +21,13 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"), "content")
 
 
+def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, modified_at, size, content) of files given by name."""
+    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
+    files = spark.read.format("binaryFile").load(literal)
+    return files.select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"), "content")
+
+
 def glob_to_regex(pattern: str) -> str:
     """A pattern of an ignore file as a regular expression over relative paths with ``/``."""
     body, out, i = pattern.rstrip("/"), "", 0

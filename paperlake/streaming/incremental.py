@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.text import non_empty
 from ..operators.profiles import first_by, needs_extraction
 from ..sources.files import detect_changed, detect_removed
 
 __all__ = [
-    "assign_paper_ids", "clear", "coalesce_changes", "follow_files", "follow_library", "library_cursor", "library_delta_merge", "library_table", "pending_extraction", "process_changes", "rebuild", "skip_ingested_versions", "upsert_registry",
+    "assign_paper_ids", "clear", "coalesce_changes", "coalesce_stream", "follow_files", "follow_library", "library_cursor", "library_delta_merge", "library_table", "pending_extraction", "process_changes", "rebuild", "skip_ingested_versions", "upsert_registry",
 ]
 
 
@@ -46,6 +47,49 @@ def coalesce_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(F.when(F.bool_or(F.col("op") == "deleted"), "deleted").otherwise("changed").alias("op"))
 
 
+class _Quiet(StatefulProcessor):
+    """State of one path: what its last burst comes to, and when it may be told."""
+
+    def __init__(self, quiet_ms: int) -> None:
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.burst = handle.getValueState("burst", "deleted boolean, until long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        deleted, last = False, 0
+        for batch in rows:
+            deleted = deleted or bool((batch["op"] == "deleted").any())
+            last = max(last, int(batch["at"].max().timestamp() * 1000))
+        if self.burst.exists():
+            was = self.burst.get()
+            self.handle.deleteTimer(was[1])
+            deleted, last = deleted or was[0], max(last, was[1] - self.quiet_ms)
+        until = max(last + self.quiet_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        self.burst.update((deleted, until))
+        self.handle.registerTimer(until)
+        yield pd.DataFrame({"path": [], "op": [], "at": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        deleted, until = self.burst.get()
+        self.burst.clear()
+        yield pd.DataFrame({"path": [key[0]], "op": ["deleted" if deleted else "changed"], "at": [pd.Timestamp(until - self.quiet_ms, unit="ms")]})
+
+    def close(self) -> None:
+        pass
+
+
+def coalesce_stream(changes: DataFrame, quiet: float = 0.5, late: str = "0 seconds") -> DataFrame:
+    """(path, op, at) of a stream of (path, op, at): a path's burst of changes is told once, when none has come for ``quiet`` seconds of event time.
+
+    A deletion beats the changes of its burst; ``at`` is the burst's last change. Each path has one small state, which goes when its burst is
+    told; timers follow the watermark, ``late`` behind the newest change. A row that comes behind the watermark is left out by Spark.
+    """
+    marked = changes.select("path", "op", "at").withWatermark("at", late)
+    return marked.groupBy("path").transformWithStateInPandas(_Quiet(int(quiet * 1000)), "path string, op string, at timestamp", "Append", "EventTime")
+
+
 def library_delta_merge(stored: DataFrame, delta: DataFrame, full: bool = False) -> DataFrame:
     """Entries by bib_key, the newest version wins; a full sync replaces all."""
     rows = delta if full else stored.unionByName(delta, allowMissingColumns=True)
