@@ -69,7 +69,7 @@ class _Quiet(StatefulProcessor):
         until = max(last + self.quiet_ms, timerValues.getCurrentWatermarkInMs() + 1)
         self.burst.update((deleted, until))
         self.handle.registerTimer(until)
-        yield pd.DataFrame({"path": [], "op": [], "at": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         deleted, until = self.burst.get()

@@ -134,3 +134,32 @@ def test_index_a_folder(spark, tmp_path):
     (tmp_path / "alpha.bib").write_text(bib)
     again = index_pipeline(spark, f"file:{tmp_path}", registry=done.registry)
     assert again.registry.first().paper_id == alpha and Library(again.nodes, again.edges).papers().count() == 2
+
+
+def test_quiet_period(spark, tmp_path):
+    """Bursts are told once, deletions win, and a restart goes on with the state that is there."""
+    from paperlake.streaming.incremental import coalesce_stream
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        seen = []
+
+        def tell(batch, number):
+            seen.extend((r.path, r.op) for r in batch.collect())
+
+        def step(k, rows):
+            spark.createDataFrame([(p, op, t / 1000) for p, op, t in rows], "path string, op string, t double").selectExpr("path", "op", "timestamp_millis(cast(t * 1000 as bigint)) AS at").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+            feed = spark.readStream.schema("path string, op string, at timestamp").json(str(tmp_path / "in"))
+            q = coalesce_stream(feed).writeStream.foreachBatch(tell).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+            q.awaitTermination(180)
+            got = sorted(seen)
+            seen.clear()
+            return got
+
+        assert step(0, [("a", "changed", 1000), ("a", "changed", 1200), ("b", "changed", 1100), ("b", "deleted", 1300), ("z", "changed", 1400)]) == []
+        assert step(1, [("a", "changed", 1600), ("z", "changed", 1850)]) == [("b", "deleted")]  # a's burst goes on
+        assert step(2, [("z", "changed", 2300), ("late", "changed", 100)]) == [("a", "changed")]  # the late row is behind the watermark
+        assert step(3, [("y", "changed", 9000)]) == [("z", "changed")]
+    finally:
+        spark.conf.unset(provider)
