@@ -46,7 +46,7 @@ def test_random_changes(spark, tmp_path):
         write_paper(folder, k, rnd)
     for k in (0, 1):
         write_bib(folder, k, rnd)
-    store = IndexStore(spark, f"file:{tmp_path}/store", buckets=16)
+    store = IndexStore(spark, f"file:{tmp_path}/store", buckets=32)
     first = store.update(root)
     assert first.files_read == first.files_parsed == 9
     known = extraction(spark, store, rnd)
