@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["infer_contrasts", "infer_extends", "shared_method_pairs"]
+__all__ = ["contrast_parts", "expand_contrasts", "expand_shared_methods", "infer_contrasts", "infer_extends", "paper_classes", "shared_method_classes", "shared_method_pairs"]
 
 
 def _sets(profiles: DataFrame) -> DataFrame:
-    clean = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
+    clean = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<string>")))))
     return profiles.filter(F.col("paper_id").isNotNull()).select("paper_id", clean(F.col("tasks")).alias("tasks"), clean(F.col("methods")).alias("methods"))
 
 
@@ -40,3 +40,61 @@ def shared_method_pairs(profiles: DataFrame, seeds: DataFrame | None = None) ->
     m = _sets(profiles).select("paper_id", F.explode("methods").alias("method"))
     a = m if seeds is None else m.join(seeds.select("paper_id").distinct(), "paper_id", "left_semi")
     return a.withColumnRenamed("paper_id", "source").join(m.withColumnRenamed("paper_id", "target"), "method").filter("source <> target").select("source", "target", "method").distinct()
+
+
+def paper_classes(profiles: DataFrame) -> DataFrame:
+    """(paper_id, class_id, part, tasks, methods): papers of equal tasks and methods share a class, those of equal methods a part.
+
+    Both are SHA-256 of the sets, so they need no join and stay the same when other papers change. Rows of one paper
+    are united; null sets are empty and null names left out; rows without a paper_id are left out.
+    """
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    papers = _sets(profiles).groupBy("paper_id").agg(united("tasks"), united("methods"))
+    digest = lambda *columns: F.sha2(F.to_json(F.struct(*columns)), 256)
+    return papers.select("paper_id", digest("tasks", "methods").alias("class_id"), digest("methods").alias("part"), "tasks", "methods")
+
+
+def contrast_parts(papers: DataFrame) -> DataFrame:
+    """(task, part, n_papers, n_against): the contrasts of ``paper_classes`` rows, without a row for any pair.
+
+    Within a task each paper contrasts with those of all other parts, of which there are ``n_against``; the members of
+    a part are its rows in ``paper_classes``. A task of all papers has as many rows as it has different sets of methods.
+    """
+    parts = papers.filter(F.size("methods") > 0).select(F.explode("tasks").alias("task"), "part").groupBy("task", "part").agg(F.count("*").alias("n_papers"))
+    whole = parts.groupBy("task").agg(F.sum("n_papers").alias("_n"))
+    return parts.join(whole, "task").select("task", "part", "n_papers", (F.col("_n") - F.col("n_papers")).alias("n_against"))
+
+
+def expand_contrasts(papers: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """The pairs of ``infer_contrasts`` from ``paper_classes`` rows: all, or those with one of ``asked`` (paper_id).
+
+    Classes meet by task and each pair of them is kept once; members are put in last, so that a pair of papers arises
+    once, however many tasks it shares.
+    """
+    able = papers.filter((F.size("methods") > 0) & (F.size("tasks") > 0))
+    classes = able.dropDuplicates(["class_id"]).select("class_id", "part", F.explode("tasks").alias("task"))
+    member = able.select("paper_id", "class_id")
+    here = member if asked is None else member.join(asked.select("paper_id").distinct(), "paper_id", "left_semi")
+    near = classes if asked is None else classes.join(here.select("class_id").distinct(), "class_id", "left_semi")
+    met = near.select(F.col("class_id").alias("a"), F.col("part").alias("pa"), "task").join(classes.select(F.col("class_id").alias("b"), F.col("part").alias("pb"), "task"), "task")
+    pairs = met.filter("pa <> pb" if asked is not None else "pa <> pb AND a < b").select("a", "b").distinct()
+    there = member.withColumn("_asked", F.lit(False)) if asked is None else member.join(asked.select("paper_id", F.lit(True).alias("_asked")).distinct(), "paper_id", "left").withColumn("_asked", F.coalesce("_asked", F.lit(False)))
+    rows = pairs.join(here.select(F.col("class_id").alias("a"), F.col("paper_id").alias("x")), "a").join(there.select(F.col("class_id").alias("b"), F.col("paper_id").alias("y"), "_asked"), "b")
+    return rows.filter("NOT (_asked AND y < x)").select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"))
+
+
+def shared_method_classes(papers: DataFrame) -> DataFrame:
+    """(method, part, n_papers, n_others): who shares a method, without a row for any pair; ``n_others`` papers of other parts use it too."""
+    parts = papers.groupBy("part").agg(F.first("methods").alias("methods"), F.count("*").alias("n_papers")).select(F.explode("methods").alias("method"), "part", "n_papers")
+    whole = parts.groupBy("method").agg(F.sum("n_papers").alias("_n"))
+    return parts.join(whole, "method").select("method", "part", "n_papers", (F.col("_n") - F.col("n_papers")).alias("n_others"))
+
+
+def expand_shared_methods(papers: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """The rows of ``shared_method_pairs`` from ``paper_classes`` rows; ``asked`` (paper_id) bounds the sources.
+
+    Papers meet by their method; as those have no repeated rows, neither has the result, and nothing is shuffled after the join.
+    """
+    m = papers.select("paper_id", F.explode("methods").alias("method"))
+    a = m if asked is None else m.join(asked.select("paper_id").distinct(), "paper_id", "left_semi")
+    return a.withColumnRenamed("paper_id", "source").join(m.withColumnRenamed("paper_id", "target"), "method").filter("source <> target").select("source", "target", "method")

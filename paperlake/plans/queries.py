@@ -399,13 +399,16 @@ c AS (
   UNION ALL SELECT 4, query, 'p' || vec_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, 'p' || vec_id) - 1 FROM (SELECT v.query, e.vec_id, round({_COS}, 9) AS score FROM embeddings e, embeddings q, v WHERE q.vec_id = v.id) WHERE score > 0),
 fused AS (SELECT query, paper_id, round(sum(1.0::DOUBLE / (r + 60)), 12) AS score, min({{'ch': ch, 'r': r}}) AS f FROM c GROUP BY 1, 2),
 cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, f, paper_id) AS place FROM fused) WHERE place <= 20),
-near AS (SELECT target AS paper_id, max(CASE relationship WHEN 'EXTENDS' THEN 1.0 WHEN 'CITED_BY' THEN 0.8 WHEN 'CITES' THEN 0.7 WHEN 'CONTRASTS_WITH' THEN 0.6 ELSE 0.3 END) AS b, min(CASE relationship WHEN 'CITES' THEN 2 WHEN 'CITED_BY' THEN 3 WHEN 'CONTRASTS_WITH' THEN 4 WHEN 'EXTENDS' THEN 5 ELSE 6 END) AS o FROM adj WHERE source = 'p12' GROUP BY 1),
-boost AS (SELECT paper_id, CASE o WHEN 2 THEN 0.7 WHEN 3 THEN 0.8 WHEN 4 THEN 0.6 WHEN 5 THEN 1.0 ELSE 0.3 END::DOUBLE AS boost FROM near),
+w AS (SELECT source, target, CASE relationship WHEN 'CITES' THEN 2 WHEN 'CITED_BY' THEN 3 WHEN 'CONTRASTS_WITH' THEN 4 WHEN 'EXTENDS' THEN 5 ELSE 6 END AS o FROM adj
+  UNION ALL SELECT a.paper_id, b.paper_id, 1 FROM uses a JOIN uses b USING (name) WHERE a.paper_id <> b.paper_id),
+one AS (SELECT target AS paper_id, min(o) AS o FROM w WHERE source = 'p12' GROUP BY 1),
+two AS (SELECT w.target AS paper_id, min({{'parent': w.source, 'o': w.o}}).o AS o FROM one JOIN w ON w.source = one.paper_id WHERE w.target <> 'p12' AND w.target NOT IN (SELECT paper_id FROM one) GROUP BY 1),
+boost AS (SELECT paper_id, (CASE o WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 WHEN 3 THEN 0.8 WHEN 4 THEN 0.6 WHEN 5 THEN 1.0 ELSE 0.3 END::DOUBLE) / hop AS boost FROM (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM two)),
 f AS (SELECT query, paper_id, title, round(score + coalesce(boost, 0.0), 4) AS score, place FROM cut LEFT JOIN boost USING (paper_id) JOIN paper USING (paper_id)),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, place) AS rank FROM f) WHERE rank <= 10)
 SELECT query, CAST(rank AS INTEGER) AS rank, paper_id, title, score, CASE WHEN len(fields) > 0 THEN array_to_string(fields, ', ') ELSE 'keyword' END AS match_fields, CASE WHEN len(fields) > 0 THEN array_to_string(fields, ', ') ELSE 'hybrid keyword/embedding match' END AS match_reason FROM (SELECT f.*, {_FIELDS} AS fields FROM top f)""")
 def _(spark, sf):
-    """Five channels and the boost of what is one hop from a paper."""
+    """Five channels and the boost of what is two hops from a paper at most, by shared methods too."""
     nodes, edges = corpus_graph(spark, sf)
     p, q = profiles.paper_profiles(nodes, edges), _values(spark, "query", "Brand#12", "small bolt", "Customer#000000007")
 
@@ -418,7 +421,7 @@ def _(spark, sf):
     asked = F.element_at(F.array(F.lit("Brand#12"), F.lit("small bolt"), F.lit("Customer#000000007")), (F.col("vec_id") + 1).cast("int"))
     vectors = e.filter("vec_id < 3").select(asked.alias("query"), F.col("embedding").alias("vector"))
     channels = [entity("USES", "method"), entity("TARGETS", "task"), search.matrix_channel(p, q), search.keyword_channel(p, q), search.embedding_channel(e, vectors)]
-    boosts = search.graph_distance_boost(traverse.expand_graph(edges, _values(spark, "paper_id", "p12"), 1, traverse.RELATIONS[1:])).crossJoin(F.broadcast(q))
+    boosts = search.graph_distance_boost(traverse.expand_graph(edges, _values(spark, "paper_id", "p12"))).crossJoin(F.broadcast(q))
     return search.hybrid_search(p, channels, 10, boosts).withColumn("match_fields", F.array_join("match_fields", ", "))
 
 

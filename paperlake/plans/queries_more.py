@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import compare, documents, graph, linking, profiles, search, traverse
+from ..operators import compare, documents, graph, infer, linking, profiles, search, traverse
 from ..sources import files, records as sources
 from ..streaming import incremental
 from .catalog import add as _add
@@ -407,6 +407,71 @@ def _(spark, sf):
     return search.graph_distance_boost(traverse.expand_graph(corpus_graph(spark, sf)[1], seeds, 2, ("CITES", "CITED_BY")))
 
 
+# hubs: tasks and methods that a large share of all papers has
+
+_PARTS = "WITH m AS (SELECT 'p' || p_partkey AS paper_id, p_partkey, unnest(string_split(p_name, ' ')) AS name FROM part), t AS (SELECT 'p' || p_partkey AS paper_id, unnest([p_type, p_brand]) AS name FROM part), s AS (SELECT paper_id, string_agg(DISTINCT name, ' ' ORDER BY name) AS ms FROM m GROUP BY 1)"
+
+
+def _hub_papers(spark, sf):
+    """Parts as papers: tasks are their type and brand, methods the words of their name."""
+    p = table(spark, sf, "part")
+    key = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    return infer.paper_classes(p.select(key.alias("paper_id"), F.array("p_type", "p_brand").alias("tasks"), F.split("p_name", " ").alias("methods"), "p_partkey"))
+
+
+def _asked_parts(spark, sf, name="paper_id"):
+    return table(spark, sf, "part").filter("p_partkey % 20 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias(name))
+
+
+def _part_name(papers):
+    return papers.dropDuplicates(["part"]).select("part", F.array_join("methods", " ").alias("methods"))
+
+
+@_add("j7_contrast_parts", _PARTS + ", g AS (SELECT t.name AS task, ms AS methods, count(*) AS n_papers FROM t JOIN s USING (paper_id) GROUP BY 1, 2) SELECT *, CAST(sum(n_papers) OVER (PARTITION BY task) - n_papers AS BIGINT) AS n_against FROM g", cte=False)
+def _(spark, sf):
+    papers = _hub_papers(spark, sf)
+    return infer.contrast_parts(papers).join(_part_name(papers), "part").drop("part")
+
+
+@_add("j7_contrasts_of_hub_tasks", _PARTS + """, a AS (SELECT 'p' || p_partkey AS paper_id FROM part WHERE p_partkey % 20 = 0)
+SELECT DISTINCT least(x.paper_id, y.paper_id) AS source, greatest(x.paper_id, y.paper_id) AS target FROM a JOIN t x USING (paper_id) JOIN t y ON y.name = x.name JOIN s p ON p.paper_id = x.paper_id JOIN s q ON q.paper_id = y.paper_id WHERE p.ms <> q.ms""", cte=False)
+def _(spark, sf):
+    return infer.expand_contrasts(_hub_papers(spark, sf), _asked_parts(spark, sf))
+
+
+@_add("j10_shared_method_classes", _PARTS + ", u AS (SELECT DISTINCT paper_id, name FROM m), g AS (SELECT name AS method, ms AS methods, count(*) AS n_papers FROM u JOIN s USING (paper_id) GROUP BY 1, 2) SELECT *, CAST(sum(n_papers) OVER (PARTITION BY method) - n_papers AS BIGINT) AS n_others FROM g", cte=False)
+def _(spark, sf):
+    papers = _hub_papers(spark, sf)
+    return infer.shared_method_classes(papers).join(_part_name(papers), "part").drop("part")
+
+
+@_add("j10_shared_hub_methods", _PARTS + ", u AS (SELECT DISTINCT paper_id, p_partkey, name FROM m) SELECT a.paper_id AS source, b.paper_id AS target, name AS method FROM u a JOIN u b USING (name) WHERE a.p_partkey % 20 = 0 AND a.paper_id <> b.paper_id", cte=False)
+def _(spark, sf):
+    return infer.expand_shared_methods(_hub_papers(spark, sf), _asked_parts(spark, sf))
+
+
+def _hub_edges(spark, sf):
+    """Parts cite the part of the next line of an order; they share their brand and size as methods."""
+    key = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", key("l_partkey").alias("at"))
+    next_ = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("at").alias("to"))
+    cites = line.join(next_, ["l_orderkey", "l_linenumber"]).select(F.lit("CITES").alias("type"), F.col("at").alias("source"), F.col("to").alias("target")).filter("source <> target").distinct()
+    size = F.concat(F.lit("size "), F.col("p_size").cast("string"))
+    return cites.union(table(spark, sf, "part").select(F.lit("USES"), key("p_partkey"), F.explode(F.array("p_brand", size))))
+
+
+_HUB_STEP = """WITH h AS (SELECT 'p' || p_partkey AS paper_id, unnest([p_brand, 'size ' || p_size]) AS m FROM part),
+c AS (SELECT DISTINCT 'p' || a.l_partkey AS source, 'p' || b.l_partkey AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey),
+adj AS (SELECT source, target FROM c UNION SELECT target, source FROM c UNION SELECT a.paper_id, b.paper_id FROM h a JOIN h b USING (m) WHERE a.paper_id <> b.paper_id),
+one AS (SELECT source AS seed, target AS paper_id FROM adj WHERE CAST(substr(source, 2) AS BIGINT) % 20 = 0),
+two AS (SELECT DISTINCT o.seed, b.target AS paper_id FROM one o JOIN adj b ON b.source = o.paper_id WHERE b.target <> o.seed) """
+
+
+@_add("t3_reach_counts", _HUB_STEP + "SELECT paper_id, 1 AS hop, count(*) AS n_seeds FROM one GROUP BY 1 UNION ALL SELECT paper_id, 2, count(*) FROM two ANTI JOIN one USING (seed, paper_id) GROUP BY 1", cte=False)
+def _(spark, sf):
+    return traverse.reach(_hub_edges(spark, sf), _asked_parts(spark, sf)).counts()
+
+
 # upkeep
 
 @_add("i9_pending_extraction", "SELECT 'u' || user_id AS paper_id FROM (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1) WHERE user_id % 6 IN (0, 1, 5)", cte=False)
