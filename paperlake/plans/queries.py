@@ -14,6 +14,7 @@ from .catalog import line as _line
 from .catalog import oracle_sql, queries
 from .catalog import paper_profiles as _profiles
 from .catalog import values as _values
+from .stages import settle
 from .surrogate import CTE, citations, corpus_graph, records, table
 
 __all__ = ["oracle_sql", "queries"]
@@ -410,12 +411,14 @@ SELECT query, CAST(rank AS INTEGER) AS rank, paper_id, title, score, CASE WHEN l
 def _(spark, sf):
     """Five channels and the boost of what is two hops from a paper at most, by shared methods too."""
     nodes, edges = corpus_graph(spark, sf)
-    p, q = profiles.paper_profiles(nodes, edges), _values(spark, "query", "Brand#12", "small bolt", "Customer#000000007")
+    p, q = settle(profiles.paper_profiles(nodes, edges)), _values(spark, "query", "Brand#12", "small bolt", "Customer#000000007")
+    kinds = nodes.filter("type IN ('Method', 'Task')").select(F.lower("type").alias("entity_type"), "name").distinct()
+    asked_names = q.select(F.explode(F.array(F.lit("method"), F.lit("task"))).alias("entity_type"), F.col("query").alias("name"))
+    named = settle(resolve.resolve_entity_names(asked_names, kinds))
 
     def entity(edge: str, kind: str):
-        catalog = nodes.filter(F.lower("type") == kind).select(F.lit(kind).alias("entity_type"), "name").distinct()
-        named = resolve.resolve_entity_names(q.select(F.lit(kind).alias("entity_type"), F.col("query").alias("name")), catalog)
-        return search.entity_channel(profiles.resolved_papers_by_entity(nodes, edges, named.select(F.col("name").alias("query"), "canonical"), edge))
+        mine = named.filter(F.col("entity_type") == kind).select(F.col("name").alias("query"), "canonical")
+        return search.entity_channel(profiles.resolved_papers_by_entity(nodes, edges, mine, edge))
 
     e = table(spark, sf, "embeddings").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("paper_id"), "embedding", "vec_id")
     asked = F.element_at(F.array(F.lit("Brand#12"), F.lit("small bolt"), F.lit("Customer#000000007")), (F.col("vec_id") + 1).cast("int"))
