@@ -63,10 +63,11 @@ def section_starts_layout(docs: DataFrame, lines: DataFrame) -> DataFrame:
     import re
 
     patterns = [(name, re.compile(rf"^{p}$", re.IGNORECASE)) for name, p in SECTIONS.items()]
+    none = pd.DataFrame({"doc": [], "name": [], "pos": []}, dtype=object)  # columns of floats, the default, don't become strings
 
     def find(group: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         if group.empty or texts.empty:
-            return pd.DataFrame({"doc": [], "name": [], "pos": []})
+            return none
         group = group.sort_values(["page", "line_no"])
         text, sizes = texts["full_text"].iloc[0] or "", sorted(group["size"])
         least = sizes[len(sizes) // 4] * 1.12
@@ -84,7 +85,7 @@ def section_starts_layout(docs: DataFrame, lines: DataFrame) -> DataFrame:
             if name:
                 taken.add(pos)
                 best[name] = min(pos, best.get(name, pos))
-        return pd.DataFrame({"doc": [group["doc"].iloc[0]] * len(best), "name": list(best), "pos": list(best.values())})
+        return pd.DataFrame({"doc": [group["doc"].iloc[0]] * len(best), "name": list(best), "pos": list(best.values())}) if best else none
 
     kind = docs.schema["doc"].dataType.simpleString()
     stripped = lines.withColumn("text", F.trim("text")).filter("text <> '' and size is not null")

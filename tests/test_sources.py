@@ -77,6 +77,16 @@ def test_layout_headings(spark):
     assert [r.name for r in documents.section_starts_layout(docs, lines).collect()] == ["RelatedWork"]
 
 
+def test_layout_without_headings(spark):
+    """Documents without lines, without a text, without a heading in large type, and one with it."""
+    docs = spark.createDataFrame([(0, "Methods\nx"), (2, "plain\nMethods"), (3, "a\nMethods\nb"), (4, None)], "doc long, full_text string")
+    lines = spark.createDataFrame([(d, 1, n, t, s) for d in (1, 2, 3, 4) for n, (t, s) in enumerate([("a", 10.0), ("Methods", 14.0 if d == 3 else 10.0), ("b", 10.0)])], "doc long, page int, line_no int, text string, size double")
+    found = documents.section_starts_layout(docs, lines)
+    assert rows(found, "doc", "name", "pos") == [(3, "Method", 2)]
+    merged = documents.merge_section_starts(documents.section_starts_regex(docs.filter("doc < 3")), found)
+    assert rows(merged, "doc", "name", "pos", "detection") == [(0, "Method", 0, "regex"), (2, "Method", 6, "regex"), (3, "Method", 2, "blocks")]
+
+
 def test_registry(spark):
     new = spark.createDataFrame([("w", "/a", "h1", "ref"), ("w", "/b", "h2", None)], "workspace_id string, source_path string, content_hash string, source_ref string")
     known = spark.createDataFrame([("w", "/a", "p_old", "", None, "", "", None, None)], "workspace_id string, source_path string, paper_id string, content_hash string, source_ref string, zotero_key string, doi string, assigned_at timestamp, updated_at timestamp")
