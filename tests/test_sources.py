@@ -87,6 +87,15 @@ def test_layout_without_headings(spark):
     assert rows(merged, "doc", "name", "pos", "detection") == [(0, "Method", 0, "regex"), (2, "Method", 6, "regex"), (3, "Method", 2, "blocks")]
 
 
+def test_section_meta_without_layout(spark):
+    """Starts by text and layout, by layout alone, and none at all: lines, but no heading in large type."""
+    docs = spark.createDataFrame([("a", "Methods\nx\nResults\ny"), ("b", "x\nMethods"), ("c", "x\ny")], "doc string, full_text string")
+    lines = spark.createDataFrame([(d, 1, n, t, s) for d, big in (("a", "Results"), ("b", "Methods"), ("c", None), ("e", None)) for n, t in enumerate(["x", big or "y", "y"]) for s in [14.0 if t == big else 10.0]], "doc string, page int, line_no int, text string, size double")
+    starts = documents.merge_section_starts(documents.section_starts_regex(docs.filter("doc = 'a'")), documents.section_starts_layout(docs, lines))
+    meta = documents.section_meta(docs, starts, documents.split_sections(docs, starts))
+    assert rows(meta, "doc", "detection", "fallback", "section_names") == [("a", "merged", False, ["Method", "Experiment"]), ("b", "blocks", False, ["Method"]), ("c", "none", True, ["FullText"])]
+
+
 def test_registry(spark):
     new = spark.createDataFrame([("w", "/a", "h1", "ref"), ("w", "/b", "h2", None)], "workspace_id string, source_path string, content_hash string, source_ref string")
     known = spark.createDataFrame([("w", "/a", "p_old", "", None, "", "", None, None)], "workspace_id string, source_path string, paper_id string, content_hash string, source_ref string, zotero_key string, doi string, assigned_at timestamp, updated_at timestamp")
