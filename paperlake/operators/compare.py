@@ -74,14 +74,18 @@ def cluster_limitations(items: DataFrame, threshold: float = 0.55) -> DataFrame:
 
 
 def gap_support(clustered: DataFrame, min_papers: int = 1) -> DataFrame:
-    """Gaps (leader, gap, n_items, paper_count, supporting_papers, evidence) with enough papers, largest clusters first."""
-    text = first_evidence_text(F.col("evidence_text"), F.col("limitation"), F.lit(None).cast("string"))
+    """Gaps (leader, gap, n_items, paper_count, supporting_papers, evidence) with enough papers, largest clusters first.
+
+    A gap is called by its leader's text, or by the first text there is if that is null. Empty texts stay empty, null ones null.
+    """
+    text = first_evidence_text(F.col("evidence_text"), F.col("limitation"), F.col("limitation"))
+    first = F.min_by("limitation", F.when(F.col("limitation").isNotNull(), F.col("item_ord")))
     proof = F.transform(F.array_sort(F.collect_list(F.struct("item_ord", "paper_id", "title", "page", "section", text.alias("text")))), lambda s: F.struct(s["paper_id"], s["title"], s["page"], s["section"], s["text"]))
     g = clustered.groupBy("leader").agg(
-        F.max(F.when(F.col("item_ord") == F.col("leader"), F.col("limitation"))).alias("_r"), F.count("*").alias("n_items"), F.count_distinct("paper_id").alias("paper_count"),
+        F.coalesce(F.max(F.when(F.col("item_ord") == F.col("leader"), F.col("limitation"))), first).alias("_r"), F.count("*").alias("n_items"), F.count_distinct("paper_id").alias("paper_count"),
         F.array_sort(F.collect_set("paper_id")).alias("supporting_papers"), proof.alias("evidence"),
     )
-    gap: Column = F.when(F.col("n_items") == 1, F.col("_r")).otherwise(F.format_string("%s (reported across %d papers)", "_r", "n_items"))
+    gap: Column = F.when(F.col("n_items") == 1, F.col("_r")).otherwise(F.concat("_r", F.lit(" (reported across "), F.col("n_items").cast("string"), F.lit(" papers)")))
     return g.filter(F.col("paper_count") >= min_papers).withColumn("gap", gap).drop("_r").orderBy(F.desc("n_items"), "leader")
 
 
