@@ -17,14 +17,13 @@ SIMILAR = "Similar profile to other papers in this set"
 def comparison_rows(profiles: DataFrame) -> DataFrame:
     """A row a paper with joined lists and what no other paper of the set has.
 
-    A value is a paper's own if one paper id alone has it; values are counted once for all papers.
+    A value is a paper's own if one paper id alone has it; values are counted once for all papers, and fall together before
+    they are shuffled.
     """
-    own = None
-    for kind, column in (("methods", "methods"), ("datasets", "datasets"), ("metrics", "metrics")):
-        v = profiles.select("paper_id", F.lit(kind).alias("kind"), F.explode(column).alias("value")).distinct()
-        own = v if own is None else own.union(v)
+    tagged = lambda k: F.transform(F.coalesce(F.col(k), F.array().cast("array<string>")), lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value")))
+    own = profiles.select("paper_id", F.inline(F.concat(tagged("methods"), tagged("datasets"), tagged("metrics"))))
     lone = own.groupBy("kind", "value").agg(F.min("paper_id").alias("paper_id"), F.max("paper_id").alias("_m")).filter("paper_id = _m")
-    listed = lambda k: F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("value")))), ", ")
+    listed = lambda k: F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("value")))), ", ")
     part = lambda k: F.when(listed(k) != "", F.concat(F.lit(f"{k}: "), listed(k)))
     diff = lone.groupBy("paper_id").agg(F.concat_ws("; ", part("methods"), part("datasets"), part("metrics")).alias("difference"))
     texts = lambda c: F.array_join(F.filter(F.transform(c, lambda i: i["text"]), lambda t: t != ""), "; ")
