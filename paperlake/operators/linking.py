@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import path_stem
-from ..functions.text import author_surname, character_bag, common_share, non_empty, normalize_paper_ref, normalize_text, ratio_bound, sequence_ratio, split_citation_keys, titles_compatible, words_of
+from ..functions.text import author_surname, character_bag, common_share, non_empty, normalize_paper_ref, normalize_text, ratio_bound, sequence_ratio, split_citation_keys, titles_compatible
+from ..plans.stages import settle
 from .profiles import first_by
 
 __all__ = [
@@ -33,28 +34,48 @@ def _grams(title: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - 2, F.lit(1))), lambda i: F.substring(title, i, 3)))
 
 
+_END = 16  # characters of a cut word that are looked up
+
+
+def _keys(title: Column) -> Column:
+    """What a title of two words or more leaves in each that holds it: its inner words, the end of a word, the start of a word."""
+    words = F.split(title, " ")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.concat(F.lit("w"), w))
+    return F.array_distinct(F.concat(inner, F.array(F.concat(F.lit("e"), F.right(F.element_at(words, 1), F.lit(_END))), F.concat(F.lit("s"), F.left(F.element_at(words, -1), F.lit(_END))))))
+
+
+def _units(title: Column) -> Column:
+    """The words of a title with all their ends and starts up to ``_END`` characters, each marked."""
+    words = F.split(title, " ")
+    cut = lambda mark, side: F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length(w), F.lit(_END)), F.lit(1))), lambda n: F.concat(F.lit(mark), side(w, n)))))
+    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w"), w)), cut("e", F.right), cut("s", F.left)))
+
+
 def _within(small: DataFrame, large: DataFrame, s_title: str, l_title: str, s_ids: list[str], l_ids: list[str], keys, units) -> DataFrame:
-    """Pairs in which the large title has the small one's rarest key among its units."""
-    rows = large.select(*l_ids, l_title, F.explode(units(F.col(l_title))).alias("_u"))
-    seen = rows.groupBy("_u").agg(F.count("*").alias("_n"))
-    rare = first_by(small.select(*s_ids, s_title, F.explode(keys(F.col(s_title))).alias("_u")).join(seen, "_u"), s_ids, "_n", "_u")
-    return rare.select(*s_ids, s_title, "_u").join(rows, "_u").drop("_u")
+    """Pairs in which the large title has the small one's rarest key among its units; a key that no title has tells that none holds the small one.
+
+    Exploded rows are many more than the planner's sizes tell, so none of them is broadcast.
+    """
+    rows = large.select(*l_ids, l_title, F.explode(units(F.col(l_title))).alias("_u")).hint("merge")
+    asked = small.select(*s_ids, s_title, F.explode(keys(F.col(s_title))).alias("_u")).hint("merge")
+    seen = rows.select("_u").hint("merge").join(asked.select("_u").distinct().hint("merge"), "_u", "left_semi").groupBy("_u").agg(F.count("*").alias("_n"))
+    rare = first_by(asked.join(seen.hint("merge"), "_u", "left").withColumn("_n", F.coalesce("_n", F.lit(0))), s_ids, "_n", "_u").filter("_n > 0")
+    return rare.select(*s_ids, s_title, "_u").hint("merge").join(rows, "_u").drop("_u")
 
 
 def _contained(a: DataFrame, b: DataFrame, a_title: str, b_title: str, a_ids: list[str], b_ids: list[str]) -> DataFrame:
     """A superset of the pairs of normalised titles of which one holds the other.
 
-    A title within another may be cut in words at its ends, but its inner words are whole words of the other.
-    So titles of three words or more meet titles with the rarest of their inner words, shorter ones titles
-    with the rarest of their runs of three characters; titles under three characters meet equal ones.
+    A title within another may be cut in words at its ends, but its inner words are whole words of the other, its first
+    word ends one of the other's and its last word starts one. So titles of two words or more meet titles with the rarest of
+    these, single words titles with the rarest of their runs of three characters; titles under three characters meet equal ones.
     """
     columns = [*a_ids, a_title, *b_ids, b_title]
-    inner = lambda t: F.slice(words_of(t), 2, F.size(words_of(t)) - 2)
     out = a.join(b, F.col(a_title) == F.col(b_title)).select(*columns)
     for small, large, args in ((a, b, (a_title, b_title, a_ids, b_ids)), (b, a, (b_title, a_title, b_ids, a_ids))):
-        n = F.size(words_of(F.col(args[0])))
-        out = out.union(_within(small.filter(n >= 3), large, *args, inner, words_of).select(*columns))
-        out = out.union(_within(small.filter((n < 3) & (F.length(args[0]) >= 3)), large.filter(F.length(args[1]) >= 3), *args, _grams, _grams).select(*columns))
+        many = F.contains(F.col(args[0]), F.lit(" "))
+        out = out.union(_within(small.filter(many), large.filter(F.contains(F.col(args[1]), F.lit(" "))), *args, _keys, _units).select(*columns))
+        out = out.union(_within(small.filter(~many & (F.length(args[0]) >= 3)), large.filter(F.length(args[1]) >= 3), *args, _grams, _grams).select(*columns))
     return out.distinct()
 
 
@@ -77,9 +98,10 @@ def link_bib(papers: DataFrame, entries: DataFrame) -> DataFrame:
     hits = found[0]
     for f in found[1:]:
         hits = hits.union(f)
+    hits = settle(hits)
     rest = papers.join(hits.select("paper_id"), "paper_id", "left_anti").select("paper_id", normalize_text(c("title")).alias("pt")).filter("pt <> ''")
     titled = entries.select("bib_ord", normalize_text(c("title")).alias("et")).filter("et <> ''")
-    by_title = _contained(rest, titled, "pt", "et", ids, keep).filter(titles_compatible(c("pt"), c("et"))).select("paper_id", "bib_ord", F.lit(6).alias("rule"))
+    by_title = _contained(settle(rest), settle(titled), "pt", "et", ids, keep).filter(titles_compatible(c("pt"), c("et"))).select("paper_id", "bib_ord", F.lit(6).alias("rule"))
     return first_by(hits.union(by_title), ["paper_id"], "rule", "bib_ord")
 
 
@@ -129,16 +151,18 @@ def match_references(references: DataFrame, papers: DataFrame) -> DataFrame:
     fold = lambda x: F.lower(F.trim(x))
     r = references.select("ref_id", fold(c("doi")).alias("rd"), normalize_text(F.coalesce("title", F.lit(""))).alias("rt"), c("year").alias("ry"), "authors")
     p = papers.select("paper_id", fold(c("doi")).alias("pd"), normalize_text(F.coalesce("title", F.lit(""))).alias("pt"), c("year").alias("py"), F.split(F.coalesce("authors", F.lit("")), ";").alias("pa"))
+    r, p = settle(r), settle(p)  # titles are folded once
     unknown = c("py").isNull() | (c("py") == -1)
-    doi = r.filter("rd <> ''").join(p.filter("pd <> ''"), c("rd") == c("pd")).select("ref_id", "paper_id", F.lit(1).alias("rule"))
+    # the hits of a rule are written, as all later rules leave out the references that have one
+    doi = settle(r.filter("rd <> ''").join(p.filter("pd <> ''"), c("rd") == c("pd")).select("ref_id", "paper_id", F.lit(1).alias("rule")))
     left = r.join(doi.select("ref_id"), "ref_id", "left_anti")
     met = _contained(left.filter("rt <> ''"), p.filter("pt <> ''"), "rt", "pt", ["ref_id", "ry"], ["paper_id", "py"])
-    title = met.filter((F.contains("pt", "rt") | F.contains("rt", "pt")) & (c("ry").isNull() | unknown | (c("ry") == c("py")))).select("ref_id", "paper_id", F.lit(2).alias("rule"))
+    title = settle(met.filter((F.contains("pt", "rt") | F.contains("rt", "pt")) & (c("ry").isNull() | unknown | (c("ry") == c("py")))).select("ref_id", "paper_id", F.lit(2).alias("rule")))
     left = left.join(title.select("ref_id"), "ref_id", "left_anti")
     # one year, lengths and characters that allow the ratio: all that an exact filter can tell of it
     bagged = left.filter("rt <> '' and ry is not null and ry <> 0").withColumn("rb", character_bag(c("rt")))
     close = bagged.join(p.filter("pt <> ''").withColumn("pb", character_bag(c("pt"))), c("ry") == c("py")).filter(ratio_bound(c("rt"), c("pt"), c("rb"), c("pb"), 0.72))
-    fuzzy = close.filter(sequence_ratio(c("rt"), c("pt")) >= 0.72).select("ref_id", "paper_id", F.lit(3).alias("rule"))
+    fuzzy = settle(close.filter(sequence_ratio(c("rt"), c("pt")) >= 0.72).select("ref_id", "paper_id", F.lit(3).alias("rule")))
     left = left.join(fuzzy.select("ref_id"), "ref_id", "left_anti")
     names = lambda a: F.array_distinct(F.filter(F.transform(a, author_surname), lambda s: s != ""))
     x = left.filter("ry is not null and ry <> 0").select("ref_id", "ry", F.explode(names(c("authors"))).alias("s"))
