@@ -95,3 +95,14 @@ def test_a_hub_is_passed_once_for_all_seeds(spark):
     assert {r.n_seeds for r in found.counts().collect()} == {639}
     assert traverse.reach(edges, edges.limit(0).select(F.col("source").alias("paper_id"))).pairs().count() == 0
     assert traverse.reach(edges.limit(0), edges.select(F.col("source").alias("paper_id"))).rows().count() == 0
+
+
+def test_hubs_meet_in_blocks(spark, records, monkeypatch):
+    """Blocks of 7 rows, so that a hub is many groups; the pairs stay the same."""
+    papers = infer.paper_classes(records)
+    pairs = rows(infer.expand_shared_methods(papers), "source", "target", "method")
+    monkeypatch.setattr(infer, "_BLOCK", 7)
+    assert rows(infer.expand_shared_methods(papers), "source", "target", "method") == pairs
+    many = spark.range(500).select(F.lit("hub").alias("k"), F.col("id").alias("x"))
+    met = infer._blocked(many, many.withColumnRenamed("x", "y"), "k", size=50)
+    assert met.count() == met.distinct().count() == 250_000
