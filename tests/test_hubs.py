@@ -106,3 +106,28 @@ def test_hubs_meet_in_blocks(spark, records, monkeypatch):
     many = spark.range(500).select(F.lit("hub").alias("k"), F.col("id").alias("x"))
     met = infer._blocked(many, many.withColumnRenamed("x", "y"), "k", size=50)
     assert met.count() == met.distinct().count() == 250_000
+
+
+@pytest.mark.parametrize("relations", [traverse.RELATIONS, ("CITES", "CITED_BY"), ("CITES",), ("SHARED_METHOD",)])
+@pytest.mark.parametrize("seed", [2, 3])
+def test_reach_counted_by_classes(spark, relations, seed):
+    edges, papers = _graph(spark, seed)
+    seeds = spark.createDataFrame([(p,) for p in papers[::2]] + [(papers[0],), ("alone",), (None,)], "paper_id string").coalesce(1)
+    counts = traverse.reach_counts(edges, seeds, 3, relations)
+    assert rows(counts, "paper_id", "hop", "n_seeds") == rows(traverse.reach(edges, seeds, 3, relations).counts(), "paper_id", "hop", "n_seeds")
+
+
+def test_a_class_keeps_its_words_once(spark, monkeypatch):
+    """640 papers in two classes: a few words for each class and hop, not for each paper."""
+    edges = spark.range(640).select(F.lit("USES").alias("type"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("source"), F.explode(F.array(F.lit("hub"), F.expr("concat('m', id % 2)"))).alias("target"))
+    kept = []
+
+    def settle(df, f=traverse.settle):
+        out = f(df)
+        kept.extend([out.count()] if "word" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(traverse, "settle", settle)
+    counts = traverse.reach_counts(edges, edges.select(F.col("source").alias("paper_id")).coalesce(1), 2)
+    assert {(r.hop, r.n_seeds) for r in counts.collect()} == {(1, 639)} and counts.count() == 640
+    assert kept and max(kept) <= 2 * 14
